@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelflow.functions.text import canonical_code, lower_strip, null_tokens, recode
-from panelflow.operators.ranks import ONE_TASK_ROWS, exact_quantiles
+from panelflow.operators.ranks import PERCENTILE_ROWS, exact_quantiles
 
 
 def nullify(df: DataFrame, columns: Sequence[str] | None = None, stripped: bool = True) -> DataFrame:
@@ -28,10 +28,10 @@ def drop_blank_texts(df: DataFrame, column: str) -> DataFrame:
 
 
 def tukey_fence(
-    df: DataFrame, column: str, reach: float = 1.5, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, column: str, reach: float = 1.5, percentile_rows: int = PERCENTILE_ROWS
 ) -> tuple[float | None, float | None]:
     """(low, high) bounds: quartiles stretched by ``reach`` times their distance."""
-    row = exact_quantiles(df, [column], [0.25, 0.75], one_task_rows=one_task_rows).first()
+    row = exact_quantiles(df, [column], [0.25, 0.75], percentile_rows=percentile_rows).first()
     if row is None or row["q"] is None:
         return None, None
     q1, q3 = row["q"]
@@ -44,7 +44,7 @@ def within(column: str, fence: tuple[float | None, float | None]) -> Column:
 
 
 def drop_outliers(
-    df: DataFrame, columns: Sequence[str], reach: float = 1.5, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, columns: Sequence[str], reach: float = 1.5, percentile_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Tukey fences, one column after the other.
 
@@ -52,7 +52,7 @@ def drop_outliers(
     on the driver; as literals they reach the scan.
     """
     for column in columns:
-        df = df.where(within(column, tukey_fence(df, column, reach, one_task_rows)))
+        df = df.where(within(column, tukey_fence(df, column, reach, percentile_rows)))
     return df
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelflow.functions.text import as_col
-from panelflow.operators.ranks import ONE_TASK_ROWS, contiguous_folds
+from panelflow.operators.ranks import contiguous_folds
 
 ALL = ("", "")
 
@@ -392,6 +392,20 @@ def fit(
     return solve(moments, moments.total())
 
 
+def fold_scores(moments: Moments, folds: Mapping[int, Gram]) -> list[tuple[int, str, float]]:
+    """(fold, target, R2): every fold scored by the fit on the others, all from sums."""
+    grams = list(folds.values())
+    total = sum(grams[1:], grams[0])
+    return [
+        (fold, model.target, float(block_r2(moments, model, gram)))
+        for fold, gram in sorted(folds.items())
+        for model in solve(moments, total - gram)
+    ]
+
+
+FOLD_SCORES = "fold int, target string, r2 double"
+
+
 def cross_validate(
     df: DataFrame,
     numeric: Sequence[str],
@@ -399,19 +413,36 @@ def cross_validate(
     targets: Sequence[str],
     order_by: Sequence[str],
     folds: int = 5,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """R2 per fold and target over contiguous folds, refitting scale and labels each time.
 
     After the fold cuts are found, one pass gives the sums of every fold; training on the
     others is a subtraction and scoring is arithmetic on sums.
     """
-    numbered = contiguous_folds(df, order_by, folds, "_fold", one_task_rows)
+    numbered = contiguous_folds(df, order_by, folds, "_fold")
     moments = collect_moments(numbered, numeric, categorical, targets, "_fold")
-    total = moments.total()
-    rows = [
-        (fold, model.target, float(block_r2(moments, model, block)))
-        for fold, block in sorted(moments.blocks.items())
-        for model in solve(moments, total - block)
-    ]
-    return df.sparkSession.createDataFrame(rows, "fold int, target string, r2 double")
+    return df.sparkSession.createDataFrame(fold_scores(moments, moments.blocks), FOLD_SCORES)
+
+
+def fit_holdout_and_folds(
+    df: DataFrame,
+    is_test: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    targets: Sequence[str],
+    order_by: Sequence[str],
+    folds: int = 5,
+) -> tuple[list[LinearModel], DataFrame]:
+    """Models of the train rows and the fold scores of all rows, from the same pass.
+
+    Rows are summed by fold and by side of the split; either grouping is a sum of those blocks.
+    """
+    numbered = contiguous_folds(df, order_by, folds, "_fold")
+    blocked = numbered.withColumn("_side", F.col("_fold") * 2 + F.col(is_test).cast("int"))
+    moments = collect_moments(blocked, numeric, categorical, targets, "_side")
+    train = [gram for block, gram in moments.blocks.items() if block % 2 == 0]
+    by_fold: dict[int, Gram] = {}
+    for block, gram in moments.blocks.items():
+        by_fold[block // 2] = by_fold[block // 2] + gram if block // 2 in by_fold else gram
+    models = solve(moments, sum(train[1:], train[0]))
+    return models, df.sparkSession.createDataFrame(fold_scores(moments, by_fold), FOLD_SCORES)

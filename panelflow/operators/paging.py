@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelflow.functions.text import strip
-from panelflow.operators.sized import join_measured
+from panelflow.operators.sized import join_written
 from panelflow.presets import PAGE_PLACEHOLDER
 
 PAGES_PER_PART = 1000
@@ -16,7 +16,7 @@ def page_blocks(pages: DataFrame, doc: str, page: str, text: str, placeholder: s
     totals = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"))
     body = F.coalesce(F.nullif(strip(text), F.lit("")), F.lit(placeholder))
     header = F.concat(F.lit("## --- SLIDE "), F.col(page).cast("string"), F.lit(" / "), F.col("pages").cast("string"), F.lit(" ---"))
-    return join_measured(pages, totals, [doc]).select(
+    return join_written(pages, totals, [doc]).select(
         doc, F.col(page).alias("page_no"), "pages", F.concat(header, F.lit("\n\n"), body, F.lit("\n")).alias("block")
     )
 

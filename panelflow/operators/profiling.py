@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelflow.functions.numbers import round_to
-from panelflow.operators.ranks import ONE_TASK_ROWS, exact_quantiles
-from panelflow.operators.sized import join_measured
+from panelflow.operators.ranks import PERCENTILE_ROWS, exact_quantiles
+from panelflow.operators.sized import join_written
 
 
 def _lines(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
@@ -41,7 +42,7 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, percentile_rows: int = PERCENTILE_ROWS) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of each column, rounded."""
     x = lambda c: F.col(c).cast("double")
     basics = _lines(
@@ -58,7 +59,7 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, one_task_ro
             for c in columns
         ],
     )
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], one_task_rows=one_task_rows)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], percentile_rows=percentile_rows)
     joined = basics.join(quartiles.select("variable", "q"), "variable")
     cell = lambda c: round_to(c, digits)
     return joined.select(
@@ -74,17 +75,27 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, one_task_ro
     )
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix in long form; rows with a null in a pair leave only that pair."""
-    cells = []
-    for a, b in combinations_with_replacement(columns, 2):
-        r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-        cells.append(F.array(*[
-            F.struct(F.lit(p).alias("var_a"), F.lit(q).alias("var_b"), r.alias("r"))
-            for p, q in ([(a, b)] if a == b else [(a, b), (b, a)])
-        ]))
-    row = df.agg(*[c.alias(f"cell_{i}") for i, c in enumerate(cells)])
-    return row.select(F.explode(F.concat(*row.columns)).alias("line")).select("line.*")
+def correlations(df: DataFrame, columns: Sequence[str], pairs_per_pass: int = 10) -> DataFrame:
+    """Pearson matrix in long form; a null leaves only the pairs of its column.
+
+    A few pairs share one aggregation: with many, the generated code grows past what the JVM
+    compiles and runs ten times slower than a second scan of the few columns.
+    """
+    x = lambda c: F.col(c).cast("double")
+    pairs = list(combinations(columns, 2))
+    varies = lambda c: F.when(F.min(x(c)) < F.max(x(c)), F.lit(1.0))
+    parts = [_lines(df, [F.struct(F.lit(c).alias("var_a"), F.lit(c).alias("var_b"), varies(c).alias("r")) for c in columns])]
+    for start in range(0, len(pairs), pairs_per_pass):
+        some = pairs[start : start + pairs_per_pass]
+        half = _lines(
+            df, [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(x(a), x(b)).alias("r")) for a, b in some]
+        )
+        both = F.explode(F.array(
+            F.struct(F.col("a").alias("var_a"), F.col("b").alias("var_b"), "r"),
+            F.struct(F.col("b").alias("var_a"), F.col("a").alias("var_b"), "r"),
+        ))
+        parts.append(half.select(both.alias("p")).select("p.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
@@ -122,7 +133,7 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 
 def box_stats(
-    df: DataFrame, category: str, column: str, reach: float = 1.5, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, category: str, column: str, reach: float = 1.5, percentile_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
     """Quartiles, whiskers and outlier count per category.
 
@@ -131,14 +142,14 @@ def box_stats(
     """
     x = F.col(column).cast("double")
     points = df.where(F.col(category).isNotNull() & x.isNotNull()).select(category, x.alias("x"))
-    quartiles = exact_quantiles(points, ["x"], [0.25, 0.5, 0.75], by=[category], one_task_rows=one_task_rows)
+    quartiles = exact_quantiles(points, ["x"], [0.25, 0.5, 0.75], by=[category], percentile_rows=percentile_rows)
     q = lambda i: F.get("q", F.lit(i))
     boxes = quartiles.select(category, q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"))
     reachable = F.col("x").between(
         F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1"))
     )
     return (
-        join_measured(points, boxes, [category])
+        join_written(points, boxes, [category])
         .groupBy(category, "q1", "median", "q3")
         .agg(
             F.min(F.when(reachable, F.col("x"))).alias("low"),

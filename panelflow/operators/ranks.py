@@ -1,116 +1,177 @@
 """Exact order statistics without a global sort.
 
-A quantile over 10^12 rows needs neither a sort of the column nor a map of its distinct
-values.  A mergeable sketch brackets each wanted rank, an exact count says how many rows lie
-below the bracket, and the next round looks only inside it.  Every round is one scan with
-partial aggregation; its output is one row per wanted rank.  When no bracket holds more rows
-than one task should sort, the distinct values inside it are counted and the rank is read
-off.  Ties collapse to one row before the shuffle, so a value that fills a third of the table
-is no burden.
+A quantile over 10^12 rows needs neither a sort of the column nor a map of its distinct values.
+A mergeable sketch brackets each wanted rank; the next pass counts what lies below the bracket
+and looks only inside it.  Every pass is one scan with partial aggregation.  Once a bracket
+holds no more rows than one task should sort, the distinct values inside it are counted and the
+rank is read off.  Ties collapse to one row before the shuffle, so a value that fills a third of
+the table is no burden.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelflow.operators.sized import join_measured, written
+from panelflow.operators.sized import join_written, written
 
-ONE_TASK_ROWS = 1_000_000
-GRID = 200
+GRID = 1000
 SKETCH_ACCURACY = 10_000
+# A bracket spans three grid cells; the sketch may be off by its accuracy at both ends.
+SHARE_KEPT = 3 / GRID + 2 / SKETCH_ACCURACY
+
+# Up to this many rows per group Spark's percentile is quick and its map small.
+PERCENTILE_ROWS = 100_000
+ONE_TASK_ROWS = 1_000_000
+# Brackets are about a hundred bytes each; those of this many series are sure to be small.
+FEW_SERIES = 10_000
 
 
-def _between(lo: str = "lo", hi: str = "hi") -> tuple[Column, Column]:
-    """(strictly inside the bracket, inside or on its ends); a null end is open."""
-    x, low, high = F.col("x"), F.col(lo), F.col(hi)
-    strict = (low.isNull() | (x > low)) & (high.isNull() | (x < high))
-    closed = (low.isNull() | (x >= low)) & (high.isNull() | (x <= high))
-    return strict, closed
+GRID_POINTS = f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})"
 
 
-def _measure(series: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact counts around each bracket and a sketch of the values inside it."""
-    strict, _ = _between()
-    cells = [F.lit(i / GRID) for i in range(GRID + 1)]
-    return (
-        join_measured(series, state, keys)
-        .groupBy(*keys, "rank", "lo", "hi")
+def _sketch(x: str) -> Column:
+    """Values at evenly spaced ranks.  As text: a thousand literals are slow to pass one by one."""
+    return F.expr(f"percentile_approx({x}, {GRID_POINTS}, {SKETCH_ACCURACY})")
+
+
+@dataclass
+class Look:
+    """First look at some series: rows and sketch of each, how many series, rows of the largest."""
+
+    table: DataFrame
+    series: int
+    largest: int
+
+
+def first_look(series: DataFrame, keys: Sequence[str]) -> Look:
+    table = written(series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sketch("x").alias("grid")))
+    count, largest = table.agg(F.count(F.lit(1)), F.max("n")).first()
+    return Look(table, count, largest or 0)
+
+
+def _cell(rank: Column, rows: Column) -> Column:
+    return F.floor(F.try_divide(rank, rows) * GRID).cast("int")
+
+
+def _first_brackets(look: Look, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Bracket of each wanted pair of ranks: the sketch's cell and one more to each side."""
+    lo = F.get("grid", F.greatest(_cell(F.col("r0"), F.col("n")) - 1, F.lit(0)))
+    hi = F.get("grid", F.least(_cell(F.col("r1"), F.col("n")) + 2, F.lit(GRID)))
+    return look.table.join(wanted, keys).select(*keys, "i", "r0", "r1", lo.alias("lo"), hi.alias("hi"))
+
+
+def _with_brackets(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Rows next to their brackets; the brackets of few series are broadcast by their known number."""
+    return series.join(F.broadcast(state), keys) if rows <= FEW_SERIES else join_written(series, state, keys)
+
+
+def _tighten(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int]:
+    """Narrower brackets, and the most rows that lay strictly inside one before.
+
+    Rows below a bracket and on its ends are counted exactly; only values strictly inside are
+    sketched, so ties on the ends do not stop it from shrinking.
+    """
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    strict = (x > lo) & (x < hi)
+    measured = written(
+        _with_brackets(series, state, keys, rows)
+        .where(x <= hi)
+        .groupBy(*keys, "i", "r0", "r1", "lo", "hi")
         .agg(
-            F.count_if(F.col("x") < F.col("lo")).alias("below"),
-            F.count_if(F.col("x") == F.col("lo")).alias("at_lo"),
+            F.count_if(x < lo).alias("below"),
+            F.count_if(x == lo).alias("at_lo"),
             F.count_if(strict).alias("inside"),
-            F.percentile_approx(F.when(strict, F.col("x")), F.array(*cells), SKETCH_ACCURACY).alias("grid"),
+            _sketch("CASE WHEN x > lo AND x < hi THEN x END").alias("grid"),
         )
     )
-
-
-def _tighten(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """Next bracket of each rank.  Two grid cells of margin cover the sketch's error."""
-    ahead = F.col("rank") - F.col("below") - F.col("at_lo")
-    cell = F.floor(F.try_divide(ahead, F.col("inside")) * GRID).cast("int")
-    on_lo = ahead < 0
-    on_hi = ahead >= F.col("inside")
-    grid_lo = F.get("grid", F.greatest(cell - 1, F.lit(0)))
-    grid_hi = F.get("grid", F.least(cell + 2, F.lit(GRID)))
-    return measured.select(
-        *keys,
-        "rank",
-        F.when(on_lo, F.col("lo")).when(on_hi, F.col("hi")).otherwise(grid_lo).alias("lo"),
-        F.when(on_lo, F.col("lo")).when(on_hi, F.col("hi")).otherwise(grid_hi).alias("hi"),
+    ahead = lambda rank: F.col(rank) - F.col("below") - F.col("at_lo")
+    cell = lambda rank: _cell(ahead(rank), F.col("inside"))
+    new_lo = (
+        F.when(ahead("r0") < 0, lo)
+        .when(ahead("r0") >= F.col("inside"), hi)
+        .otherwise(F.get("grid", F.greatest(cell("r0") - 1, F.lit(0))))
+    )
+    new_hi = (
+        F.when(ahead("r1") >= F.col("inside"), hi)
+        .when(ahead("r1") < 0, lo)
+        .otherwise(F.get("grid", F.least(cell("r1") + 2, F.lit(GRID))))
     )
+    widest = measured.agg(F.max("inside")).first()[0] or 0
+    return measured.select(*keys, "i", "r0", "r1", new_lo.alias("lo"), new_hi.alias("hi")), widest
 
 
-def _read_off(series: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Value at each rank, from the counted distinct values inside its bracket."""
-    _, closed = _between()
+def _read_off(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Values at both ranks of each bracket, from the counted distinct values inside it.
+
+    All rows below a bracket count as one group with a null value, which sorts first.
+    """
+    x = F.col("x")
     counted = (
-        join_measured(series, state, keys)
-        .where(closed)
-        .groupBy(*keys, "rank", "below", "x")
+        _with_brackets(series, state.select(*keys, "i", "lo", "hi"), keys, rows)
+        .where(x <= F.col("hi"))
+        .groupBy(*keys, "i", F.when(x >= F.col("lo"), x).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    upto = F.sum("copies").over(Window.partitionBy(*keys, "rank").orderBy("x"))
-    return (
-        counted.withColumn("upto", F.col("below") + upto)
-        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("copies") <= F.col("rank")))
-        .select(*keys, "rank", "x", F.col("copies").alias("ties"), (F.col("upto") - F.col("copies")).alias("before"))
+    so_far = F.sum("copies").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()))
+    reached = lambda rank: F.min(
+        F.when(F.col("v").isNotNull() & (F.col("upto") > F.col(rank)), F.struct("v", "copies", "upto"))
+    )
+    found = (
+        counted.withColumn("upto", so_far)
+        .join(state.select(*keys, "i", "r0", "r1"), [*keys, "i"])
+        .groupBy(*keys, "i", "r0", "r1")
+        .agg(
+            reached("r0").alias("a"),
+            reached("r1").alias("b"),
+            F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)).alias("below"),
+        )
+    )
+    missed = F.col("b").isNull() | (F.col("below") > F.col("r0"))
+    checked = lambda c: F.when(missed, F.raise_error(F.lit("a rank fell outside its bracket"))).otherwise(c)
+    return found.select(
+        *keys,
+        "i",
+        checked(F.col("a.v")).alias("v0"),
+        F.col("b.v").alias("v1"),
+        F.col("a.copies").alias("ties"),
+        (F.col("a.upto") - F.col("a.copies")).alias("before"),
     )
 
 
 def select_ranks(
-    series: DataFrame, wanted: DataFrame, keys: Sequence[str], one_task_rows: int = ONE_TASK_ROWS
+    series: DataFrame,
+    look: Look,
+    wanted: DataFrame,
+    keys: Sequence[str],
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Exact values at 0-based ranks.
+    """Exact values at 0-based ranks of the non-null ``x`` of each series.
 
-    ``series`` has the key columns and a non-null ``x``; ``wanted`` has the key columns and
-    ``rank``.  Returns the key columns, ``rank``, ``x``, its number of ``ties`` and the number
-    of rows ``before`` it.
+    ``look`` is the first look at the series; ``wanted`` holds the keys, a number ``i`` and two
+    neighbouring ranks ``r0`` and ``r1``.  Returns keys, ``i``, the values ``v0`` and ``v1``, the
+    number of rows that tie with ``v0`` and the number of rows ``before`` them.
     """
     keys = list(keys)
-    kind = series.schema["x"].dataType
-    state = wanted.select(*keys, "rank", F.lit(None).cast(kind).alias("lo"), F.lit(None).cast(kind).alias("hi"))
-    while True:
-        measured = written(_measure(series, state, keys))
-        widest = measured.agg(F.max("inside")).first()[0] or 0
-        if widest <= one_task_rows:
-            return _read_off(series, measured.select(*keys, "rank", "lo", "hi", "below"), keys)
-        state = _tighten(measured, keys)
+    state = _first_brackets(look, wanted, keys)
+    bound = look.largest * SHARE_KEPT
+    while bound > one_task_rows:
+        state, inside = _tighten(series, state, keys, look.series)
+        bound = inside * SHARE_KEPT
+    return _read_off(series, state, keys, look.series)
 
 
 def as_series(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per (row, column) with a non-null double ``x``; NaN counts as missing."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])
-    )
-    x = F.col("pair.x")
-    return (
-        df.select(*by, pairs.alias("pair"))
-        .where(x.isNotNull() & ~F.isnan(x))
-        .select(*by, F.col("pair.variable").alias("variable"), x.alias("x"))
-    )
+    """One row per (row, column) with a non-null double ``x``; NaN counts as missing.
+
+    Columns go by their position ``sid``: an integer key is cheaper to join and group on.
+    """
+    pairs = [F.struct(F.lit(i).alias("sid"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]
+    long = df.select(*by, F.explode(F.array(*pairs)).alias("pair")).select(*by, "pair.sid", "pair.x")
+    return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
 def exact_quantiles(
@@ -118,43 +179,28 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
+    percentile_rows: int = PERCENTILE_ROWS,
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles, exact at any size.
 
     Returns ``by`` columns, ``variable``, ``n`` and the array ``q`` in the order of ``probs``.
-    Groups that fit a task use Spark's own ``percentile``; larger ones are bracketed.
+    Groups of moderate size use Spark's own ``percentile``, larger ones are bracketed.  Null
+    groups are left out.
     """
     by = list(by)
-    keys = [*by, "variable"]
-    if by:
-        biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    else:
-        biggest = df.count()
-    if biggest <= one_task_rows:
-        stats = [
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias("n"),
-                F.percentile(
-                    F.nanvl(F.col(c).cast("double"), F.lit(None)), F.array(*[F.lit(float(p)) for p in probs])
-                ).alias("q"),
-            ).alias(f"stats_{i}")
-            for i, c in enumerate(columns)
-        ]
-        wide = df.groupBy(*by).agg(*stats)
-        rows = F.explode(F.array(*[F.col(f"stats_{i}") for i in range(len(columns))]))
-        return wide.select(*by, rows.alias("s")).select(*by, "s.variable", "s.n", "s.q")
-
+    for column in by:
+        df = df.where(F.col(column).isNotNull())
+    if by and (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= percentile_rows:
+        return _by_percentile(df, columns, probs, by)
+    keys = [*by, "sid"]
     series = as_series(df, columns, by)
-    sizes = written(series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    look = first_look(series, keys)
+    if not by and look.largest <= percentile_rows:
+        return _by_percentile(df, columns, probs, by)
     spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
     place = F.col("spot.p") * (F.col("n") - 1)
-    places = sizes.select(
-        *keys,
-        "n",
-        spots.alias("spot"),
-    ).select(
+    places = look.table.select(*keys, "n", spots.alias("spot")).select(
         *keys,
         "n",
         F.col("spot.i").alias("i"),
@@ -162,59 +208,84 @@ def exact_quantiles(
         F.ceil(place).alias("r1"),
         (place - F.floor(place)).alias("part"),
     )
-    wanted = places.select(*keys, F.explode(F.array("r0", "r1")).alias("rank")).distinct()
-    found = select_ranks(series, wanted, keys, one_task_rows)
-    values = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at")
-    )
-    low, high = F.element_at("at", F.col("r0")), F.element_at("at", F.col("r1"))
+    found = select_ranks(series, look, places.select(*keys, "i", "r0", "r1"), keys, one_task_rows)
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
     return (
-        places.join(values, keys)
-        .select(*keys, "n", "i", (low + (high - low) * F.col("part")).alias("v"))
+        places.join(found, [*keys, "i"])
         .groupBy(*keys, "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))
+        .select(*by, F.get(F.array(*[F.lit(c) for c in columns]), F.col("sid")).alias("variable"), "n", "q")
     )
 
 
-def rows_at(
-    df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], one_task_rows: int = ONE_TASK_ROWS
+def _by_percentile(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: list[str]) -> DataFrame:
+    x = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    cuts = F.array(*[F.lit(float(p)) for p in probs])
+    wide = df.groupBy(*by).agg(*[
+        F.struct(F.lit(c).alias("variable"), F.count(x(c)).alias("n"), F.percentile(x(c), cuts).alias("q")).alias(f"s{i}")
+        for i, c in enumerate(columns)
+    ])
+    rows = F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))]))
+    return wide.select(*by, rows.alias("s")).select(*by, "s.variable", "s.n", "s.q")
+
+
+def _rows_at(
+    df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], look: Look, one_task_rows: int
 ) -> list[tuple[Any, ...]]:
-    """Order-key values of the rows at the given 0-based ranks: one tuple per rank.
+    """Order-key values of the rows at a handful of ranks, one tuple per rank.
 
-    Meant for a handful of cut points.  Columns after the first are looked at only among the
-    rows that tie on the columns before.
+    Columns after the first are looked at only among the rows that tie on the columns before.
     """
-    spark = df.sparkSession
-    order_by = list(order_by)
 
-    def at(frame: DataFrame, column: str, wanted: Sequence[int]) -> dict[int, tuple[Any, int, int]]:
-        series = frame.select(F.col(column).alias("x"))
-        ranks_df = spark.createDataFrame([(0, int(r)) for r in sorted(set(wanted))], "k int, rank bigint")
-        found = select_ranks(series.withColumn("k", F.lit(0)), ranks_df, ["k"], one_task_rows)
-        return {r["rank"]: (r["x"], r["ties"], r["before"]) for r in found.collect()}
+    def at(frame: DataFrame, column: str, wanted: Sequence[int], seen: Look | None) -> list[tuple[Any, int, int]]:
+        series = _ordered(frame, column)
+        rows = df.sparkSession.createDataFrame(
+            [(0, i, int(r), int(r)) for i, r in enumerate(wanted)], "k int, i int, r0 bigint, r1 bigint"
+        )
+        found = select_ranks(series, seen or first_look(series, ["k"]), rows, ["k"], one_task_rows)
+        return [(r["v0"], r["ties"], r["before"]) for r in found.orderBy("i").collect()]
 
-    first = at(df, order_by[0], ranks)
     out = []
-    for rank in ranks:
-        value, ties, before = first[rank]
+    for rank, (value, ties, before) in zip(ranks, at(df, order_by[0], ranks, look)):
         key, frame, rest = [value], df, rank - before
         for previous, column in zip(order_by, order_by[1:]):
+            if ties == 1:
+                break
             frame = frame.where(F.col(previous) == F.lit(key[-1]))
-            value, ties, before = at(frame, column, [rest])[rest]
+            [(value, ties, before)] = at(frame, column, [rest], None)
             key.append(value)
             rest -= before
         if ties > 1:
-            raise ValueError(f"order {order_by} is not total: {ties} rows tie at rank {rank}")
+            raise ValueError(f"order {list(order_by)} is not total: {ties} rows tie at rank {rank}")
         out.append(tuple(key))
     return out
 
 
+def _ordered(df: DataFrame, column: str) -> DataFrame:
+    """An order column as the one series ``k`` = 0."""
+    one = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col(column).alias("x"))))
+    return df.select(one.alias("pair")).select("pair.*")
+
+
 def fold_starts(n: int, folds: int) -> list[int]:
     """0-based first rank of each fold but the first; the first n mod k folds hold one more."""
     size, extra = divmod(n, folds)
     return [i * size + min(i, extra) for i in range(1, folds)]
 
 
+def fold_cuts(
+    df: DataFrame, order_by: Sequence[str], folds: int, one_task_rows: int = ONE_TASK_ROWS
+) -> list[tuple[Any, ...]]:
+    """Order-key values at which the second and later folds begin.
+
+    The order columns hold numbers, dates or timestamps without nulls, and order the rows
+    totally.
+    """
+    look = first_look(_ordered(df, order_by[0]), ["k"])
+    n = look.largest
+    return _rows_at(df, order_by, [s for s in fold_starts(n, folds) if s < n], look, one_task_rows) if n else []
+
+
 def contiguous_folds(
     df: DataFrame,
     order_by: Sequence[str],
@@ -224,16 +295,13 @@ def contiguous_folds(
 ) -> DataFrame:
     """Number contiguous, equally sized blocks of the declared order, from 0.
 
-    Only the block starts are looked up; rows then compare themselves with them, so the table
-    is neither sorted nor shuffled.
+    Only the block starts are looked up; rows then compare themselves with them, so the table is
+    neither sorted nor shuffled.
     """
-    n = df.count()
-    starts = [s for s in fold_starts(n, folds)]
-    inside = [s for s in starts if s < n]
-    cuts = rows_at(df, order_by, inside, one_task_rows) if inside else []
-    here = F.struct(*[F.col(c) for c in order_by])
     fold = F.lit(0)
-    for cut in cuts:
-        there = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order_by, cut)])
+    for cut in fold_cuts(df, order_by, folds, one_task_rows):
+        columns = order_by[: len(cut)]
+        here = F.struct(*[F.col(c) for c in columns])
+        there = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, cut)])
         fold = fold + (here >= there).cast("int")
     return df.withColumn(name, fold)

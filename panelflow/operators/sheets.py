@@ -24,7 +24,7 @@ from panelflow.functions.text import (
     template,
 )
 from panelflow.operators.reshape import first_valid
-from panelflow.operators.sized import join_measured
+from panelflow.operators.sized import join_written
 
 SHEET = ["origin", "file", "sheet"]
 
@@ -46,13 +46,13 @@ def drop_index_sheets(cells: DataFrame) -> DataFrame:
 def skip_until(rows: DataFrame, keys: Sequence[str], row: str, is_header: Column) -> DataFrame:
     """Rows after the first header row of their group; groups without one drop out."""
     heads = rows.where(is_header).groupBy(*keys).agg(F.min(row).alias("_header"))
-    return join_measured(rows, heads, keys).where(F.col(row) > F.col("_header")).drop("_header")
+    return join_written(rows, heads, keys).where(F.col(row) > F.col("_header")).drop("_header")
 
 
 def take_while(rows: DataFrame, keys: Sequence[str], row: str, is_end: Column) -> DataFrame:
     """Rows before the first end row of their group, all rows where there is none."""
     cuts = rows.where(is_end).groupBy(*keys).agg(F.min(row).alias("_cut"))
-    kept = join_measured(rows, cuts, keys, "left")
+    kept = join_written(rows, cuts, keys, "left")
     return kept.where(F.col("_cut").isNull() | (F.col(row) < F.col("_cut"))).drop("_cut")
 
 
@@ -85,7 +85,7 @@ def value_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     The first column of each class counts; without both classes the first two columns stand in.
     Sheets of one column drop out.
     """
-    head = join_measured(cells, headers, SHEET).where(F.col("row_idx") == F.col("header_row"))
+    head = join_written(cells, headers, SHEET).where(F.col("row_idx") == F.col("header_row"))
     kind = header_class("value")
     spots = head.groupBy(*SHEET, "header_row").agg(
         F.min(F.when(kind == "variable", F.col("col_idx"))).alias("v"),
@@ -125,7 +125,7 @@ def glossary_rows(cells: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     """(variable, descripcion, contexto, place) rows of every sheet, cut at its first blank variable."""
     wanted = drop_index_sheets(cells)
     spots = value_columns(wanted, header_rows(wanted))
-    inside = join_measured(wanted, spots, SHEET).where(
+    inside = join_written(wanted, spots, SHEET).where(
         (F.col("row_idx") > F.col("header_row")) & F.col("col_idx").isin(F.col("v"), F.col("d"))
     )
     rows = inside.groupBy(*SHEET, "row_idx").agg(

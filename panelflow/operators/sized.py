@@ -1,54 +1,44 @@
-"""Joins with a small side whose size is measured before it is broadcast."""
+"""Intermediate tables in the shared folder, and joins with sides of unknown size."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; make one only for local runs."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only for local runs."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="panelflow-checkpoint-")
-    context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="panelflow-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows read back from the checkpoint folder: computed once, lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """The same rows read back from a table in the shared folder.
 
-def text_bytes(df: DataFrame) -> int:
-    """Measured size of a frame, as the bytes of its rows written as JSON."""
-    row = F.octet_length(F.to_json(F.struct("*")))
-    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    They are computed once, survive lost executors, have no lineage, and their size is known to
+    the planner from their files.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_measured(
-    df: DataFrame,
-    side: DataFrame,
-    on: Sequence[str] | Column,
-    how: str = "inner",
-    limit: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Join ``df`` with an aggregate ``side`` of unknown size.
+def join_written(df: DataFrame, side: DataFrame, on: Sequence[str] | Column, how: str = "inner") -> DataFrame:
+    """Join a large frame with an aggregate ``side`` of unknown size.
 
-    The side is computed once and measured.  Up to ``limit`` bytes it is broadcast, so the
-    large frame is not shuffled and a hot key costs nothing; beyond that the join is left to
-    Spark, whose adaptive skew join splits the hot partitions of the large frame.
+    The side is written first, so Spark plans with its real size: below
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast, the large frame is not shuffled and
+    a hot key costs nothing; above it both sides are shuffled and the adaptive skew join splits
+    the hot partitions.
     """
-    side = written(side)
-    if text_bytes(side) <= limit:
-        side = F.broadcast(side)
-    return df.join(side, on if isinstance(on, Column) else list(on), how)
+    return df.join(written(side), on if isinstance(on, Column) else list(on), how)

@@ -12,12 +12,12 @@ from panelflow.operators.modelling import (
     LinearModel,
     coefficient_table,
     compare_targets,
-    cross_validate,
-    fit,
+    fit_holdout_and_folds,
     holdout_split,
     metric_lines,
 )
 from panelflow.operators.reshape import panel_join
+from panelflow.operators.sized import written
 from panelflow.presets import DEPENDENCY_LABELS, GROUP_LABELS, PANEL_KEYS, RURAL_LABELS
 
 LABELS = {"cod_grupo": GROUP_LABELS, "cod_depe2": DEPENDENCY_LABELS, "cod_rural_rbd": RURAL_LABELS}
@@ -38,6 +38,7 @@ class Fitted:
     models: list[LinearModel]
     coefficients: DataFrame
     scored: DataFrame
+    fold_scores: DataFrame
     comparison: DataFrame
 
 
@@ -54,16 +55,19 @@ def fit_and_compare(
 ) -> Fitted:
     """Fit every target on the train rows, score the hold-out, cross-validate, compare.
 
-    All targets share the passes: one for the sums of the fit, one for the hold-out metrics,
-    one for the sums of all folds.
+    The columns in use are written once, so the joins behind the panel run once; the fold cuts,
+    the means, the sums and the hold-out metrics each scan that narrow table.  All targets, the
+    train rows and the folds share one pass of sums.
     """
-    split = holdout_split(df, key, percent, salt, "is_test")
-    models = fit(split.where(~F.col("is_test")), numeric, categorical, targets)
-    scored = split.where("is_test")
+    needed = list(dict.fromkeys([*order_by, *numeric, *categorical, *targets]))
+    panel = written(holdout_split(df, key, percent, salt, "is_test").select("is_test", *needed))
+    models, fold_scores = fit_holdout_and_folds(panel, "is_test", numeric, categorical, targets, order_by, folds)
+    scored = panel.where("is_test")
     for model in models:
         scored = model.predict(scored)
     lines = metric_lines(scored, {t: (t, f"predicted_{t}") for t in targets})
-    folds_r2 = cross_validate(df, numeric, categorical, targets, order_by, folds)
-    cv = folds_r2.groupBy("target").agg(F.avg("r2").alias("value"))
+    cv = fold_scores.groupBy("target").agg(F.avg("r2").alias("value"))
     all_lines = lines.unionByName(cv.select(F.lit("R2_CV").alias("metric"), "target", "value"))
-    return Fitted(models, coefficient_table(df.sparkSession, models), scored, compare_targets(all_lines, targets))
+    return Fitted(
+        models, coefficient_table(df.sparkSession, models), scored, fold_scores, compare_targets(all_lines, targets)
+    )

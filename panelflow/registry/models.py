@@ -8,6 +8,7 @@ from panelflow.operators import modelling as op
 from panelflow.operators.profiling import histogram, joint_range, scatter, scatter_cells
 from panelflow.operators.ranks import contiguous_folds
 from panelflow.operators.reshape import panel_join
+from panelflow.operators.sized import written
 from panelflow.plans.analysis import fit_and_compare
 from panelflow.registry.aggregates import gridded_histogram, sql_histogram
 from panelflow.registry.base import Tables, grid, query, sql_grid
@@ -313,7 +314,7 @@ FROM raw r LEFT JOIN means m ON r.target = m.target AND r.kind = m.kind JOIN shi
 
 @query(_sql_coefficients())
 def coefficient_table(t: Tables) -> DataFrame:
-    train = op.holdout_split(order_panel(t), "o_orderkey", salt=SALT).where("not is_test")
+    train = written(op.holdout_split(order_panel(t), "o_orderkey", salt=SALT).where("not is_test"))
     models = op.fit(train, NUMERIC, CATEGORICAL, TARGETS)
     table = op.coefficient_table(t.spark, models)
     return table.select("target", "position", "term", grid("coefficient", 3).alias("coefficient"))
@@ -328,7 +329,7 @@ SELECT target, count(*) AS n, {sql_grid('avg(p)', 3)} AS mean_predicted, {sql_gr
 FROM scored GROUP BY target
 """)
 def ols_multi(t: Tables) -> DataFrame:
-    split = op.holdout_split(order_panel(t), "o_orderkey", salt=SALT)
+    split = written(op.holdout_split(order_panel(t), "o_orderkey", salt=SALT))
     models = op.fit(split.where("not is_test"), NUMERIC, CATEGORICAL, TARGETS)
     scored = split.where("is_test")
     rows = scored.select(

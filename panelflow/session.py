@@ -17,6 +17,7 @@ def local_session(cores: int | str = "8", app: str = "panelflow") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
         .config("spark.local.dir", os.path.join(scratch, "local"))
         .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoint"))
