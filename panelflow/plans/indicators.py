@@ -18,7 +18,7 @@ from panelflow.presets import (
     TEXT_INDICATOR_CODES,
 )
 from panelflow.sources.delimited import QUARANTINE, read_delimited
-from panelflow.sources.discover import list_files, paths_where
+from panelflow.sources.discover import bare_path, list_files, paths_where
 
 
 def _wide(frame: DataFrame) -> DataFrame:
@@ -50,9 +50,9 @@ def _wide(frame: DataFrame) -> DataFrame:
 
 def consolidate_indicators(spark: SparkSession, folder: str, encoding: str | None = None) -> Consolidated:
     """Indicator table of the main files in the level folders, one row per key, last file wins."""
-    files = list_files(spark, folder).where(
-        F.regexp_replace("path", r"/[^/]+/[^/]+$", "").endswith(folder.rstrip("/").split("/")[-1])
-    )
+    root = "/" + bare_path(folder).strip("/")
+    grandparent = F.regexp_replace("path", r"/[^/]+/[^/]+$", "")
+    files = list_files(spark, folder).where(grandparent.endswith(root))
     paths = paths_where(files, is_main_file("name"))
     reading = read_delimited(spark, paths, by_alias(INDICATOR_ALIASES), encoding)
     if not reading.frames:

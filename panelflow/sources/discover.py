@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,18 +13,23 @@ from panelflow.functions.text import first_delimiter
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, name, folder) of every file below a folder; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(
-            "path",
-            "length",
-            base_name("path").alias("name"),
-            parent_folder("path").alias("folder"),
-        )
-    )
+    """(path, name, folder) of every file below a folder, empty ones too.  Nothing is read.
+
+    The listing is the one Spark makes on the driver for any read of the folder.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()
+    paths = spark.createDataFrame([(unquote(p),) for p in found], "path string")
+    return paths.select("path", base_name("path").alias("name"), parent_folder("path").alias("folder"))
+
+
+def bare_path(path: str) -> str:
+    """A path without scheme and host: listings and metadata spell those differently."""
+    return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path)
+
+
+def literal_path(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def paths_where(files: DataFrame, keep: Column) -> list[str]:
@@ -30,12 +37,10 @@ def paths_where(files: DataFrame, keep: Column) -> list[str]:
     return [r["path"] for r in files.where(keep).select("path").distinct().orderBy("path").collect()]
 
 
-def row_place(path: Column, block: Column) -> Column:
-    """Position of a row in its file.
-
-    Within one split rows are numbered in order; splits are ordered by where they start.
-    """
-    return F.struct(path.alias("path"), block.alias("block"), F.monotonically_increasing_id().alias("row"))
+def file_path() -> Column:
+    """Path of the file a row comes from, as the file system spells it: the metadata is URL-encoded."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
 
 
 def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -44,8 +49,8 @@ def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     One pass over the bytes.  A file whose bytes are all valid UTF-8 is UTF-8, any other is
     Latin-1.  Fields are counted outside quotes, so a line with too many can be reported.
     """
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
+    lines = spark.read.text([literal_path(p) for p in paths]).select(
+        file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value"),
     )
@@ -67,7 +72,7 @@ def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             *[F.max(f"fields_{i}").alias(f"widest_{i}") for i in range(3)],
         )
     )
-    decoded = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), F.lit("ISO-8859-1")))
+    decoded = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
     known = facts.where(F.col("header").isNotNull()).select(
         "path",
         F.regexp_replace(decoded, "^﻿", "").alias("header"),
