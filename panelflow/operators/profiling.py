@@ -75,7 +75,15 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, percentile_
     )
 
 
-def correlations(df: DataFrame, columns: Sequence[str], pairs_per_pass: int = 10) -> DataFrame:
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: correlation over the rows that have both values, null if either is constant.
+
+    ``corr`` itself fails on a constant column in ANSI mode.
+    """
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+
+
+def correlations(df: DataFrame, columns: Sequence[str], pairs_per_pass: int = 8) -> DataFrame:
     """Pearson matrix in long form; a null leaves only the pairs of its column.
 
     A few pairs share one aggregation: with many, the generated code grows past what the JVM
@@ -88,7 +96,7 @@ def correlations(df: DataFrame, columns: Sequence[str], pairs_per_pass: int = 10
     for start in range(0, len(pairs), pairs_per_pass):
         some = pairs[start : start + pairs_per_pass]
         half = _lines(
-            df, [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(x(a), x(b)).alias("r")) for a, b in some]
+            df, [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(x(a), x(b)).alias("r")) for a, b in some]
         )
         both = F.explode(F.array(
             F.struct(F.col("a").alias("var_a"), F.col("b").alias("var_b"), "r"),
