@@ -31,10 +31,10 @@ def tukey_fence(
     df: DataFrame, column: str, reach: float = 1.5, percentile_rows: int = PERCENTILE_ROWS
 ) -> tuple[float | None, float | None]:
     """(low, high) bounds: quartiles stretched by ``reach`` times their distance."""
-    row = exact_quantiles(df, [column], [0.25, 0.75], percentile_rows=percentile_rows).first()
-    if row is None or row["q"] is None:
+    rows = exact_quantiles(df, [column], [0.25, 0.75], percentile_rows=percentile_rows).collect()
+    if not rows or rows[0]["q"] is None:
         return None, None
-    q1, q3 = row["q"]
+    q1, q3 = rows[0]["q"]
     return q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
 
 

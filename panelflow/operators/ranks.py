@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from panelflow.operators.sized import join_written, written
 
@@ -30,12 +30,12 @@ ONE_TASK_ROWS = 1_000_000
 FEW_SERIES = 10_000
 
 
-GRID_POINTS = f"array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})"
+GRID_POINTS = " ".join(str(i / GRID) for i in range(GRID + 1))
 
 
-def _sketch(x: str) -> Column:
-    """Values at evenly spaced ranks.  As text: a thousand literals are slow to pass one by one."""
-    return F.expr(f"percentile_approx({x}, {GRID_POINTS}, {SKETCH_ACCURACY})")
+def _sketch(x: Column) -> Column:
+    """Values at evenly spaced ranks.  The ranks are one text constant: a thousand literals slow planning."""
+    return F.percentile_approx(x, F.split(F.lit(GRID_POINTS), " ").cast("array<double>"), SKETCH_ACCURACY)
 
 
 @dataclass
@@ -48,20 +48,25 @@ class Look:
 
 
 def first_look(series: DataFrame, keys: Sequence[str]) -> Look:
-    table = written(series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sketch("x").alias("grid")))
-    count, largest = table.agg(F.count(F.lit(1)), F.max("n")).first()
-    return Look(table, count, largest or 0)
+    sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sketch(F.col("x")).alias("grid"))
+    seen = Observation()
+    table = written(sizes.observe(seen, F.count(F.lit(1)).alias("series"), F.max("n").alias("largest")))
+    return Look(table, seen.get["series"], seen.get["largest"] or 0)
 
 
 def _cell(rank: Column, rows: Column) -> Column:
     return F.floor(F.try_divide(rank, rows) * GRID).cast("int")
 
 
-def _first_brackets(look: Look, wanted: DataFrame, keys: list[str]) -> DataFrame:
+def _first_brackets(look: Look, wanted: Column, keys: list[str]) -> DataFrame:
     """Bracket of each wanted pair of ranks: the sketch's cell and one more to each side."""
     lo = F.get("grid", F.greatest(_cell(F.col("r0"), F.col("n")) - 1, F.lit(0)))
     hi = F.get("grid", F.least(_cell(F.col("r1"), F.col("n")) + 2, F.lit(GRID)))
-    return look.table.join(wanted, keys).select(*keys, "i", "r0", "r1", lo.alias("lo"), hi.alias("hi"))
+    spots = look.table.select(*keys, "n", "grid", F.explode(wanted).alias("spot")).select(*keys, "n", "grid", "spot.*")
+    return spots.select(*keys, "n", "i", "r0", "r1", "part", lo.alias("lo"), hi.alias("hi"))
+
+
+SPOT = ["n", "i", "r0", "r1", "part"]
 
 
 def _with_brackets(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -77,17 +82,19 @@ def _tighten(series: DataFrame, state: DataFrame, keys: list[str], rows: int) ->
     """
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
     strict = (x > lo) & (x < hi)
-    measured = written(
+    counts = (
         _with_brackets(series, state, keys, rows)
         .where(x <= hi)
-        .groupBy(*keys, "i", "r0", "r1", "lo", "hi")
+        .groupBy(*keys, *SPOT, "lo", "hi")
         .agg(
             F.count_if(x < lo).alias("below"),
             F.count_if(x == lo).alias("at_lo"),
             F.count_if(strict).alias("inside"),
-            _sketch("CASE WHEN x > lo AND x < hi THEN x END").alias("grid"),
+            _sketch(F.when(strict, x)).alias("grid"),
         )
     )
+    seen = Observation()
+    measured = written(counts.observe(seen, F.max("inside").alias("widest")))
     ahead = lambda rank: F.col(rank) - F.col("below") - F.col("at_lo")
     cell = lambda rank: _cell(ahead(rank), F.col("inside"))
     new_lo = (
@@ -100,30 +107,30 @@ def _tighten(series: DataFrame, state: DataFrame, keys: list[str], rows: int) ->
         .when(ahead("r1") < 0, lo)
         .otherwise(F.get("grid", F.least(cell("r1") + 2, F.lit(GRID))))
     )
-    widest = measured.agg(F.max("inside")).first()[0] or 0
-    return measured.select(*keys, "i", "r0", "r1", new_lo.alias("lo"), new_hi.alias("hi")), widest
+    return measured.select(*keys, *SPOT, new_lo.alias("lo"), new_hi.alias("hi")), seen.get["widest"] or 0
 
 
 def _read_off(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Values at both ranks of each bracket, from the counted distinct values inside it.
 
-    All rows below a bracket count as one group with a null value, which sorts first.
+    All rows below a bracket count as one group with a null value, which sorts first.  After
+    counting, the rows of a series are few and stay together.
     """
     x = F.col("x")
     counted = (
-        _with_brackets(series, state.select(*keys, "i", "lo", "hi"), keys, rows)
+        _with_brackets(series, state, keys, rows)
         .where(x <= F.col("hi"))
-        .groupBy(*keys, "i", F.when(x >= F.col("lo"), x).alias("v"))
+        .groupBy(*keys, *SPOT, F.when(x >= F.col("lo"), x).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))
+        .repartition(*keys)
     )
-    so_far = F.sum("copies").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()))
+    so_far = F.sum("copies").over(Window.partitionBy(*keys, *SPOT).orderBy(F.col("v").asc_nulls_first()))
     reached = lambda rank: F.min(
         F.when(F.col("v").isNotNull() & (F.col("upto") > F.col(rank)), F.struct("v", "copies", "upto"))
     )
     found = (
         counted.withColumn("upto", so_far)
-        .join(state.select(*keys, "i", "r0", "r1"), [*keys, "i"])
-        .groupBy(*keys, "i", "r0", "r1")
+        .groupBy(*keys, *SPOT)
         .agg(
             reached("r0").alias("a"),
             reached("r1").alias("b"),
@@ -134,7 +141,9 @@ def _read_off(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -
     checked = lambda c: F.when(missed, F.raise_error(F.lit("a rank fell outside its bracket"))).otherwise(c)
     return found.select(
         *keys,
+        "n",
         "i",
+        "part",
         checked(F.col("a.v")).alias("v0"),
         F.col("b.v").alias("v1"),
         F.col("a.copies").alias("ties"),
@@ -143,17 +152,13 @@ def _read_off(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -
 
 
 def select_ranks(
-    series: DataFrame,
-    look: Look,
-    wanted: DataFrame,
-    keys: Sequence[str],
-    one_task_rows: int = ONE_TASK_ROWS,
+    series: DataFrame, look: Look, wanted: Column, keys: Sequence[str], one_task_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
     """Exact values at 0-based ranks of the non-null ``x`` of each series.
 
-    ``look`` is the first look at the series; ``wanted`` holds the keys, a number ``i`` and two
-    neighbouring ranks ``r0`` and ``r1``.  Returns keys, ``i``, the values ``v0`` and ``v1``, the
-    number of rows that tie with ``v0`` and the number of rows ``before`` them.
+    ``wanted`` is an array of (i, r0, r1, part) over the columns of the first look: a number, two
+    neighbouring ranks and the weight of the second.  Returns keys, ``n``, ``i``, ``part``, the
+    values ``v0`` and ``v1``, the number of rows that tie with ``v0`` and of rows ``before`` them.
     """
     keys = list(keys)
     state = _first_brackets(look, wanted, keys)
@@ -164,6 +169,12 @@ def select_ranks(
     return _read_off(series, state, keys, look.series)
 
 
+def _spot(i: int, r0: Column, r1: Column, part: Column) -> Column:
+    return F.struct(
+        F.lit(i).alias("i"), r0.cast("bigint").alias("r0"), r1.cast("bigint").alias("r1"), part.cast("double").alias("part")
+    )
+
+
 def as_series(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per (row, column) with a non-null double ``x``; NaN counts as missing.
 
@@ -198,22 +209,14 @@ def exact_quantiles(
     look = first_look(series, keys)
     if not by and look.largest <= percentile_rows:
         return _by_percentile(df, columns, probs, by)
-    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
-    place = F.col("spot.p") * (F.col("n") - 1)
-    places = look.table.select(*keys, "n", spots.alias("spot")).select(
-        *keys,
-        "n",
-        F.col("spot.i").alias("i"),
-        F.floor(place).alias("r0"),
-        F.ceil(place).alias("r1"),
-        (place - F.floor(place)).alias("part"),
-    )
-    found = select_ranks(series, look, places.select(*keys, "i", "r0", "r1"), keys, one_task_rows)
+    place = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    wanted = F.array(*[_spot(i, F.floor(h), F.ceil(h), h - F.floor(h)) for i, h in enumerate(place)])
+    found = select_ranks(series, look, wanted, keys, one_task_rows)
     value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
+    in_order = F.array_sort(F.collect_list(F.struct("i", value.alias("v"))))
     return (
-        places.join(found, [*keys, "i"])
-        .groupBy(*keys, "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))
+        found.groupBy(*keys)
+        .agg(F.max("n").alias("n"), F.transform(in_order, lambda s: s["v"]).alias("q"))
         .select(*by, F.get(F.array(*[F.lit(c) for c in columns]), F.col("sid")).alias("variable"), "n", "q")
     )
 
@@ -239,10 +242,8 @@ def _rows_at(
 
     def at(frame: DataFrame, column: str, wanted: Sequence[int], seen: Look | None) -> list[tuple[Any, int, int]]:
         series = _ordered(frame, column)
-        rows = df.sparkSession.createDataFrame(
-            [(0, i, int(r), int(r)) for i, r in enumerate(wanted)], "k int, i int, r0 bigint, r1 bigint"
-        )
-        found = select_ranks(series, seen or first_look(series, ["k"]), rows, ["k"], one_task_rows)
+        spots = F.array(*[_spot(i, F.lit(r), F.lit(r), F.lit(0)) for i, r in enumerate(wanted)])
+        found = select_ranks(series, seen or first_look(series, ["k"]), spots, ["k"], one_task_rows)
         return [(r["v0"], r["ties"], r["before"]) for r in found.orderBy("i").collect()]
 
     out = []
