@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from panelflow.presets import NULL_TOKENS
+from panelflow.presets import NULL_TOKENS, SIGNIFICANCE_CODES
 
 # Every character Python counts as blank, so that a strip here equals a Python strip.
 BLANKS = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
@@ -134,3 +134,13 @@ def rank_of(c: Column | str, ordered: Sequence[str]) -> Column:
     c = as_col(c)
     ranks = F.create_map(*[x for i, v in enumerate(ordered, 1) for x in (F.lit(v), F.lit(i))])
     return F.try_element_at(ranks, c)
+
+
+def significance_flag(c: Column | str) -> Column:
+    """Significance of a difference as -1, 0 or 1, from its text or its number."""
+    return to_integer(recode(strip(c), SIGNIFICANCE_CODES))
+
+
+def stamp_to_date(c: Column | str) -> Column:
+    """Date of a ``yyyyMMdd`` stamp, null where it is not one."""
+    return F.try_to_date(canonical_code(c), "yyyyMMdd")

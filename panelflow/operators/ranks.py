@@ -232,34 +232,48 @@ def _by_percentile(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     return wide.select(*by, rows.alias("s")).select(*by, "s.variable", "s.n", "s.q")
 
 
-def _rows_at(
-    df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], look: Look, one_task_rows: int
-) -> list[tuple[Any, ...]]:
-    """Order-key values of the rows at a handful of ranks, one tuple per rank.
+NOT_TOTAL = "order {} is not total: rows that tie lie on both sides of rank {}"
 
-    Columns after the first are looked at only among the rows that tie on the columns before.
-    """
 
-    def at(frame: DataFrame, column: str, wanted: Sequence[int], seen: Look | None) -> list[tuple[Any, int, int]]:
-        series = _ordered(frame, column)
-        spots = F.array(*[_spot(i, F.lit(r), F.lit(r), F.lit(0)) for i, r in enumerate(wanted)])
-        found = select_ranks(series, seen or first_look(series, ["k"]), spots, ["k"], one_task_rows)
-        return [(r["v0"], r["ties"], r["before"]) for r in found.orderBy("i").collect()]
-
-    out = []
-    for rank, (value, ties, before) in zip(ranks, at(df, order_by[0], ranks, look)):
-        key, frame, rest = [value], df, rank - before
-        for previous, column in zip(order_by, order_by[1:]):
-            if ties == 1:
-                break
-            frame = frame.where(F.col(previous) == F.lit(key[-1]))
-            [(value, ties, before)] = at(frame, column, [rest], None)
-            key.append(value)
-            rest -= before
-        if ties > 1:
-            raise ValueError(f"order {list(order_by)} is not total: {ties} rows tie at rank {rank}")
-        out.append(tuple(key))
-    return out
+def _numeric_cut(
+    df: DataFrame, order_by: Sequence[str], rank: int, found: tuple[Any, int, int], one_task_rows: int
+) -> tuple[Any, ...]:
+    """Order key of the row at a rank, given the value of its first column.
+
+    Later columns are looked at only among the rows that tie so far, and only if the rank is not
+    the first of them.
+    """
+    value, ties, before = found
+    if rank == before:
+        return (value,)
+    rest, later = rank - before, list(order_by[1:])
+    tied = df.where(F.col(order_by[0]) == F.lit(value)).select(*later)
+    if not later:
+        raise ValueError(NOT_TOTAL.format(list(order_by), rank))
+    if ties <= one_task_rows:
+        return (value, *_sorted_cut(tied, later, rest))
+    return (value, *_cuts(tied, later, [rest], None, one_task_rows)[0])
+
+
+def _sorted_cut(df: DataFrame, order_by: Sequence[str], rank: int) -> tuple[Any, ...]:
+    """Order key of the row at a rank among rows that fit one task."""
+    here = df.select(*order_by).orderBy(*order_by).offset(max(rank - 1, 0)).limit(2 if rank else 1).collect()
+    if rank and here[0] == here[1]:
+        raise ValueError(NOT_TOTAL.format(list(order_by), rank))
+    return tuple(here[-1])
+
+
+def _cuts(
+    df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], look: Look | None, one_task_rows: int
+) -> list[tuple[Any, ...]]:
+    series = _ordered(df, order_by[0])
+    spots = F.array(*[_spot(i, F.lit(r), F.lit(r), F.lit(0)) for i, r in enumerate(ranks)])
+    found = select_ranks(series, look or first_look(series, ["k"]), spots, ["k"], one_task_rows)
+    rows = sorted(found.select("i", "v0", "ties", "before").collect())
+    return [
+        _numeric_cut(df, order_by, rank, (row["v0"], row["ties"], row["before"]), one_task_rows)
+        for rank, row in zip(ranks, rows)
+    ]
 
 
 def _ordered(df: DataFrame, column: str) -> DataFrame:
@@ -279,12 +293,17 @@ def fold_cuts(
 ) -> list[tuple[Any, ...]]:
     """Order-key values at which the second and later folds begin.
 
-    The order columns hold numbers, dates or timestamps without nulls, and order the rows
-    totally.
+    The order columns hold no nulls and order the rows totally.  The first one is a number, date
+    or timestamp; a text column may break ties, or lead where all rows fit one task.
     """
+    if df.schema[order_by[0]].dataType.simpleString() == "string":
+        n = df.count()
+        if n > one_task_rows:
+            raise TypeError(f"{n} rows cannot be ordered by the text column {order_by[0]} first")
+        return [_sorted_cut(df, order_by, s) for s in fold_starts(n, folds) if s < n]
     look = first_look(_ordered(df, order_by[0]), ["k"])
-    n = look.largest
-    return _rows_at(df, order_by, [s for s in fold_starts(n, folds) if s < n], look, one_task_rows) if n else []
+    starts = [s for s in fold_starts(look.largest, folds) if s < look.largest]
+    return _cuts(df, order_by, starts, look, one_task_rows) if starts else []
 
 
 def contiguous_folds(

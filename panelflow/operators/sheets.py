@@ -24,7 +24,7 @@ from panelflow.functions.text import (
     template,
 )
 from panelflow.operators.reshape import first_valid
-from panelflow.operators.sized import join_written
+from panelflow.operators.sized import join_written, written
 
 SHEET = ["origin", "file", "sheet"]
 
@@ -128,9 +128,11 @@ def glossary_rows(cells: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     inside = join_written(wanted, spots, SHEET).where(
         (F.col("row_idx") > F.col("header_row")) & F.col("col_idx").isin(F.col("v"), F.col("d"))
     )
-    rows = inside.groupBy(*SHEET, "row_idx").agg(
-        F.max(F.when(F.col("col_idx") == F.col("v"), F.col("value"))).alias("variable"),
-        F.max(F.when(F.col("col_idx") == F.col("d"), F.col("value"))).alias("descripcion"),
+    rows = written(
+        inside.groupBy(*SHEET, "row_idx").agg(
+            F.max(F.when(F.col("col_idx") == F.col("v"), F.col("value"))).alias("variable"),
+            F.max(F.when(F.col("col_idx") == F.col("d"), F.col("value"))).alias("descripcion"),
+        )
     )
     name = lower_strip("variable")
     blank = F.col("variable").isNull() | (name == "") | (F.lower("variable") == "nan")

@@ -47,7 +47,9 @@ def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One row per non-empty file: header line, delimiter, encoding, field counts.
 
     One pass over the bytes.  A file whose bytes are all valid UTF-8 is UTF-8, any other is
-    Latin-1.  Fields are counted outside quotes, so a line with too many can be reported.
+    Latin-1.  Fields are counted outside quotes, so a line with too many can be reported.  The
+    validity flags are collected as a set (of at most two): with a collecting aggregate present
+    Spark keeps the header text in a hash map instead of sorting all lines by file.
     """
     lines = spark.read.text([literal_path(p) for p in paths]).select(
         file_path().alias("path"),
@@ -68,7 +70,7 @@ def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         .groupBy("path")
         .agg(
             F.min_by("value", F.when(F.col("filled"), F.struct("block", "row"))).alias("header"),
-            F.bool_and("utf8").alias("utf8"),
+            (~F.array_contains(F.collect_set("utf8"), F.lit(False))).alias("utf8"),
             *[F.max(f"fields_{i}").alias(f"widest_{i}") for i in range(3)],
         )
     )

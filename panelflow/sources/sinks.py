@@ -7,8 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Comma, header, UTF-8 without a byte order mark."""
+BOM = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = False) -> None:
+    """Comma, header, UTF-8.
+
+    With ``bom`` every file starts with a byte order mark: Spark has no option for it, but the
+    mark can be the first character of the header.
+    """
+    if bom:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
     df.write.mode(mode).option("encoding", "UTF-8").option("quote", '"').option("escape", '"').csv(path, header=True)
 
 

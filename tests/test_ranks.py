@@ -72,6 +72,29 @@ def test_folds_by_two_columns(spark):
     assert [r["fold"] for r in got] == [i for i, part in enumerate(np.array_split(range(57), 5)) for _ in part]
 
 
+@pytest.mark.parametrize("one_task_rows", [4, 1000])
+def test_folds_by_number_date_and_text(spark, one_task_rows):
+    rows = [(i // 20, i // 4, "dcba"[i % 4]) for i in range(117)]
+    df = spark.createDataFrame(rows, "a int, b int, c string").repartition(5)
+    want = {r: i for i, part in enumerate(np.array_split(np.arange(117), 5)) for r in part}
+    place = {r: i for i, r in enumerate(sorted(rows))}
+    got = ranks.contiguous_folds(df, ["a", "b", "c"], 5, one_task_rows=one_task_rows).collect()
+    assert all(r["fold"] == want[place[(r["a"], r["b"], r["c"])]] for r in got)
+
+
+def test_folds_by_text_alone(spark):
+    df = spark.createDataFrame([(f"n{i:03}",) for i in range(23)], "name string").repartition(3)
+    got = [r["fold"] for r in ranks.contiguous_folds(df, ["name"], 5).orderBy("name").collect()]
+    assert got == [i for i, part in enumerate(np.array_split(range(23), 5)) for _ in part]
+    with pytest.raises(TypeError):
+        ranks.contiguous_folds(df, ["name"], 5, one_task_rows=10)
+
+
+def test_ties_that_start_a_fold_are_fine(spark):
+    got = ranks.contiguous_folds(frame(spark, [0.0, 0.5, 1.0, 1.0]), ["x"], 2).orderBy("x").collect()
+    assert [r["fold"] for r in got] == [0, 0, 1, 1]
+
+
 def test_an_order_that_ties_at_a_cut_is_refused(spark):
     with pytest.raises(ValueError, match="not total"):
         ranks.contiguous_folds(frame(spark, [1.0] * 10), ["x"], 5)

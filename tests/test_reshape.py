@@ -147,3 +147,14 @@ def test_top_effects_are_ordered_by_size(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", -5.0), ("c", 5.0), ("d", 0.5), ("e", 2.0), ("f", -3.0)], "term string, coefficient double")
     got = [(r["term"], r["sign"]) for r in top_effects(df).collect()]
     assert got == [("b", "negative"), ("c", "positive"), ("f", "negative"), ("e", "positive"), ("a", "positive")]
+
+
+def test_flags_and_stamps(spark):
+    import datetime
+
+    from panelflow.functions.text import significance_flag, stamp_to_date
+
+    df = spark.createDataFrame([("No significativa", "20171024"), ("-1", "2017"), ("Positiva y significativa", "20171024.0"), ("?", None)], "f string, d string")
+    got = [tuple(r) for r in df.select(significance_flag("f"), stamp_to_date("d")).collect()]
+    day = datetime.date(2017, 10, 24)
+    assert got == [(0, day), (-1, None), (1, day), (None, None)]

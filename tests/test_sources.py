@@ -178,6 +178,12 @@ def test_names_with_blanks_and_accents(spark, tmp_path):
     assert done.quarantine.count() == 0
 
 
+def test_profiling_does_not_sort_the_lines(spark, tmp_path, plan):
+    put(f"{tmp_path}/a.csv", [["a", "b"]])
+    text = plan(profile_files(spark, [f"{tmp_path}/a.csv"]))
+    assert "ObjectHashAggregate" in text and "SortAggregate" not in text
+
+
 def test_profile_prefers_the_pipe(spark, tmp_path):
     put(f"{tmp_path}/a.csv", [["a;b,c", "d"]], "|")
     put(f"{tmp_path}/b.csv", [["a,b", "c"]], ";")
@@ -212,6 +218,10 @@ def test_sinks_round_trip(spark, tmp_path):
     write_csv(df, f"{tmp_path}/new/deep/csv")
     back = spark.read.csv(f"{tmp_path}/new/deep/csv", header=True, escape='"')
     assert sorted(tuple(r) for r in back.collect()) == [("1", "2016", "2m", 'say "x", y'), ("2", "2017", "4b", "ñ")]
+    write_csv(df, f"{tmp_path}/marked", bom=True)
+    for part in (f for f in os.listdir(f"{tmp_path}/marked") if f.endswith(".csv")):
+        with open(f"{tmp_path}/marked/{part}", "rb") as f:
+            assert f.read().startswith(b"\xef\xbb\xbfrbd,agno")
     write_panel(df, f"{tmp_path}/panel")
     one = spark.read.parquet(f"{tmp_path}/panel").where("agno = 2016 and curso = '2m'")
     assert one.count() == 1
