@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelflow.functions.text import as_col
 from panelflow.operators.ranks import contiguous_folds
+from panelflow.operators.sized import written
 
 ALL = ("", "")
 
@@ -90,10 +91,10 @@ def within_category_fit(df: DataFrame, x: str, y: str, category: str) -> DataFra
     """Common slope of y on x with one effect per category, from one grouped pass.
 
     ``effect`` is the level of the category, ``coefficient`` its distance from the plain mean of
-    all levels.  The second aggregation runs over one row per category.
+    all levels.  The grouped pass is written, so the pooled slope reads one row per category.
     """
     rows = F.count(F.lit(1))
-    cells = (
+    cells = written(
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(category).isNotNull())
         .groupBy(category)
         .agg(
@@ -104,18 +105,14 @@ def within_category_fit(df: DataFrame, x: str, y: str, category: str) -> DataFra
             (F.var_pop(x) * rows).alias("sxx"),
         )
     )
-    pooled = cells.agg(
-        F.collect_list(F.struct(category, "n", "mean_x", "mean_y")).alias("cells"),
-        (F.sum("sxy") / F.nullif(F.sum("sxx"), F.lit(0.0))).alias("slope"),
-        F.avg("mean_x").alias("mid_x"),
-        F.avg("mean_y").alias("mid_y"),
-    )
-    effect = F.col("c.mean_y") - F.col("slope") * F.col("c.mean_x")
-    middle = F.col("mid_y") - F.col("slope") * F.col("mid_x")
-    return pooled.select(F.explode("cells").alias("c"), "slope", "mid_x", "mid_y").select(
-        F.col(f"c.{category}").alias(category),
-        F.col("c.n").alias("n"),
-        "slope",
+    slope = (F.sum("sxy") / F.nullif(F.sum("sxx"), F.lit(0.0))).alias("slope")
+    pooled = cells.agg(F.struct(slope, F.avg("mean_x").alias("x"), F.avg("mean_y").alias("y")).alias("pooled"))
+    effect = F.col("mean_y") - F.col("pooled.slope") * F.col("mean_x")
+    middle = F.col("pooled.y") - F.col("pooled.slope") * F.col("pooled.x")
+    return cells.withColumn("pooled", pooled.scalar()).select(
+        category,
+        "n",
+        F.col("pooled.slope").alias("slope"),
         effect.alias("effect"),
         (effect - middle).alias("coefficient"),
     )

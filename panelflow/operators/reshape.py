@@ -40,11 +40,12 @@ def long_to_wide(
     targets: Mapping[str, str],
     context: Sequence[str] = (),
     order_by: Sequence[Column | str] = (),
+    may_be_null: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key: the mean of each target, and the first filled context values.
 
     One aggregation does both.  Codes that map to one target are averaged together; unmapped
-    codes, null keys and keys without a single number drop out.
+    codes, null keys (but for those that may be null) and keys without a single number drop out.
     """
     if context and not order_by:
         raise ValueError("context values need a declared row order")
@@ -54,7 +55,7 @@ def long_to_wide(
         "_target": map_code(code_of(code), targets),
         "_value": to_number(value) if df.schema[value].dataType.simpleString() == "string" else F.col(value),
     }).where(F.col("_target").isNotNull())
-    coded = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, coded)
+    coded = reduce(lambda d, k: d.where(F.col(k).isNotNull()), [k for k in keys if k not in may_be_null], coded)
     means = [F.avg(F.when(F.col("_target") == t, number)).alias(t) for t in names]
     firsts = [first_filled(c, order_by).alias(c) for c in context]
     wide = coded.groupBy(*keys).agg(*means, *firsts)
@@ -68,6 +69,7 @@ def widen(
     numeric_codes: Mapping[str, str],
     context: Sequence[str],
     order_by: Sequence[Column | str],
+    may_be_null: Sequence[str] = (),
     value: str = "prom",
     text_column: str = "ind",
     numeric_column: str = "id_indicador",
@@ -79,7 +81,7 @@ def widen(
     for column, codes in ((text_column, text_codes), (numeric_column, numeric_codes)):
         if column in have:
             present = [c for c in context if c in have]
-            return long_to_wide(df, [k for k in keys if k in have], column, value, codes, present, order_by)
+            return long_to_wide(df, [k for k in keys if k in have], column, value, codes, present, order_by, may_be_null)
     return df
 
 
@@ -110,11 +112,12 @@ class DuplicateKeys(ValueError):
     pass
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    example = duplicate_keys(df, keys).first()
+def require_unique(frames: Sequence[DataFrame], keys: Sequence[str]) -> None:
+    """Fail if a key occurs twice in any of the frames; one job for all of them."""
+    tagged = [df.select(F.lit(side).alias("_side"), *keys) for side, df in enumerate(frames)]
+    example = duplicate_keys(reduce(DataFrame.unionAll, tagged), ["_side", *keys]).first()
     if example is not None:
         raise DuplicateKeys(f"more than one row for {example.asDict()}")
-    return df
 
 
 def panel_join(
@@ -131,8 +134,7 @@ def panel_join(
     rows.
     """
     if check:
-        require_unique(left, keys)
-        require_unique(right, keys)
+        require_unique([left, right], keys)
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in shared})
     joined = left.join(renamed, list(keys), how)

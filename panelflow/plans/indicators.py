@@ -30,6 +30,8 @@ def _wide(frame: DataFrame) -> DataFrame:
     name = base_name("_path")
     frame = nullify(frame, [c for c in frame.columns if c not in PLACE], stripped=False)
     year = year_in(name)
+    # A file that tells its year nowhere still has one row per entity and level.
+    no_year = [] if "agno" in frame.columns else ["agno"]
     if "agno" in frame.columns:
         year = F.coalesce(year, coerce(F.col("agno"), frame.schema["agno"].dataType, INDICATOR_SCHEMA["agno"].dataType))
     frame = frame.withColumns({"curso": level_of_folder(parent_folder("_path")), "agno": year})
@@ -41,6 +43,7 @@ def _wide(frame: DataFrame) -> DataFrame:
         NUMERIC_INDICATOR_CODES,
         context,
         ["_block", "_row"],
+        no_year,
     )
     for column in ("_block", "_row"):
         if column not in wide.columns:

@@ -155,7 +155,9 @@ def regression_metrics(t: Tables) -> DataFrame:
 
 @query(sql_histogram(f"SELECT y - predicted AS x FROM {SQL_SCORED}", 4))
 def residual_histogram(t: Tables) -> DataFrame:
-    return gridded_histogram(histogram(op.residuals(scored_lines(t), "y", "predicted"), "residual", 40), 4)
+    # Written once: the range and the counts are two passes over it.
+    residuals = written(op.residuals(scored_lines(t), "y", "predicted").select("residual"))
+    return gridded_histogram(histogram(residuals, "residual", 40), 4)
 
 
 @query(f"""
@@ -164,7 +166,7 @@ SELECT {sql_grid('y', 2)} AS y, {sql_grid('predicted', 4)} AS predicted, {sql_gr
 FROM s, (SELECT least(min(y), min(predicted)) AS lo, greatest(max(y), max(predicted)) AS hi FROM s)
 """)
 def actual_vs_predicted(t: Tables) -> DataFrame:
-    scored = scored_lines(t)
+    scored = written(scored_lines(t).select("y", "predicted"))
     ends = joint_range(scored, "y", "predicted").select(F.struct("lo", "hi").alias("ends")).scalar()
     ranged = scored.withColumn("ends", ends)
     return ranged.select(

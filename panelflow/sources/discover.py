@@ -43,11 +43,11 @@ def file_path() -> Column:
     return F.url_decode(encoded)
 
 
-def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def profile_files(spark: SparkSession, paths: Sequence[str], encoding: str | None = None) -> DataFrame:
     """One row per non-empty file: header line, delimiter, encoding, field counts.
 
     One pass over the bytes.  A file whose bytes are all valid UTF-8 is UTF-8, any other is
-    Latin-1.  Fields are counted outside quotes, so a line with too many can be reported.  The
+    Latin-1, unless the encoding is given.  Fields are counted outside quotes, so a line with too many can be reported.  The
     validity flags are collected as a set (of at most two): with a collecting aggregate present
     Spark keeps the header text in a hash map instead of sorting all lines by file.
     """
@@ -74,11 +74,14 @@ def profile_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             *[F.max(f"fields_{i}").alias(f"widest_{i}") for i in range(3)],
         )
     )
-    decoded = F.when(F.col("utf8"), F.col("header")).otherwise(F.decode(F.col("header").cast("binary"), "ISO-8859-1"))
+    detected = F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))
+    name = F.lit(encoding) if encoding else detected
+    raw = F.col("header").cast("binary")
+    decoded = F.when(name == "UTF-8", F.col("header")).otherwise(F.decode(raw, encoding or "ISO-8859-1"))
     known = facts.where(F.col("header").isNotNull()).select(
         "path",
-        F.regexp_replace(decoded, "^﻿", "").alias("header"),
-        F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"),
+        F.regexp_replace(decoded, "^\ufeff", "").alias("header"),
+        name.alias("encoding"),
         *[f"widest_{i}" for i in range(3)],
     )
     separator = first_delimiter("header")

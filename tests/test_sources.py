@@ -99,6 +99,20 @@ def test_year_of_the_name_beats_the_column_and_the_column_fills_in(spark, tmp_pa
     assert rows == {1: 2019, 2: 2018}
 
 
+def test_a_long_file_without_any_year_keeps_its_rows(spark, tmp_path):
+    put(f"{tmp_path}/6/noyear.csv", [["rbd", "ind", "prom"], [2, "AM", 5]])
+    [row] = consolidate_indicators(spark, str(tmp_path)).table.collect()
+    assert (row["rbd"], row["agno"], row["curso"], row["idps_am"]) == (2, None, "6b", 5.0)
+
+
+def test_a_given_encoding_is_used_for_header_and_rows(spark, tmp_path):
+    put(f"{tmp_path}/a.csv", [["año", "b"], ["ñ", 2]], encoding="utf-8")
+    put(f"{tmp_path}/b.csv", [["año", "b"], ["ñ", 2]], encoding="latin-1")
+    garbled, plain = (r for f in ("a", "b") for r in read_delimited(spark, [f"{tmp_path}/{f}.csv"], encoding="ISO-8859-1").frames)
+    assert [tuple(r)[:2] for r in plain.collect()] == [("ñ", "2")]
+    assert garbled.columns[:2] == ["aã±o", "b"] and [tuple(r)[:2] for r in garbled.collect()] == [("Ã±", "2")]
+
+
 def score_files(root):
     put(f"{root}/s/scores2m2016_rbd.csv", [["rbd", "prom_mate2m_rbd", "prom_lect2m_rbd", "cod_grupo", "extra"],
         [1, 250, 260, "1", "x"], [2, "*", 240, "2", "x"], [3, " ", 1, "", "x"], [4, "5d", 1, "", "x"], [5, 200, "NaN", "", ""]], "|")
@@ -163,7 +177,7 @@ def test_repeated_names_keep_the_first_column(spark, tmp_path):
     assert [tuple(r) for r in frame.select("nom", "x").collect()] == [("1", "4")]
 
 
-def test_a_row_that_repeats_the_header_is_dropped_once_per_file(spark, tmp_path):
+def test_the_header_of_every_file_is_dropped(spark, tmp_path):
     put(f"{tmp_path}/a.csv", [["a", "b"], [1, 2], [3, 4]], end="\r\n")
     put(f"{tmp_path}/b.csv", [["a", "b"], [5, 6]])
     [frame] = read_delimited(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"]).frames
