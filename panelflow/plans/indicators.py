@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelflow.functions.filenames import base_name, is_main_file, level_of_folder, parent_folder, year_in
+from panelflow.functions.text import to_number
 from panelflow.operators.cleaning import cleaning_audit, nullify
 from panelflow.operators.columns import by_alias, coerce, conform
-from panelflow.operators.reshape import keep_last, stack_tables, widen
+from panelflow.operators.reshape import code_of, detail_to_wide, keep_last, merge_details, stack_tables, widen
 from panelflow.plans.scores import PLACE, Consolidated
 from panelflow.presets import (
+    DETAIL_PAIRS,
     INDICATOR_ALIASES,
     INDICATOR_SCHEMA,
     INDICATORS,
@@ -51,6 +53,18 @@ def _wide(frame: DataFrame) -> DataFrame:
     return conform(wide, INDICATOR_SCHEMA, PLACE)
 
 
+def add_details(indicators: DataFrame, details: DataFrame) -> DataFrame:
+    """Indicator table with one column per sub-dimension.
+
+    ``details`` is a long table of the panel keys, ``ind``, ``dim`` and ``prom``.
+    """
+    coded = details.select(
+        *PANEL_KEYS, code_of("ind").alias("ind"), code_of("dim").alias("dim"), to_number("prom").alias("prom")
+    )
+    wide = detail_to_wide(coded, PANEL_KEYS, "ind", "dim", "prom", DETAIL_PAIRS)
+    return merge_details(indicators, wide, PANEL_KEYS)
+
+
 def consolidate_indicators(spark: SparkSession, folder: str, encoding: str | None = None) -> Consolidated:
     """Indicator table of the main files in the level folders, one row per key, last file wins."""
     root = "/" + bare_path(folder).strip("/")

@@ -55,6 +55,41 @@ INDICATOR_SCHEMA = T.StructType([
     T.StructField("fecha_bbdd", T.StringType()),
 ])
 
+# The analysis table and the consolidated names behind its columns.
+ANALYSIS_SCHEMA = T.StructType([
+    T.StructField("rbd", T.LongType()),
+    T.StructField("agno", T.IntegerType()),
+    T.StructField("cod_grupo", T.StringType()),
+    T.StructField("cod_depe2", T.StringType()),
+    T.StructField("cod_rural_rbd", T.StringType()),
+    T.StructField("prom_mate2m_rbd", T.DoubleType()),
+    T.StructField("prom_lect2m_rbd", T.DoubleType()),
+    T.StructField("ind_am", T.DoubleType()),
+    T.StructField("ind_cc", T.DoubleType()),
+    T.StructField("ind_hv", T.DoubleType()),
+    T.StructField("ind_pf", T.DoubleType()),
+])
+ANALYSIS_RENAMES = {
+    "prom_mate_rbd": "prom_mate2m_rbd",
+    "prom_lect_rbd": "prom_lect2m_rbd",
+    "idps_am": "ind_am",
+    "idps_cc": "ind_cc",
+    "idps_hv": "ind_hv",
+    "idps_pf": "ind_pf",
+}
+ANALYSIS_LEVEL = "2m"
+ANALYSIS_TARGETS = ["prom_mate2m_rbd", "prom_lect2m_rbd"]
+ANALYSIS_NUMERIC = ["ind_am", "ind_cc", "ind_hv", "ind_pf"]
+ANALYSIS_CATEGORICAL = ["cod_grupo", "cod_rural_rbd", "cod_depe2"]
+
+# Sub-dimensions of the indicators, as (indicator, dimension).
+DETAIL_PAIRS = [
+    ("am", "aa"), ("am", "me"),
+    ("cc", "ao"), ("cc", "ar"), ("cc", "as"),
+    ("hv", "ac"), ("hv", "ha"), ("hv", "va"),
+    ("pf", "pa"), ("pf", "sp"), ("pf", "vd"),
+]
+
 # The four measures of the indicator table.
 INDICATORS = ["idps_am", "idps_cc", "idps_hv", "idps_pf"]
 

@@ -59,6 +59,12 @@ def test_level_of_the_sheet_wins(spark):
     assert row["contexto"] == "scores_8b_2016_parte 8B"
 
 
+def test_generic_names_fold_levels(spark):
+    rows = sheet("scores", "scores2m2016.xlsx", "a", [["variable", "label"], ["prom_mate2m_rbd", "b"], ["prom_mate4b_rbd", "c"]])
+    [row] = build_dictionary(spark.createDataFrame(rows, CELLS), ["scores"], generic=True).table.collect()
+    assert (row["variable"], row["descripcion"]) == ("prom_mate_rbd", "b")
+
+
 def test_a_hot_variable_costs_one_row_per_context(spark, plan):
     rows = spark.range(5000).select(
         F.lit("rbd").alias("variable"), F.lit("").alias("descripcion"), (F.col("id") % 3).cast("string").alias("contexto"), F.col("id").alias("place")

@@ -251,6 +251,60 @@ def test_join_and_clean(spark, tmp_path):
     assert (row["rbd"], row["agno"], row["curso"], row["cod_grupo"], row["nom_rbd"], row["idps_am"]) == (1, 2016, "2m", "1", "school", 1.0)
 
 
+def test_analysis_from_table_to_interpretation(spark, tmp_path):
+    import numpy as np
+
+    from panelflow.plans.analysis import (
+        analysis_table, fit_and_compare, interpret, profile_panel, read_analysis_table)
+    from panelflow.presets import ANALYSIS_CATEGORICAL, ANALYSIS_NUMERIC, ANALYSIS_SCHEMA, ANALYSIS_TARGETS
+
+    rng = np.random.default_rng(1)
+    lines = []
+    for i in range(400):
+        am, cc, hv, pf = (round(float(v), 2) for v in rng.normal(70, 5, 4))
+        group = int(rng.integers(1, 6))
+        y = 100 + 2 * cc + 10 * group + float(rng.normal(0, 3))
+        lines.append([i, 2018 + i % 3, f"{group}.0" if i % 2 else ["Bajo", "Medio bajo", "Medio", "Medio alto", "Alto"][group - 1],
+                      1 + i % 4, 1 + i % 2, round(y, 3), round(y / 2 + am, 3), am, cc, hv, pf])
+    lines.append([999, 2020, "", 1, 1, 1, 1, 1, 1, 1, 1])
+    put(f"{tmp_path}/panel.csv", [ANALYSIS_SCHEMA.names, *lines])
+    raw = read_analysis_table(spark, f"{tmp_path}/panel.csv")
+    assert raw.schema == ANALYSIS_SCHEMA and raw.count() == 401
+    panel = clean_panel(raw, ANALYSIS_TARGETS)
+    assert {r[0] for r in panel.select("cod_grupo").distinct().collect()} == {"Bajo", "Medio bajo", "Medio", "Medio alto", "Alto"}
+    profile = profile_panel(panel)
+    assert profile.summary.count() == 6 and profile.correlations.count() == 36
+    boxes = profile.boxes["cod_grupo", "prom_mate2m_rbd"].collect()
+    assert [b["cod_grupo"] for b in boxes] == ["Bajo", "Medio bajo", "Medio", "Medio alto", "Alto"]
+    assert sum(r["rows"] for r in profile.histograms["prom_lect2m_rbd"].collect()) == panel.count()
+    assert profile.scatter["prom_mate2m_rbd"].count() == 4 * panel.count()
+    done = fit_and_compare(panel, ANALYSIS_NUMERIC, ANALYSIS_CATEGORICAL, ANALYSIS_TARGETS, "rbd", ["rbd", "agno"])
+    table = {r["metric"]: r for r in done.comparison.collect()}
+    assert table["R2"]["prom_mate2m_rbd"] > 0.9 and table["R2_CV"]["prom_mate2m_rbd"] > 0.9
+    seen = interpret(done, "prom_mate2m_rbd")
+    assert len(seen.top.collect()) == 5
+    assert sum(r["rows"] for r in seen.residuals.collect()) == seen.points.count() == done.scored.count()
+    lo, hi = seen.line.first()
+    assert lo < hi
+
+    joined = spark.createDataFrame([(1, 2020, "2m", 1.0, 2.0, 3.0), (1, 2020, "4b", 9.0, 9.0, 9.0)],
+        "rbd bigint, agno int, curso string, prom_mate_rbd double, prom_lect_rbd double, idps_am double")
+    [row] = analysis_table(joined).collect()
+    assert (row["prom_mate2m_rbd"], row["ind_am"], row["ind_cc"]) == (1.0, 3.0, None)
+
+
+def test_details_join_the_indicators(spark):
+    from panelflow.plans.indicators import add_details
+
+    keys = "rbd bigint, agno int, curso string"
+    main = spark.createDataFrame([(1, 2020, "2m"), (2, 2020, "2m")], keys)
+    details = spark.createDataFrame([(1, 2020, "2m", "AM", "AA", "4"), (1, 2020, "2m", "am", "aa", "6"), (1, 2020, "2m", "pf", "vd", "*")],
+        keys + ", ind string, dim string, prom string")
+    got = {r["rbd"]: r for r in add_details(main, details).collect()}
+    assert got[1]["dim_am_aa"] == 5.0 and got[1]["dim_pf_vd"] is None and got[2]["dim_am_aa"] is None
+    assert len(got[1]) == 3 + 11
+
+
 def test_cleaning_takes_codes_in_any_spelling(spark):
     rows = [("1.0", "2", "Urbano", float(v), 10.0) for v in range(20)] + [("Bajo", "2.0", "2", 500.0, 10.0), (None, "1", "1", 5.0, 5.0)]
     df = spark.createDataFrame(rows, "cod_grupo string, cod_depe2 string, cod_rural_rbd string, y double, z double")
