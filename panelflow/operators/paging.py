@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelflow.functions.text import strip
 from panelflow.operators.sized import join_written
-from panelflow.presets import PAGE_PLACEHOLDER
+from panelflow.presets import PAGE_PLACEHOLDER, PAGE_TITLE
 
 PAGES_PER_PART = 1000
 
@@ -27,16 +27,20 @@ def assemble_pages(
     page: str,
     text: str,
     placeholder: str = PAGE_PLACEHOLDER,
+    title: str = PAGE_TITLE,
     pages_per_part: int = PAGES_PER_PART,
 ) -> DataFrame:
-    """The listing of each document, in parts of a bounded number of pages.
+    """The listing of each document under a title, in parts of a bounded number of pages.
 
-    The parts in order are the whole listing.  An ordinary document is one part; a document
+    The parts in order, one per line break, are the whole listing.  An ordinary document is one part; a document
     with millions of pages is spread over many rows and tasks.
     """
     blocks = page_blocks(pages, doc, page, text, placeholder)
     part = F.floor((F.col("page_no") - 1) / pages_per_part).alias("part")
     in_order = F.array_sort(F.collect_list(F.struct("page_no", "block")))
-    return blocks.groupBy(doc, part).agg(
-        F.max("pages").alias("pages"), F.array_join(F.transform(in_order, lambda b: b["block"]), "\n").alias("listing")
+    text_of_part = F.array_join(F.transform(in_order, lambda b: b["block"]), "\n")
+    return (
+        blocks.groupBy(doc, part)
+        .agg(F.max("pages").alias("pages"), text_of_part.alias("listing"))
+        .withColumn("listing", F.when(F.col("part") == 0, F.concat(F.lit(title + "\n\n"), "listing")).otherwise(F.col("listing")))
     )

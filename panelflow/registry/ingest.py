@@ -86,7 +86,8 @@ blocks AS (
                 coalesce(nullif(trim(text, {SQL_BLANKS}), ''), '_(sin texto extraíble — slide visual)_'), chr(10)) AS block
   FROM pages_in p JOIN totals t ON p.conv_id = t.conv_id)
 SELECT conv_id, CAST(floor((page_no - 1) / 1000) AS BIGINT) AS part, max(pages) AS pages,
-       string_agg(block, chr(10) ORDER BY page_no) AS listing
+       concat(CASE WHEN min(page_no) <= 1000 THEN concat('# Extracción de Presentación PDF', chr(10), chr(10)) ELSE '' END,
+              string_agg(block, chr(10) ORDER BY page_no)) AS listing
 FROM blocks GROUP BY ALL
 """)
 def assemble_pages(t: Tables) -> DataFrame:

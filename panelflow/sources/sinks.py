@@ -24,3 +24,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = Fal
 def write_panel(df: DataFrame, path: str, by: Sequence[str] = ("agno", "curso"), mode: str = "overwrite") -> None:
     """Parquet in one folder per year and level, so later reads prune by both."""
     df.write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def write_listings(parts: DataFrame, path: str, doc: str, mode: str = "overwrite") -> None:
+    """Text, one folder per document; its files in name order are the listing."""
+    in_order = parts.repartitionByRange(doc, "part").sortWithinPartitions(doc, "part")
+    in_order.select(doc, "listing").write.mode(mode).partitionBy(doc).text(path)

@@ -82,12 +82,23 @@ def test_cut_and_header_are_positions_not_filters(spark):
     assert sorted(tuple(r) for r in body.collect()) == [rows[2], rows[3], rows[4]]
 
 
-def test_pages_are_all_numbered(spark):
+def test_pages_are_all_numbered(spark, tmp_path):
+    import glob
+
+    from panelflow.sources.sinks import write_listings
+
     rows = [("d", 2, None), ("d", 1, "  one\n"), ("d", 3, " \t "), ("e", 1, "x")]
     pages = spark.createDataFrame(rows, "doc string, page int, text string").repartition(3)
-    [d, e] = assemble_pages(pages, "doc", "page", "text", "(none)").orderBy("doc").collect()
-    assert d["listing"] == "## --- SLIDE 1 / 3 ---\n\none\n\n## --- SLIDE 2 / 3 ---\n\n(none)\n\n## --- SLIDE 3 / 3 ---\n\n(none)\n"
+    parts = assemble_pages(pages, "doc", "page", "text", "(none)", "# T")
+    [d, e] = parts.orderBy("doc").collect()
+    want = "# T\n\n## --- SLIDE 1 / 3 ---\n\none\n\n## --- SLIDE 2 / 3 ---\n\n(none)\n\n## --- SLIDE 3 / 3 ---\n\n(none)\n"
+    assert d["listing"] == want
     assert e["pages"] == 1
+    one_page = assemble_pages(pages, "doc", "page", "text", "(none)", "# T", pages_per_part=1)
+    for i, frame in enumerate((parts, one_page)):
+        write_listings(frame, f"{tmp_path}/{i}", "doc")
+        files = sorted(glob.glob(f"{tmp_path}/{i}/doc=d/*.txt"))
+        assert "".join(open(f).read() for f in files) == want + "\n"
 
 
 def test_parts_of_a_long_document_add_up(spark):
