@@ -57,7 +57,12 @@ def to_integer(c: Column | str, kind: str = "int") -> Column:
 
 def canonical_code(c: Column | str) -> Column:
     """One spelling per code: ``1``, ``1.0`` and ``1.00`` are all ``1``."""
-    return F.regexp_replace(strip(c), r"^([+-]?\d+)\.0+$", "$1")
+    return whole_number(strip(c))
+
+
+def whole_number(text: Column) -> Column:
+    """Drop a fraction of zeros."""
+    return F.regexp_replace(text, r"^([+-]?\d+)\.0+$", "$1")
 
 
 def _literal_map(mapping: Mapping[str, str]) -> Column:

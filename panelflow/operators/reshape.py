@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelflow.functions.text import as_col, canonical_code, lower_strip, map_code, to_number
+from panelflow.functions.text import as_col, lower_strip, map_code, to_number, whole_number
 
 
-def code_of(c: Column | str) -> Column:
-    """Indicator code as the maps spell it."""
-    return canonical_code(lower_strip(c))
+def code_of(c: Column | str, codes: Iterable[str] = ()) -> Column:
+    """Indicator code as the maps spell it; only maps with numeric codes need ``1.0`` to be ``1``."""
+    text = lower_strip(c)
+    return whole_number(text) if any(code.isdigit() for code in codes) else text
 
 
 def first_filled(c: Column | str, order_by: Sequence[Column | str]) -> Column:
@@ -52,7 +53,7 @@ def long_to_wide(
     names = list(dict.fromkeys(targets.values()))
     number = F.col("_value")
     coded = df.withColumns({
-        "_target": map_code(code_of(code), targets),
+        "_target": map_code(code_of(code, targets), targets),
         "_value": to_number(value) if df.schema[value].dataType.simpleString() == "string" else F.col(value),
     }).where(F.col("_target").isNotNull())
     coded = reduce(lambda d, k: d.where(F.col(k).isNotNull()), [k for k in keys if k not in may_be_null], coded)

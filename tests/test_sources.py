@@ -5,8 +5,6 @@ from __future__ import annotations
 import itertools
 import os
 
-import pytest
-from pyspark.sql import functions as F
 
 from panelflow.plans.analysis import clean_panel, join_panel
 from panelflow.plans.indicators import consolidate_indicators
