@@ -317,7 +317,7 @@ def least_norm(gram: np.ndarray, rhs: np.ndarray, tolerance: float = 1e-10) -> n
     a dependent one; the part of the solution that lies in the null space is then removed.
     """
     diagonal = np.diag(gram)
-    used = diagonal > tolerance * max(diagonal.max(initial=0.0), 1e-300) * 1e-6
+    used = diagonal > 0
     out = np.zeros(len(rhs))
     if not used.any():
         return out
@@ -338,12 +338,12 @@ def solve(moments: Moments, train: Gram) -> list[LinearModel]:
     n = m[0, 0]
     mean = m[0] / n
     centred = m - n * np.outer(mean, mean)
+    # What is left of a constant column after centring is rounding, not spread.
+    spread = np.diag(centred) > 1e-12 * np.diag(m)
     x = [i for i, t in enumerate(terms) if t[0] not in ("", "=") and (t[0] == "#" or m[i, i] > 0)]
-    scale = np.ones(len(terms))
-    for i, t in enumerate(terms):
-        if t[0] == "#":
-            sd = np.sqrt(max(centred[i, i], 0.0) / n)
-            scale[i] = sd if sd > 1e-12 * max(1.0, abs(moments.centre[t[1]])) else 1.0
+    scale = np.array([np.sqrt(centred[i, i] / n) if t[0] == "#" and spread[i] else 1.0 for i, t in enumerate(terms)])
+    centred[~spread, :] = 0.0
+    centred[:, ~spread] = 0.0
     gram = centred[np.ix_(x, x)] / np.outer(scale[x], scale[x])
     models = []
     for target in moments.targets:

@@ -67,6 +67,16 @@ def test_constant_and_repeated_columns(spark):
     assert models[0].intercept == pytest.approx(intercept)
 
 
+def test_a_column_constant_in_training_has_no_effect(spark):
+    """The last fold alone varies, so the fit on the others sees a constant far from the mean."""
+    rng = np.random.default_rng(9)
+    rows = [(i, 0.1 if i < 400 else float(rng.normal(7, 2)), float(rng.normal()), "p", "uv"[i % 2], float(rng.normal(i % 5)), 1.0) for i in range(500)]
+    scores = op.cross_validate(spark.createDataFrame(rows, SCHEMA), NUMERIC, CATEGORICAL, ["y"], ["id"], 5).collect()
+    last = next(s["r2"] for s in scores if s["fold"] == 4)
+    train, test = [(r[0], 0.0, *r[2:]) for r in rows[:400]], [(r[0], 0.0, *r[2:]) for r in rows[400:]]
+    assert last == pytest.approx(r2(np.array([r[5] for r in test]), reference(test, train, 5)[3]), abs=1e-8)
+
+
 def test_unseen_label_predicts_without_an_effect(spark):
     rows = rows_of(300, rare=False)
     [model] = op.fit(spark.createDataFrame(rows, SCHEMA), NUMERIC, CATEGORICAL, ["y"])
