@@ -54,19 +54,38 @@ def first_look(series: DataFrame, keys: Sequence[str]) -> Look:
     return Look(table, seen.get["series"], seen.get["largest"] or 0)
 
 
+@dataclass(frozen=True)
+class Spot:
+    """A wanted place in a series: two neighbouring 0-based ranks, over the columns of the look."""
+
+    r0: Column
+    r1: Column
+
+    @staticmethod
+    def at(rank: int) -> Spot:
+        return Spot(F.lit(rank).cast("bigint"), F.lit(rank).cast("bigint"))
+
+    @staticmethod
+    def between(place: Column) -> Spot:
+        return Spot(F.floor(place), F.ceil(place))
+
+
 def _cell(rank: Column, rows: Column) -> Column:
     return F.floor(F.try_divide(rank, rows) * GRID).cast("int")
 
 
-def _first_brackets(look: Look, wanted: Column, keys: list[str]) -> DataFrame:
-    """Bracket of each wanted pair of ranks: the sketch's cell and one more to each side."""
-    lo = F.get("grid", F.greatest(_cell(F.col("r0"), F.col("n")) - 1, F.lit(0)))
-    hi = F.get("grid", F.least(_cell(F.col("r1"), F.col("n")) + 2, F.lit(GRID)))
-    spots = look.table.select(*keys, "n", "grid", F.explode(wanted).alias("spot")).select(*keys, "n", "grid", "spot.*")
-    return spots.select(*keys, "n", "i", "r0", "r1", "part", lo.alias("lo"), hi.alias("hi"))
+def _state_columns(spots: int) -> list[str]:
+    return [f"{name}{i}" for i in range(spots) for name in ("lo", "hi", "r0_", "r1_")]
 
 
-SPOT = ["n", "i", "r0", "r1", "part"]
+def _first_brackets(look: Look, spots: Sequence[Spot], keys: list[str]) -> DataFrame:
+    """One row per series with the bracket of each spot: the sketch's cell and one more to each side."""
+    columns = []
+    for i, spot in enumerate(spots):
+        lo = F.get("grid", F.greatest(_cell(spot.r0, F.col("n")) - 1, F.lit(0)))
+        hi = F.get("grid", F.least(_cell(spot.r1, F.col("n")) + 2, F.lit(GRID)))
+        columns += [lo.alias(f"lo{i}"), hi.alias(f"hi{i}"), spot.r0.alias(f"r0_{i}"), spot.r1.alias(f"r1_{i}")]
+    return look.table.select(*keys, *columns)
 
 
 def _with_brackets(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -74,105 +93,99 @@ def _with_brackets(series: DataFrame, state: DataFrame, keys: list[str], rows: i
     return series.join(F.broadcast(state), keys) if rows <= FEW_SERIES else join_written(series, state, keys)
 
 
-def _tighten(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int]:
+def _tighten(series: DataFrame, state: DataFrame, spots: int, keys: list[str], rows: int) -> tuple[DataFrame, int]:
     """Narrower brackets, and the most rows that lay strictly inside one before.
 
     Rows below a bracket and on its ends are counted exactly; only values strictly inside are
     sketched, so ties on the ends do not stop it from shrinking.
     """
-    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
-    strict = (x > lo) & (x < hi)
-    counts = (
-        _with_brackets(series, state, keys, rows)
-        .where(x <= hi)
-        .groupBy(*keys, *SPOT, "lo", "hi")
-        .agg(
-            F.count_if(x < lo).alias("below"),
-            F.count_if(x == lo).alias("at_lo"),
-            F.count_if(strict).alias("inside"),
-            _sketch(F.when(strict, x)).alias("grid"),
-        )
-    )
+    x = F.col("x")
+    counts = []
+    for i in range(spots):
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        strict = (x > lo) & (x < hi)
+        counts += [
+            F.count_if(x <= lo).alias(f"upto_lo{i}"),
+            F.count_if(strict).alias(f"inside{i}"),
+            _sketch(F.when(strict, x)).alias(f"grid{i}"),
+        ]
+    kept = [F.max(c).alias(c) for c in _state_columns(spots)]
     seen = Observation()
-    measured = written(counts.observe(seen, F.max("inside").alias("widest")))
-    ahead = lambda rank: F.col(rank) - F.col("below") - F.col("at_lo")
-    cell = lambda rank: _cell(ahead(rank), F.col("inside"))
-    new_lo = (
-        F.when(ahead("r0") < 0, lo)
-        .when(ahead("r0") >= F.col("inside"), hi)
-        .otherwise(F.get("grid", F.greatest(cell("r0") - 1, F.lit(0))))
-    )
-    new_hi = (
-        F.when(ahead("r1") >= F.col("inside"), hi)
-        .when(ahead("r1") < 0, lo)
-        .otherwise(F.get("grid", F.least(cell("r1") + 2, F.lit(GRID))))
-    )
-    return measured.select(*keys, *SPOT, new_lo.alias("lo"), new_hi.alias("hi")), seen.get["widest"] or 0
-
-
-def _read_off(series: DataFrame, state: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Values at both ranks of each bracket, from the counted distinct values inside it.
-
-    All rows below a bracket count as one group with a null value, which sorts first.  After
-    counting, the rows of a series are few and stay together.
+    widest = F.max(F.greatest(F.lit(0), *[F.col(f"inside{i}") for i in range(spots)])).alias("widest")
+    measured = written(_with_brackets(series, state, keys, rows).groupBy(*keys).agg(*kept, *counts).observe(seen, widest))
+    columns = []
+    for i in range(spots):
+        lo, hi, inside = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"inside{i}")
+        ahead0, ahead1 = (F.col(f"{r}_{i}") - F.col(f"upto_lo{i}") for r in ("r0", "r1"))
+        new_lo = F.get(f"grid{i}", F.greatest(_cell(ahead0, inside) - 1, F.lit(0)))
+        new_hi = F.get(f"grid{i}", F.least(_cell(ahead1, inside) + 2, F.lit(GRID)))
+        columns += [
+            F.when(ahead0 < 0, lo).when(ahead0 >= inside, hi).otherwise(new_lo).alias(f"lo{i}"),
+            F.when(ahead1 >= inside, hi).when(ahead1 < 0, lo).otherwise(new_hi).alias(f"hi{i}"),
+            f"r0_{i}",
+            f"r1_{i}",
+        ]
+    return measured.select(*keys, *columns), seen.get["widest"] or 0
+
+
+def _read_off(series: DataFrame, state: DataFrame, spots: int, keys: list[str], rows: int) -> DataFrame:
+    """Values at both ranks of each spot, from the counted distinct values inside the brackets.
+
+    Rows outside all brackets are counted by the gap they lie in: the number of brackets that
+    begin at or below them.  A gap's rows come after the values in brackets that began before.
+    After counting, the rows of a series are few and stay together.
     """
     x = F.col("x")
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(spots):
+        inside = inside | x.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
+        gap = gap + (x >= F.col(f"lo{i}")).cast("int")
     counted = (
         _with_brackets(series, state, keys, rows)
-        .where(x <= F.col("hi"))
-        .groupBy(*keys, *SPOT, F.when(x >= F.col("lo"), x).alias("v"))
+        .groupBy(*keys, gap.alias("gap"), F.when(inside, x).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))
         .repartition(*keys)
     )
-    so_far = F.sum("copies").over(Window.partitionBy(*keys, *SPOT).orderBy(F.col("v").asc_nulls_first()))
-    reached = lambda rank: F.min(
-        F.when(F.col("v").isNotNull() & (F.col("upto") > F.col(rank)), F.struct("v", "copies", "upto"))
-    )
-    found = (
-        counted.withColumn("upto", so_far)
-        .groupBy(*keys, *SPOT)
-        .agg(
-            reached("r0").alias("a"),
-            reached("r1").alias("b"),
-            F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)).alias("below"),
-        )
+    so_far = F.sum("copies").over(
+        Window.partitionBy(*keys).orderBy("gap", F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     )
-    missed = F.col("b").isNull() | (F.col("below") > F.col("r0"))
-    checked = lambda c: F.when(missed, F.raise_error(F.lit("a rank fell outside its bracket"))).otherwise(c)
-    return found.select(
-        *keys,
-        "n",
-        "i",
-        "part",
-        checked(F.col("a.v")).alias("v0"),
-        F.col("b.v").alias("v1"),
-        F.col("a.copies").alias("ties"),
-        (F.col("a.upto") - F.col("a.copies")).alias("before"),
+    running = _with_brackets(counted.withColumn("upto", so_far), state, keys, rows)
+    reached = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.struct("upto", "v", "copies")))
+    found = running.groupBy(*keys).agg(
+        *[reached(f"{r}_{i}").alias(f"{r}_{i}") for i in range(spots) for r in ("r0", "r1")]
     )
+    lost = F.raise_error(F.lit("a rank fell outside its bracket"))
+    rows_out = []
+    for i in range(spots):
+        first, second = F.col(f"r0_{i}"), F.col(f"r1_{i}")
+        v0 = F.when(first["v"].isNull() | second["v"].isNull(), lost).otherwise(first["v"])
+        rows_out.append(
+            F.struct(
+                F.lit(i).alias("i"),
+                v0.alias("v0"),
+                second["v"].alias("v1"),
+                first["copies"].alias("ties"),
+                (first["upto"] - first["copies"]).alias("before"),
+            )
+        )
+    return found.select(*keys, F.array(*rows_out).alias("spots"))
 
 
 def select_ranks(
-    series: DataFrame, look: Look, wanted: Column, keys: Sequence[str], one_task_rows: int = ONE_TASK_ROWS
+    series: DataFrame, look: Look, spots: Sequence[Spot], keys: Sequence[str], one_task_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
-    """Exact values at 0-based ranks of the non-null ``x`` of each series.
+    """Exact values at the wanted ranks of the non-null ``x`` of each series, one row per series.
 
-    ``wanted`` is an array of (i, r0, r1, part) over the columns of the first look: a number, two
-    neighbouring ranks and the weight of the second.  Returns keys, ``n``, ``i``, ``part``, the
-    values ``v0`` and ``v1``, the number of rows that tie with ``v0`` and of rows ``before`` them.
+    ``spots`` holds, in the asked order, the values ``v0`` and ``v1``, the number of rows that
+    tie with ``v0`` and of rows ``before`` them.
     """
     keys = list(keys)
-    state = _first_brackets(look, wanted, keys)
+    state = _first_brackets(look, spots, keys)
     bound = look.largest * SHARE_KEPT
-    while bound > one_task_rows:
-        state, inside = _tighten(series, state, keys, look.series)
+    while bound * len(spots) > one_task_rows:
+        state, inside = _tighten(series, state, len(spots), keys, look.series)
         bound = inside * SHARE_KEPT
-    return _read_off(series, state, keys, look.series)
-
-
-def _spot(i: int, r0: Column, r1: Column, part: Column) -> Column:
-    return F.struct(
-        F.lit(i).alias("i"), r0.cast("bigint").alias("r0"), r1.cast("bigint").alias("r1"), part.cast("double").alias("part")
-    )
+    return _read_off(series, state, len(spots), keys, look.series)
 
 
 def as_series(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -209,15 +222,14 @@ def exact_quantiles(
     look = first_look(series, keys)
     if not by and look.largest <= percentile_rows:
         return _by_percentile(df, columns, probs, by)
-    place = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
-    wanted = F.array(*[_spot(i, F.floor(h), F.ceil(h), h - F.floor(h)) for i, h in enumerate(place)])
-    found = select_ranks(series, look, wanted, keys, one_task_rows)
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
-    in_order = F.array_sort(F.collect_list(F.struct("i", value.alias("v"))))
-    return (
-        found.groupBy(*keys)
-        .agg(F.max("n").alias("n"), F.transform(in_order, lambda s: s["v"]).alias("q"))
-        .select(*by, F.get(F.array(*[F.lit(c) for c in columns]), F.col("sid")).alias("variable"), "n", "q")
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    found = select_ranks(series, look, [Spot.between(h) for h in places], keys, one_task_rows)
+    at = lambda i, v: F.get("spots", F.lit(i))[v]
+    parts = [h - F.floor(h) for h in places]
+    values = [at(i, "v0") + (at(i, "v1") - at(i, "v0")) * part for i, part in enumerate(parts)]
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("sid"))
+    return found.join(look.table.select(*keys, "n"), keys).select(
+        *by, name.alias("variable"), "n", F.array(*values).alias("q")
     )
 
 
@@ -267,12 +279,11 @@ def _cuts(
     df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], look: Look | None, one_task_rows: int
 ) -> list[tuple[Any, ...]]:
     series = _ordered(df, order_by[0])
-    spots = F.array(*[_spot(i, F.lit(r), F.lit(r), F.lit(0)) for i, r in enumerate(ranks)])
-    found = select_ranks(series, look or first_look(series, ["k"]), spots, ["k"], one_task_rows)
-    rows = sorted(found.select("i", "v0", "ties", "before").collect())
+    spots = [Spot.at(rank) for rank in ranks]
+    [found] = select_ranks(series, look or first_look(series, ["k"]), spots, ["k"], one_task_rows).collect()
     return [
         _numeric_cut(df, order_by, rank, (row["v0"], row["ties"], row["before"]), one_task_rows)
-        for rank, row in zip(ranks, rows)
+        for rank, row in zip(ranks, found["spots"])
     ]
 
 
