@@ -10,6 +10,7 @@ from panelflow.llm.exact_dedup import exact_dedup
 from panelflow.llm.packing import pack
 from panelflow.llm.preferences import END, OPEN, final_turn_pairs, format_preferences
 from panelflow.llm.sharding import SHARDS, SLOTS, place
+from panelflow.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,8 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Lengths in byte tokens: every UTF-8 byte is one."""
     return pack(table(spark, folder, "documents"), F.octet_length("text"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

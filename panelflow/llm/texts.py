@@ -17,6 +17,9 @@ BLOCK = 1 << 20
 
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANK)] = True
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[:128] = True
+_IS_MARK[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -66,32 +69,32 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         first = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, letters: bool = False, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of several texts, A-Z lower-cased, and each text's bounds among them.
 
-    A word is a run of bytes without ASCII white space.
+    A word is a run of bytes without ASCII white space, with ``letters`` one without any other
+    ASCII sign than letters and digits.  With ``prefix``, third are hashes of the words' first bytes.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    inside = ~_IS_BLANK[data]
+        return (np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), *[np.zeros(0, np.uint64)] * bool(prefix))
+    inside = ~(_IS_MARK if letters else _IS_BLANK)[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
-    heads = bounds[:-1][bounds[:-1] < n]
-    before[heads] = False
+    before[bounds[:-1][bounds[:-1] < n]] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty(n, bool)
     after[-1] = False
     after[:-1] = inside[1:]
-    lasts = bounds[1:][bounds[1:] > 0] - 1
-    after[lasts] = False
+    after[bounds[1:][bounds[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     up, down = _powers(_BASE, _room(n)), _powers(pow(_BASE, -1, 1 << 64), _room(n))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODE[_LOWER[data]] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, bounds)
+    of = lambda e: mix((sums[e] - sums[starts]) * down[starts] + (e - starts).astype(np.uint64))
+    rows = np.searchsorted(starts, bounds)
+    return (of(ends), rows, of(np.minimum(ends, starts + prefix))) if prefix else (of(ends), rows)
 
 
 _ODD = mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
