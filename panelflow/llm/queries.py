@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelflow.llm.bpe import encode_decode
 from panelflow.llm.exact_dedup import exact_dedup
+from panelflow.llm.fingerprints import fingerprint_documents
 from panelflow.llm.packing import pack
 from panelflow.llm.preferences import END, OPEN, final_turn_pairs, format_preferences
 from panelflow.llm.sharding import SHARDS, SLOTS, place
@@ -112,3 +114,24 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query()
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = encode_decode(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents"))
