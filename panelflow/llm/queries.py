@@ -13,6 +13,7 @@ from panelflow.llm.packing import pack
 from panelflow.llm.preferences import END, OPEN, final_turn_pairs, format_preferences
 from panelflow.llm.sharding import SHARDS, SLOTS, place
 from panelflow.llm.toxicity import score_toxicity
+from panelflow.llm.warc import capture_history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +136,20 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query(
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, (k // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM d
+"""
+)
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    history = capture_history(table(spark, folder, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
