@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelflow.llm.bpe import encode_decode
 from panelflow.llm.exact_dedup import exact_dedup
 from panelflow.llm.fingerprints import fingerprint_documents
+from panelflow.llm.jaccard import jaccard_components
 from panelflow.llm.packing import pack
 from panelflow.llm.preferences import END, OPEN, final_turn_pairs, format_preferences
 from panelflow.llm.sharding import SHARDS, SLOTS, place
@@ -153,3 +154,8 @@ FROM d
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     history = capture_history(table(spark, folder, "pages"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
