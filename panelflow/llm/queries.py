@@ -13,6 +13,7 @@ from panelflow.llm.jaccard import jaccard_components
 from panelflow.llm.packing import pack
 from panelflow.llm.preferences import END, OPEN, final_turn_pairs, format_preferences
 from panelflow.llm.sharding import SHARDS, SLOTS, place
+from panelflow.llm.suffix_dedup import remove_repeats
 from panelflow.llm.toxicity import score_toxicity
 from panelflow.llm.warc import capture_history
 
@@ -159,3 +160,11 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
+
+
+@query()
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
