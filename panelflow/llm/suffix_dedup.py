@@ -15,7 +15,7 @@ windows have equal keys wherever they stand; windows in a row with one key are a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -291,9 +291,9 @@ def _judge(width: int, part_bytes: int) -> Callable:
     return run
 
 
-def _finish(width: int, as_text: bool, id_type: pa.DataType) -> Callable:
+def _finish(width: int, as_text: bool, id_type: pa.DataType, rest: pa.DataType | None) -> Callable:
     shape = pa.schema(
-        [("doc_id", id_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())]
+        [("doc_id", id_type), *([("rest", rest)] if rest else []), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())]
     )
 
     def run(table: pa.Table, verdicts: pa.Table) -> pa.Table:
@@ -325,15 +325,17 @@ def _finish(width: int, as_text: bool, id_type: pa.DataType) -> Callable:
                 removed.append(int(mine.sum()))
                 spans.append([{"first": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()])
                 kept.append(body.decode("utf-8", "ignore") if as_text else body)
-        return pa.table([table.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, shape.field("spans").type), pa.array(kept, shape.field("kept").type)], schema=shape)
+        same = [table.column(c).combine_chunks() for c in shape.names if c in ("doc_id", "rest")]
+        return pa.table([*same, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, shape.field("spans").type), pa.array(kept, shape.field("kept").type)], schema=shape)
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, as_text: bool = False, run_bytes: int = RUN_BYTES, part_bytes: int = PART_BYTES
-) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, spans, kept.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, as_text: bool = False,
+    run_bytes: int = RUN_BYTES, part_bytes: int = PART_BYTES, carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, spans, kept; with ``carry`` also rest, a struct of those columns.
 
     Every byte covered by a string of ``width`` bytes that also starts in a document with a
     smaller id goes; all strings are judged on the input.  ``spans`` are the maximal removed
@@ -345,7 +347,7 @@ def remove_repeats(
     spark = docs.sparkSession
     from pyspark.sql.pandas.types import to_arrow_type
 
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs, shards = max(4 * partitions, -(-total // run_bytes)), max(partitions, -(-total // (4 * run_bytes)))
@@ -357,8 +359,9 @@ def remove_repeats(
     offers = by_run.cogroup(answers.groupBy("run")).applyInArrow(_typed2(_offer(shards, width)), f"shard int, run long, {blobs}")
     verdicts = offers.groupBy("shard").applyInArrow(_typed(_judge(width, part_bytes)), "run long, content binary, first binary, end binary, low binary")
     kind = plain.schema["doc_id"].dataType
-    shape = f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept {'string' if as_text else 'binary'}"
-    return by_run.cogroup(verdicts.groupBy("run")).applyInArrow(_typed2(_finish(width, as_text, to_arrow_type(kind))), shape)
+    rest = plain.schema["rest"].dataType if carry else None
+    shape = f"doc_id {kind.simpleString()}, {f'rest {rest.simpleString()}, ' if rest else ''}n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept {'string' if as_text else 'binary'}"
+    return by_run.cogroup(verdicts.groupBy("run")).applyInArrow(_typed2(_finish(width, as_text, to_arrow_type(kind), to_arrow_type(rest) if rest else None)), shape)
 
 
 def _typed(function: Callable) -> Callable:
