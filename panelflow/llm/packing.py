@@ -43,7 +43,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tu
             if at < len(room):
                 free, number = room.pop(at)
             else:
-                free = min((c for c in openable if c >= size), key=lambda c: (cost(c) / min(c, int(left_after[k])), c))
+                free = min((c for c in openable if c >= size), key=lambda c: (cost(c) / max(1, min(c, int(left_after[k]))), c))
                 number = len(used)
                 used.append(0)
             used[number] += size
