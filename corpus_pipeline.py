@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in stages that each write their result.
 
-Every stage but the last returns the columns of ``documents``.  Decisions are taken by doc_id: rows
-that share an id stay if any of them is to stay, and rows without an id, which cannot be told apart, always stay.
+Every stage but the last returns the columns of ``documents``.  The first three decide by doc_id: rows
+that share an id stay if any of them is to stay, and rows without an id, which cannot be told apart, all stay.
 Null texts count as empty; empty tables pass through every stage.
 """
 
