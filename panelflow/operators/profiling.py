@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelflow.functions.numbers import round_to
-from panelflow.operators.ranks import PERCENTILE_ROWS, exact_quantiles
+from panelflow.operators.ranks import PERCENTILE_ROWS, exact_quantiles, missing
 from panelflow.operators.sized import join_written
 
 
@@ -43,8 +43,11 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, percentile_rows: int = PERCENTILE_ROWS) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of each column, rounded."""
-    x = lambda c: F.col(c).cast("double")
+    """count, mean, sample std, min, quartiles and max of each column, rounded.
+
+    NaN is a missing value throughout.  A column without values is a row with count 0.
+    """
+    x = missing
     basics = _lines(
         df,
         [
@@ -60,7 +63,7 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 2, percentile_
         ],
     )
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], percentile_rows=percentile_rows)
-    joined = basics.join(quartiles.select("variable", "q"), "variable")
+    joined = basics.join(quartiles.select("variable", "q"), "variable", "left")
     cell = lambda c: round_to(c, digits)
     return joined.select(
         "variable",
@@ -84,12 +87,12 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, columns: Sequence[str], pairs_per_pass: int = 8) -> DataFrame:
-    """Pearson matrix in long form; a null leaves only the pairs of its column.
+    """Pearson matrix in long form; a null or NaN leaves only the pairs of its column.
 
     A few pairs share one aggregation: with many, the generated code grows past what the JVM
     compiles and runs ten times slower than a second scan of the few columns.
     """
-    x = lambda c: F.col(c).cast("double")
+    x = missing
     pairs = list(combinations(columns, 2))
     varies = lambda c: F.when(F.min(x(c)) < F.max(x(c)), F.lit(1.0))
     parts = [_lines(df, [F.struct(F.lit(c).alias("var_a"), F.lit(c).alias("var_b"), varies(c).alias("r")) for c in columns])]
@@ -143,13 +146,12 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 def box_stats(
     df: DataFrame, category: str, column: str, reach: float = 1.5, percentile_rows: int = PERCENTILE_ROWS
 ) -> DataFrame:
-    """Quartiles, whiskers and outlier count per category.
+    """Quartiles, whiskers and outlier count per category; NaN is a missing value.
 
     Whiskers end at the most extreme value within ``reach`` quartile distances, and never
     inside the box.
     """
-    x = F.col(column).cast("double")
-    points = df.where(F.col(category).isNotNull() & x.isNotNull()).select(category, x.alias("x"))
+    points = df.where(F.col(category).isNotNull()).select(category, missing(column).alias("x")).where(F.col("x").isNotNull())
     quartiles = exact_quantiles(points, ["x"], [0.25, 0.5, 0.75], by=[category], percentile_rows=percentile_rows)
     q = lambda i: F.get("q", F.lit(i))
     boxes = quartiles.select(category, q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"))

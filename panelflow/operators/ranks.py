@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from panelflow.operators.sized import join_written, written
 
@@ -198,6 +198,12 @@ def as_series(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataF
     return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
+def missing(c: Column | str) -> Column:
+    """A column as double; NaN is a missing value, like null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.nanvl(c.cast("double"), F.lit(None))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -208,36 +214,71 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles, exact at any size.
 
-    Returns ``by`` columns, ``variable``, ``n`` and the array ``q`` in the order of ``probs``.
-    Groups of moderate size use Spark's own ``percentile``, larger ones are bracketed.  Null
-    groups are left out.
+    Returns ``by`` columns, ``variable``, ``n`` and the array ``q`` in the order of ``probs``: one
+    row for every column of every group, with ``n`` = 0 and a null ``q`` where all values are
+    missing.  Groups of moderate size use Spark's own ``percentile``, larger ones are bracketed; both give
+    the same rows.  Null groups are left out.
     """
     by = list(by)
     for column in by:
         df = df.where(F.col(column).isNotNull())
-    if by and (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= percentile_rows:
+    if not by:
+        look = _wide_look(df, columns)
+        if look.largest <= percentile_rows:
+            return _by_percentile(df, columns, probs, by)
+        return _by_brackets(df, columns, probs, by, look, one_task_rows)
+    most = F.greatest(F.lit(0), *[F.count(missing(c)) for c in columns])
+    seen = Observation()
+    large = F.count_if(F.col("rows_of_largest") > percentile_rows)
+    sizes = written(
+        df.groupBy(*by).agg(most.alias("rows_of_largest")).observe(seen, large.alias("large"), F.count(F.lit(1)).alias("groups"))
+    )
+    if not seen.get["large"]:
         return _by_percentile(df, columns, probs, by)
+    big = None
+    if seen.get["large"] < seen.get["groups"]:
+        sized = join_written(df, sizes, by)
+        of = lambda test: sized.where(test).drop("rows_of_largest")
+        df, big = of(F.col("rows_of_largest") <= percentile_rows), of(F.col("rows_of_largest") > percentile_rows)
+    parts = _by_brackets(df if big is None else big, columns, probs, by, None, one_task_rows)
+    return parts if big is None else _by_percentile(df, columns, probs, by).unionByName(parts)
+
+
+def _wide_look(df: DataFrame, columns: Sequence[str]) -> Look:
+    """First look at whole columns in one row of aggregates, without a row per value."""
+    cells = [F.struct(F.lit(i).alias("sid"), F.count(missing(c)).alias("n"), _sketch(missing(c)).alias("grid")) for i, c in enumerate(columns)]
+    row = df.agg(*[c.alias(f"s{i}") for i, c in enumerate(cells)])
+    table = written(row.select(F.explode(F.array(*row.columns)).alias("s")).select("s.*"))
+    largest = table.agg(F.max("n")).first()[0] or 0
+    return Look(table.where("n > 0"), len(columns), largest)
+
+
+def _by_brackets(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: list[str], look: Look | None, one_task_rows: int
+) -> DataFrame:
     keys = [*by, "sid"]
     series = as_series(df, columns, by)
-    look = first_look(series, keys)
-    if not by and look.largest <= percentile_rows:
-        return _by_percentile(df, columns, probs, by)
+    look = look or first_look(series, keys)
     places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
     found = select_ranks(series, look, [Spot.between(h) for h in places], keys, one_task_rows)
     at = lambda i, v: F.get("spots", F.lit(i))[v]
-    parts = [h - F.floor(h) for h in places]
-    values = [at(i, "v0") + (at(i, "v1") - at(i, "v0")) * part for i, part in enumerate(parts)]
+    values = []
+    for i, place in enumerate(places):
+        low, high = at(i, "v0"), at(i, "v1")
+        values.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
+    known = found.join(look.table.select(*keys, "n"), keys).select(*keys, "n", F.array(*values).alias("q"))
+    sids = F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("sid")
+    every = df.groupBy(*by).agg(F.count(F.lit(1))).select(*by, sids) if by else df.sparkSession.range(1).select(sids)
     name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("sid"))
-    return found.join(look.table.select(*keys, "n"), keys).select(
-        *by, name.alias("variable"), "n", F.array(*values).alias("q")
+    return every.join(known, keys, "left").select(
+        *by, name.alias("variable"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "q"
     )
 
 
 def _by_percentile(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: list[str]) -> DataFrame:
-    x = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
     cuts = F.array(*[F.lit(float(p)) for p in probs])
     wide = df.groupBy(*by).agg(*[
-        F.struct(F.lit(c).alias("variable"), F.count(x(c)).alias("n"), F.percentile(x(c), cuts).alias("q")).alias(f"s{i}")
+        F.struct(F.lit(c).alias("variable"), F.count(missing(c)).alias("n"), F.percentile(missing(c), cuts).alias("q")).alias(f"s{i}")
         for i, c in enumerate(columns)
     ])
     rows = F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))]))
@@ -275,9 +316,39 @@ def _sorted_cut(df: DataFrame, order_by: Sequence[str], rank: int) -> tuple[Any,
     return tuple(here[-1])
 
 
+def _range_cuts(df: DataFrame, order_by: Sequence[str], ranks: Sequence[int]) -> list[tuple[Any, ...]]:
+    """Order keys of the rows at some ranks, for columns of any type.
+
+    The keys are dealt by ranges of the whole order, so a value that fills a third of the table is
+    split by the columns after it.  Rows per range are counted, and only ranges that hold a wanted
+    row are sorted.
+    """
+    names = [f"o{i}" for i in range(len(order_by))]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*[F.col(c).alias(n) for c, n in zip(order_by, names)]).repartitionByRange(ranges, *names)
+    dealt = written(keys.withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
+    cuts = []
+    for rank in ranks:
+        before = 0
+        for part in sorted(sizes):
+            if rank < before + sizes[part]:
+                break
+            before += sizes[part]
+        cuts.append(_sorted_cut(dealt.where(F.col("range") == part), names, rank - before))
+    return cuts
+
+
+def _is_number(df: DataFrame, column: str) -> bool:
+    """Whether the sketch takes the column."""
+    return isinstance(df.schema[column].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def _cuts(
     df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], look: Look | None, one_task_rows: int
 ) -> list[tuple[Any, ...]]:
+    if not _is_number(df, order_by[0]):
+        return _range_cuts(df, order_by, ranks)
     series = _ordered(df, order_by[0])
     spots = [Spot.at(rank) for rank in ranks]
     [found] = select_ranks(series, look or first_look(series, ["k"]), spots, ["k"], one_task_rows).collect()
@@ -304,16 +375,23 @@ def fold_cuts(
 ) -> list[tuple[Any, ...]]:
     """Order-key values at which the second and later folds begin.
 
-    The order columns hold no nulls and order the rows totally.  The first one is a number, date
-    or timestamp; a text column may break ties, or lead where all rows fit one task.
+    The order columns hold no nulls and order the rows totally.  Numbers, dates and timestamps are
+    bracketed; any other type, first or as a tie-breaker, is found by ranges, at any size.
     """
-    if df.schema[order_by[0]].dataType.simpleString() == "string":
-        n = df.count()
-        if n > one_task_rows:
-            raise TypeError(f"{n} rows cannot be ordered by the text column {order_by[0]} first")
-        return [_sorted_cut(df, order_by, s) for s in fold_starts(n, folds) if s < n]
-    look = first_look(_ordered(df, order_by[0]), ["k"])
-    starts = [s for s in fold_starts(look.largest, folds) if s < look.largest]
+    look = n = None
+    void = [F.count_if(F.col(c).isNull()).alias(f"void{i}") for i, c in enumerate(order_by)]
+    if _is_number(df, order_by[0]):
+        seen = df.agg(F.count(F.lit(1)).alias("n"), *void, _sketch(F.col(order_by[0])).alias("grid"))
+        table = written(seen.select(F.lit(0).alias("k"), "*"))
+        counts = table.drop("grid").first()
+        look = Look(table.select("k", "n", "grid"), 1, counts["n"])
+    else:
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *void).first()
+    for i, column in enumerate(order_by):
+        if counts[f"void{i}"]:
+            raise ValueError(f"order column {column} holds {counts[f'void{i}']} nulls")
+    n = counts["n"]
+    starts = [s for s in fold_starts(n, folds) if s < n]
     return _cuts(df, order_by, starts, look, one_task_rows) if starts else []
 
 

@@ -94,6 +94,16 @@ def describe_columns(t: Tables) -> DataFrame:
     return op.describe(six_columns(t), SIX)
 
 
+@query(
+    _sql_describe("l_quantity")
+    + " UNION ALL SELECT 'no_values', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL"
+    + " UNION ALL " + _sql_describe("net")
+)
+def describe_with_nulls(t: Tables) -> DataFrame:
+    """A column without a value keeps its row."""
+    return op.describe(six_columns(t).withColumn("no_values", F.lit(None).cast("double")), ["l_quantity", "no_values", "net"])
+
+
 @query(
     " UNION ALL ".join(
         f"SELECT '{a}' AS var_a, '{b}' AS var_b, {sql_grid(f'corr({a}, {b})')} AS r FROM {SQL_SIX}" for a in SIX for b in SIX

@@ -201,6 +201,12 @@ def kfold_assign(t: Tables) -> DataFrame:
     return contiguous_folds(t.orders.select("o_orderkey"), ["o_orderkey"], 5)
 
 
+@query("SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS INTEGER) AS fold FROM orders")
+def kfold_text_order(t: Tables) -> DataFrame:
+    """Folds of an order that a text column leads."""
+    return contiguous_folds(t.orders.select("o_orderpriority", "o_orderkey"), ["o_orderpriority", "o_orderkey"], 5).drop("o_orderpriority")
+
+
 def sql_fold_r2(rows: str, x: str, y: str) -> str:
     """(fold, r2) of a one-feature line fitted on the other folds of a relation with ``fold``."""
     return f"""

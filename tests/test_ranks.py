@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelflow.operators import ranks
-from panelflow.operators.profiling import box_stats, describe
+from panelflow.operators.profiling import box_stats, correlations, describe
 
 
 def frame(spark, values, schema="x double"):
@@ -86,8 +86,62 @@ def test_folds_by_text_alone(spark):
     df = spark.createDataFrame([(f"n{i:03}",) for i in range(23)], "name string").repartition(3)
     got = [r["fold"] for r in ranks.contiguous_folds(df, ["name"], 5).orderBy("name").collect()]
     assert got == [i for i, part in enumerate(np.array_split(range(23), 5)) for _ in part]
-    with pytest.raises(TypeError):
-        ranks.contiguous_folds(df, ["name"], 5, one_task_rows=10)
+
+
+@pytest.mark.parametrize("one_task_rows", [1, 10, 1_000_000])
+def test_folds_with_text_first_or_as_a_hot_tie_breaker(spark, one_task_rows):
+    rows = [("abc"[i % 3] if i % 2 else "hot", i // 50, f"t{(i * 37) % 211:03}") for i in range(211)]
+    df = spark.createDataFrame(rows, "a string, b int, c string").repartition(5)
+    want = {r: i for i, part in enumerate(np.array_split(np.arange(len(rows)), 5)) for r in part}
+    for order in (["a", "c"], ["b", "c"], ["c"], ["a", "b", "c"]):
+        at = [["a", "b", "c"].index(c) for c in order]
+        place = {r: i for i, r in enumerate(sorted(rows, key=lambda r: [r[k] for k in at]))}
+        got = ranks.contiguous_folds(df, order, 5, one_task_rows=one_task_rows).collect()
+        assert all(r["fold"] == want[place[(r["a"], r["b"], r["c"])]] for r in got)
+
+
+def test_a_null_in_an_order_column_is_named(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, None)], "x int, name string")
+    with pytest.raises(ValueError, match="order column x holds 1 nulls"):
+        ranks.contiguous_folds(df, ["x"], 2)
+    with pytest.raises(ValueError, match="order column name holds 1 nulls"):
+        ranks.contiguous_folds(df, ["name", "x"], 2)
+
+
+def same(a, b):
+    return a == b or (a is not None and b is not None and ((a != a and b != b) or abs(a - b) <= 1e-12 * max(1, abs(a))))
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_are_the_same_rows_on_every_path(spark, by):
+    inf, nan = float("inf"), float("nan")
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(v), None, nan) for v in rng.normal(size=400)] + [("hot", 5.0, 1.0, nan)] * 300
+    rows += [("small", v, w, None) for v, w in [(1.0, -inf), (2.0, inf), (inf, nan), (inf, 3.0), (inf, None)]]
+    rows += [("empty", None, None, None), ("empty", nan, None, None), ("one", 7.0, 7.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, void double").repartition(5)
+    found = []
+    for percentile_rows, one_task_rows in ((100_000, 1_000_000), (0, 1), (0, 10), (10, 10), (1, 1_000_000)):
+        got = ranks.exact_quantiles(df, ["x", "y", "void"], PROBS, by, percentile_rows, one_task_rows).collect()
+        found.append({(*[r[c] for c in by], r["variable"]): (r["n"], r["q"]) for r in got})
+        assert len(got) == len(found[0]) == 3 * (4 if by else 1)
+    for other in found[1:]:
+        for key, (n, q) in found[0].items():
+            assert other[key][0] == n and (q is None) == (other[key][1] is None), key
+            assert q is None or all(same(a, b) for a, b in zip(q, other[key][1])), (key, q, other[key][1])
+
+
+@pytest.mark.parametrize("percentile_rows", [0, 100_000])
+def test_statistics_skip_nan_and_keep_empty_columns(spark, percentile_rows):
+    rows = [(1.0, None, 2.0), (2.0, None, 4.5), (float("nan"), None, 6.0), (4.0, None, float("nan")), (None, None, 1.0)]
+    df = spark.createDataFrame(rows, "x double, void double, y double")
+    got = {r["variable"]: r for r in describe(df, ["x", "void"], percentile_rows=percentile_rows).collect()}
+    assert tuple(got["x"])[1:] == (3, 2.33, 1.53, 1.0, 1.5, 2.0, 3.0, 4.0)
+    assert tuple(got["void"])[1:] == (0, *[None] * 7)
+    box = box_stats(df.selectExpr("'g' as g", "x"), "g", "x", percentile_rows=percentile_rows).first()
+    assert (box["rows"], box["outliers"], box["median"]) == (3, 0, 2.0)
+    pair = {(r["var_a"], r["var_b"]): r["r"] for r in correlations(df, ["x", "y", "void"]).collect()}
+    assert abs(pair["x", "y"] - 1.0) < 1e-12 and pair["void", "void"] is None
 
 
 def test_ties_that_start_a_fold_are_fine(spark):
