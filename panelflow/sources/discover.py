@@ -43,12 +43,18 @@ def file_path() -> Column:
     return F.url_decode(encoded)
 
 
+def outside_quotes(text: Column) -> Column:
+    """A text without its quoted stretches."""
+    return F.regexp_replace(text, '"[^"]*"', "")
+
+
 def profile_files(spark: SparkSession, paths: Sequence[str], encoding: str | None = None) -> DataFrame:
-    """One row per non-empty file: header line, delimiter, encoding, field counts.
+    """One row per non-empty file: header line, delimiter, encoding, field counts, line breaks in quotes.
 
     One pass over the bytes.  A file whose bytes are all valid UTF-8 is UTF-8, any other is
-    Latin-1, unless the encoding is given.  Fields are counted outside quotes, so a line with too many can be reported.  The
-    validity flags are collected as a set (of at most two): with a collecting aggregate present
+    Latin-1, unless the encoding is given.  A line with an odd number of quotes begins or ends a quoted
+    field with a line break; in files without such a line every record is a line, and fields are
+    counted outside quotes, so that a line with too many can be reported.  The validity flags are collected as a set (of at most two): with a collecting aggregate present
     Spark keeps the header text in a hash map instead of sorting all lines by file.
     """
     lines = spark.read.text([literal_path(p) for p in paths]).select(
@@ -57,20 +63,23 @@ def profile_files(spark: SparkSession, paths: Sequence[str], encoding: str | Non
         F.col("value"),
     )
     lines = lines.withColumn("row", F.monotonically_increasing_id())
-    unquoted = F.regexp_replace(F.make_valid_utf8("value"), '"[^"]*"', "")
+    text = F.make_valid_utf8("value")
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"')))
+    unquoted = F.when(quotes > 0, outside_quotes(text)).otherwise(text)
     counts = [
         (F.length(unquoted) - F.length(F.replace(unquoted, F.lit(mark))) + 1).alias(f"fields_{i}")
         for i, mark in enumerate("|;,")
     ]
-    filled = F.trim(F.make_valid_utf8("value")) != ""
+    filled = F.trim(text) != ""
     facts = (
         lines.select(
-            "path", "block", "row", "value", F.is_valid_utf8("value").alias("utf8"), filled.alias("filled"), *counts
+            "path", "block", "row", "value", F.is_valid_utf8("value").alias("utf8"), filled.alias("filled"), (quotes % 2).alias("odd"), *counts
         )
         .groupBy("path")
         .agg(
             F.min_by("value", F.when(F.col("filled"), F.struct("block", "row"))).alias("header"),
             (~F.array_contains(F.collect_set("utf8"), F.lit(False))).alias("utf8"),
+            F.max("odd").alias("odd"),
             *[F.max(f"fields_{i}").alias(f"widest_{i}") for i in range(3)],
         )
     )
@@ -82,8 +91,9 @@ def profile_files(spark: SparkSession, paths: Sequence[str], encoding: str | Non
         "path",
         F.regexp_replace(decoded, "^\ufeff", "").alias("header"),
         name.alias("encoding"),
+        (F.col("odd") == 1).alias("multiline"),
         *[f"widest_{i}" for i in range(3)],
     )
     separator = first_delimiter("header")
     widest = F.when(separator == "|", F.col("widest_0")).when(separator == ";", F.col("widest_1")).otherwise(F.col("widest_2"))
-    return known.select("path", "header", "encoding", separator.alias("separator"), widest.alias("widest"))
+    return known.select("path", "header", "encoding", "multiline", separator.alias("separator"), widest.alias("widest"))

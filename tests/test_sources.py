@@ -311,3 +311,34 @@ def test_cleaning_takes_codes_in_any_spelling(spark):
     assert {tuple(r)[:3] for r in out.collect()} == {("Bajo", "Particular subvencionado", "Urbano")}
     everything = clean_panel(df, [])
     assert {r["cod_rural_rbd"] for r in everything.collect()} == {"Urbano", "Rural"}
+
+
+def test_line_breaks_in_quotes_lose_neither_files_nor_rows(spark, tmp_path):
+    put(f"{tmp_path}/q2m2016_rbd.csv", [["rbd", "nom_rbd", "prom_mate_rbd", "prom_lect_rbd"],
+        [1, '"line one\nline, two, with, commas, and, more"', 1, 2], [2, '"a ""quoted"" name"', 3, 4]])
+    put(f"{tmp_path}/r2m2016_rbd.csv", [["rbd", "nom_rbd", "prom_mate_rbd", "prom_lect_rbd"], [3, '"one\ntwo"', 5, 6], [4, "plain", 7, 8]])
+    put(f"{tmp_path}/h2m2016_rbd.csv", [["rbd", '"name\nof it"', "prom_mate_rbd", "prom_lect_rbd"], [5, "x", 9, 10]])
+    put(f"{tmp_path}/w2m2016_rbd.csv", [["rbd", "nom_rbd", "prom_mate_rbd", "prom_lect_rbd"], [6, '"one\ntwo"', 5, 6], [7, "x", 1, 2, 3]])
+    put(f"{tmp_path}/v2m2016_rbd.csv", [["rbd", "nom_rbd", "prom_mate_rbd", "prom_lect_rbd"], [8, '"one\ntwo"', 5, 6, ""], [9, "short", 1]])
+    put(f"{tmp_path}/p2m2016_rbd.csv", [["rbd", "nom_rbd", "prom_mate_rbd", "prom_lect_rbd"], [10, "plain", 5, 6]])
+    done = consolidate_scores(spark, str(tmp_path))
+    assert [(r["rbd"], r["prom_lect_rbd"]) for r in done.table.orderBy("rbd").collect()] == [(1, 2.0), (2, 4.0), (3, 6.0), (4, 8.0), (5, 10.0), (10, 6.0)]
+    aside = {os.path.basename(r["file"]): r["reason"] for r in done.quarantine.collect()}
+    assert aside == {f"{k}2m2016_rbd.csv": "5 fields in a line, 4 in the header" for k in "vw"}
+    [audit] = done.audit.collect()
+    assert (audit["rows_in"], audit["rows_out"]) == (6, 6)
+
+
+def test_files_without_such_breaks_stay_splittable(spark, tmp_path):
+    put(f"{tmp_path}/big.csv", [["a", "b"], *[[i, '"q, x"'] for i in range(2000)]])
+    put(f"{tmp_path}/broken.csv", [["a", "b"], *[[i, '"q\nx"'] for i in range(2000)]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        reading = read_delimited(spark, [f"{tmp_path}/big.csv", f"{tmp_path}/broken.csv"])
+        parts = sorted(f.rdd.getNumPartitions() for f in reading.frames)
+        assert [f.count() for f in reading.frames] == [2000, 2000]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts[0] == 1 and parts[1] > 4
