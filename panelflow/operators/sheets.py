@@ -1,6 +1,6 @@
-"""Glossary sheets as a cell table: (origin, file, sheet, row_idx, col_idx, value).
+"""Glossary sheets as a cell table: (origin, file, sheet, [sheet_idx,] row_idx, col_idx, value).
 
-The table is dense: a blank cell is a row with a null value, so that a blank line is seen.
+``sheet_idx`` is the place of the sheet in its workbook; without it sheets go by their name.  The table is dense: a blank cell is a row with a null value, so that a blank line is seen.
 
 Finding the header of a sheet and cutting it at the first blank are per-sheet minima, so each
 is an aggregate with one row per sheet, joined back to the cells.  No sheet is ever gathered in
@@ -121,8 +121,20 @@ def sheet_context(prefixes: Sequence[str]) -> Column:
     return template("origin", override_by_words("sheet", presets.LEVELS, level), year, "sheet")
 
 
+def declared_place(origin: Column | str, origins: Sequence[str]) -> Column:
+    """Place of an origin in the declared order; origins that are not declared come last."""
+    found = F.array_position(F.array(*[F.lit(o) for o in origins]), F.col(origin) if isinstance(origin, str) else origin)
+    return F.when(found > 0, found).otherwise(len(origins) + 1)
+
+
 def glossary_rows(cells: DataFrame, prefixes: Sequence[str]) -> DataFrame:
-    """(variable, descripcion, contexto, place) rows of every sheet, cut at its first blank variable."""
+    """(variable, descripcion, contexto, place) rows of every sheet, cut at its first blank variable.
+
+    ``place`` is the reading order: origins as declared, files by name, sheets as in the
+    workbook, rows from the top.
+    """
+    if "sheet_idx" not in cells.columns:
+        cells = cells.withColumn("sheet_idx", F.lit(0))
     wanted = drop_index_sheets(cells)
     spots = value_columns(wanted, header_rows(wanted))
     inside = join_written(wanted, spots, SHEET).where(
@@ -132,6 +144,7 @@ def glossary_rows(cells: DataFrame, prefixes: Sequence[str]) -> DataFrame:
         inside.groupBy(*SHEET, "row_idx").agg(
             F.max(F.when(F.col("col_idx") == F.col("v"), F.col("value"))).alias("variable"),
             F.max(F.when(F.col("col_idx") == F.col("d"), F.col("value"))).alias("descripcion"),
+            F.min("sheet_idx").alias("sheet_idx"),
         )
     )
     name = lower_strip("variable")
@@ -143,7 +156,7 @@ def glossary_rows(cells: DataFrame, prefixes: Sequence[str]) -> DataFrame:
             name.alias("variable"),
             "descripcion",
             sheet_context(prefixes).alias("contexto"),
-            F.struct("origin", "file", "sheet", "row_idx").alias("place"),
+            F.struct(declared_place("origin", prefixes).alias("at"), "origin", "file", "sheet_idx", "sheet", "row_idx").alias("place"),
         )
     )
 

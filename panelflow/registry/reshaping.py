@@ -201,16 +201,24 @@ def dedup_keep_last(t: Tables) -> DataFrame:
     return op.keep_last(rows, ["l_orderkey", "l_linenumber"], order).drop("l_shipdate")
 
 
-@query("""
-SELECT lang AS variable, coalesce(arg_min(descripcion, doc_id) FILTER (WHERE descripcion <> ''), 'Sin descripción') AS descripcion,
+ORIGINS = ["src7", "src12", "src3", "src19", "src0"]  # declared, not alphabetical
+
+
+@query(f"""
+SELECT lang AS variable, coalesce(first(descripcion ORDER BY place, source, doc_id) FILTER (WHERE descripcion <> ''), 'Sin descripción') AS descripcion,
        string_agg(DISTINCT source, ', ' ORDER BY source) AS archivos_presentes
-FROM (SELECT doc_id, lang, source, CASE WHEN lang = 'es' OR doc_id % 2 = 0 THEN '' ELSE text END AS descripcion FROM documents)
+FROM (SELECT doc_id, lang, source, coalesce(list_position({ORIGINS}, source), 99) AS place,
+             CASE WHEN lang = 'es' OR doc_id % 2 = 0 THEN '' ELSE text END AS descripcion FROM documents)
 GROUP BY lang
 """)
 def glossary_consolidate(t: Tables) -> DataFrame:
+    """The first real description, in the declared order of origins."""
     note = F.when((F.col("lang") == "es") | (F.col("doc_id") % 2 == 0), "").otherwise(F.col("text"))
-    rows = t.documents.select("doc_id", F.col("lang").alias("variable"), F.col("source").alias("contexto"), note.alias("descripcion"))
-    return sheets.consolidate_glossary(rows, order_by=["doc_id"])
+    rows = t.documents.select(
+        sheets.declared_place("source", ORIGINS).alias("place"), "source", "doc_id",
+        F.col("lang").alias("variable"), F.col("source").alias("contexto"), note.alias("descripcion"),
+    )
+    return sheets.consolidate_glossary(rows, order_by=["place", "source", "doc_id"])
 
 
 @query("""

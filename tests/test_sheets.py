@@ -41,7 +41,7 @@ def test_glossary(spark):
     done = build_dictionary(cells, ["scores", "marks"])
     got = {r["variable"]: (r["descripcion"], r["archivos_presentes"]) for r in done.table.collect()}
     assert got == {
-        "rbd": ("third", "marks_6b_2023_s, scores_2m_2016_datos, scores_4b_2017_hoja 4B"),
+        "rbd": ("Rol otra vez", "marks_6b_2023_s, scores_2m_2016_datos, scores_4b_2017_hoja 4B"),
         "agno": ("Año", "scores_2m_2016_datos, scores_4b_2017_hoja 4B"),
         "prom": ("Puntaje", "scores_2m_2016_datos"),
         "ind": ("Sin descripción", "marks_6b_2023_s"),
@@ -53,6 +53,16 @@ def test_glossary(spark):
     assert {r["variable"] for r in done.parts["marks"].collect()} == {"rbd", "ind", "cc", "c1"}
 
 
+def test_the_first_declared_origin_and_the_first_sheet_of_a_workbook_describe(spark):
+    rows = [(*r, k) for k, (origin, name, text) in enumerate([("marks", "a", "by marks"), ("scores", "z", "first sheet"), ("scores", "a", "second sheet")])
+            for r in sheet(origin, f"{origin}2m2016.xlsx", name, [["variable", "label"], ["x", text]])]
+    cells = spark.createDataFrame(rows, CELLS + ", sheet_idx int").repartition(3)
+    said = lambda cells, origins: build_dictionary(cells, origins).table.first()["descripcion"]
+    assert said(cells, ["scores", "marks"]) == "first sheet"
+    assert said(cells, ["marks", "scores"]) == "by marks"
+    assert said(cells.drop("sheet_idx"), ["scores", "marks"]) == "second sheet"
+
+
 def test_level_of_the_sheet_wins(spark):
     rows = sheet("scores", "scores2m2016.xlsx", "parte 8B", [["variable", "label"], ["a", "b"]])
     [row] = glossary_rows(spark.createDataFrame(rows, CELLS), ["scores"]).collect()
