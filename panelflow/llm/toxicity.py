@@ -117,35 +117,49 @@ class Examples:
         return float(1 / (1 + np.exp(-(self.slope[0] * vote + self.slope[1]))))
 
 
-def _calibrated(votes: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def _calibrated(votes: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """A logistic curve of votes, by Newton's method on smoothed labels."""
-    ones = toxic.sum()
-    goal = np.where(toxic > 0, (ones + 1) / (ones + 2), 1 / (len(toxic) - ones + 2))
+    ones, zeros = (weights * toxic).sum(), (weights * (1 - toxic)).sum()
+    goal = np.where(toxic > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.column_stack([votes, np.ones_like(votes)])
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (goal - p) - 1e-3 * w)
+        hessian = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (weights * (goal - p)) - 1e-3 * w)
         w = w + np.clip(step, -5, 5)
         if abs(step).max() < 1e-9:
             break
     return float(w[0]), float(w[1])
 
 
-def index(ids, toxic, vectors: list[tuple[np.ndarray, np.ndarray, int]], df: np.ndarray, documents: int, k: int = NEIGHBOURS) -> Examples:
-    """Blocks of alike examples, and the curve from votes with each example left out once."""
+def index(
+    ids, toxic, vectors: list[tuple[np.ndarray, np.ndarray, int]], df: np.ndarray, documents: int, k: int = NEIGHBOURS, share: tuple[float, float] = (1.0, 1.0)
+) -> Examples:
+    """Blocks of alike examples, and the curve from votes with each example left out once.
+
+    Of examples with one vector the k + 1 smallest ids are indexed: no query's nearest can hold
+    another.  ``share`` is what an example of class 0 and 1 stands for among all labelled rows.
+    """
     idf = np.append(np.log((1 + documents) / (1 + df)) + 1, 1.0)
-    made = Examples(np.asarray(ids, np.int64), np.asarray(toxic, float), idf, np.zeros((0, 0), np.int16), np.zeros((0, 0)), [])
+    ids, toxic = np.asarray(ids, np.int64), np.asarray(toxic, float)
+    made = Examples(ids, toxic, idf, np.zeros((0, 0), np.int16), np.zeros((0, 0)), [])
     unit = [made.vector(*v) for v in vectors]
-    heavy = [int(at[np.argmax(w[:-1])]) if len(at) > 1 else len(idf) for at, w in unit]
-    order = sorted(range(len(unit)), key=lambda i: (heavy[i], -unit[i][1].max(), made.ids[i]))
-    unit, made.ids, made.toxic = [unit[i] for i in order], made.ids[order], made.toxic[order]
-    count = -(-len(unit) // BLOCK_ROWS)
+    alike: dict[bytes, list[int]] = {}
+    for i in np.argsort(ids, kind="stable"):
+        at, w = unit[i]
+        alike.setdefault(at.tobytes() + np.round(w, 9).tobytes(), []).append(int(i))
+    kept = [i for same in alike.values() for i in same[: k + 1]]
+    spare = [i for same in alike.values() for i in same[k + 1 :]]
+    heavy = {i: int(unit[i][0][np.argmax(unit[i][1][:-1])]) if len(unit[i][0]) > 1 else len(idf) for i in kept}
+    kept.sort(key=lambda i: (heavy[i], -unit[i][1].max(), ids[i]))
+    rows = [unit[i] for i in kept]
+    made.ids, made.toxic = ids[kept], toxic[kept]
+    count = -(-len(rows) // BLOCK_ROWS)
     made.places = np.full((count, len(idf)), -1, np.int16)
     made.most = np.zeros((len(idf), count))
     for b in range(count):
-        own = unit[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS]
+        own = rows[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS]
         terms = np.unique(np.concatenate([at for at, _ in own]))
         made.places[b, terms] = np.arange(len(terms))
         grid = np.zeros((len(own), len(terms)))
@@ -153,20 +167,31 @@ def index(ids, toxic, vectors: list[tuple[np.ndarray, np.ndarray, int]], df: np.
             grid[r, made.places[b, at]] = w
         made.blocks.append(grid)
         made.most[terms, b] = grid.max(axis=0)
-    if len(unit) > 1:
-        votes = np.array([made.vote(*made.nearest(at, w, k, skip=i)) for i, (at, w) in enumerate(unit)])
-        made.slope = _calibrated(votes, made.toxic)
+    if len(ids) > 1:
+        votes = [made.vote(*made.nearest(at, w, k, skip=r)) for r, (at, w) in enumerate(rows)]
+        seen: dict[bytes, float] = {}
+        for i in spare:
+            at, w = unit[i]
+            key = at.tobytes() + np.round(w, 9).tobytes()
+            if key not in seen:
+                seen[key] = made.vote(*made.nearest(at, w, k))
+            votes.append(seen[key])
+        truth = np.concatenate([made.toxic, toxic[spare]])
+        made.slope = _calibrated(np.array(votes), truth, np.where(truth > 0, share[1], share[0]))
     return made
 
 
-def _sampled(labels: DataFrame, per_class: int) -> DataFrame:
-    """Up to ``per_class`` learnable ids of each class, those of the smallest hashes."""
-    one = (
+def _labelled(labels: DataFrame) -> DataFrame:
+    return (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    of = lambda c: one.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+
+
+def _sampled(labelled: DataFrame, per_class: int) -> DataFrame:
+    """Up to ``per_class`` ids of each class, those of the smallest hashes."""
+    of = lambda c: labelled.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return of(0).unionByName(of(1))
 
 
@@ -233,7 +258,8 @@ def score_toxicity(
     voted, nearest first, ties by the smaller id.  Other columns of the tables play no part.
     """
     plain = docs.select("doc_id", "text")
-    chosen = _sampled(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), per_class)
+    labelled = _labelled(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")))
+    chosen = _sampled(labelled, per_class)
     sample = written(plain.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))  # at most 2 * per_class ids
     lexicon = choose_lexicon(sample, lexicon_size)
     made = None
@@ -243,7 +269,10 @@ def score_toxicity(
         for r in sample.mapInArrow(_known(lexicon), "doc_id long, toxic int, terms array<int>, counts array<int>, words long").collect():
             rows[r["doc_id"]] = (r["toxic"], (np.array(r["terms"], np.int64), np.array(r["counts"], np.int64), r["words"]))
         ids = sorted(rows)
-        made = index(ids, [rows[i][0] for i in ids], [rows[i][1] for i in ids], df, documents, k)
+        classes = [rows[i][0] for i in ids]
+        there = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        share = tuple(there.get(c, 0) / max(1, classes.count(c)) for c in (0, 1))
+        made = index(ids, classes, [rows[i][1] for i in ids], df, documents, k, share)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, made))
     kind = plain.schema["doc_id"].dataType.simpleString()
     scored = plain.mapInArrow(_scorer(shared, k), f"doc_id {kind}, score double, neighbours array<long>, similarities array<double>")
