@@ -49,7 +49,8 @@ def drop_outliers(
     """Tukey fences, one column after the other.
 
     The fence of each column is taken on what the columns before left.  A fence is two numbers
-    on the driver; as literals they reach the scan.
+    on the driver; as literals they reach the scan.  Every fence reads the input about twice, so
+    give it a table, not a chain of joins.
     """
     for column in columns:
         df = df.where(within(column, tukey_fence(df, column, reach, percentile_rows)))

@@ -55,15 +55,27 @@ def zscore(df: DataFrame, columns: Sequence[str], train: Column | None = None) -
     return ready.withColumns(scaled).drop("_stats")
 
 
-def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct labels; they become columns, so they must fit a schema."""
-    rows = df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct().collect()
+#: Labels become columns, literals of the plan and sides of a dense matrix on the driver.
+MAX_LABELS = 1000
+
+
+class TooManyLabels(ValueError):
+    def __init__(self, column: str, most: int):
+        super().__init__(f"column {column} has more than {most} labels; fold rare ones or raise max_labels")
+
+
+def categories(df: DataFrame, column: str, max_labels: int = MAX_LABELS) -> list[str]:
+    """Sorted distinct labels; more than ``max_labels`` are refused, never cut."""
+    labels = df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct()
+    rows = labels.limit(max_labels + 1).collect()
+    if len(rows) > max_labels:
+        raise TooManyLabels(column, max_labels)
     return sorted(r["v"] for r in rows)
 
 
-def one_hot(df: DataFrame, column: str, train: Column | None = None) -> DataFrame:
+def one_hot(df: DataFrame, column: str, train: Column | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
     """One 0/1 column per train label; a label unseen in training gives zeros throughout."""
-    labels = categories(df if train is None else df.where(train), column)
+    labels = categories(df if train is None else df.where(train), column, max_labels)
     value = F.col(column).cast("string")
     hot = {f"{column}_{v}": F.coalesce((value == v).cast("double"), F.lit(0.0)) for v in labels}
     return df.withColumns(hot)
@@ -247,10 +259,18 @@ class Moments:
 
 
 def collect_moments(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], targets: Sequence[str], block: str | None = None
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    targets: Sequence[str],
+    block: str | None = None,
+    max_labels: int = MAX_LABELS,
 ) -> Moments:
     """Gram matrices of the blocks of a frame: two scans, p x p numbers per block.
 
+    Labels are estimated in the first scan, so a column with far more than ``max_labels`` is refused before anything
+    is collected by label, and counted exactly afterwards.
+
     The first scan takes the means the columns are centred on (raw sums of squares lose
     digits), the second the sums.  Rows with a null in any of the columns are left out.
     """
@@ -260,7 +280,11 @@ def collect_moments(
         *[F.col(c).cast("string").alias(c) for c in categorical],
         *[F.col(c).cast("double").alias(c) for c in values],
     ).dropna()
-    means = ready.agg(*[F.avg(c).alias(c) for c in values]).first()
+    sizes = [F.approx_count_distinct(c, 0.03).alias(f"labels_{i}") for i, c in enumerate(categorical)]
+    means = ready.agg(*[F.avg(c).alias(c) for c in values], *sizes).first()
+    for i, column in enumerate(categorical):
+        if means[f"labels_{i}"] > 1.2 * max_labels:
+            raise TooManyLabels(column, max_labels)
     if means[values[0]] is None:
         raise ValueError("no complete rows to fit")
     centre = {c: float(means[c]) for c in values}
@@ -288,6 +312,9 @@ def collect_moments(
 
     labels = sorted({(r["e"]["c1"], r["e"]["l1"]) for r in gram_rows if r["e"]["c1"]},
                     key=lambda t: (list(categorical).index(t[0]), t[1]))
+    for column in categorical:
+        if sum(c == column for c, _ in labels) > max_labels:
+            raise TooManyLabels(column, max_labels)
     terms = [ALL, *[("#", c) for c in numeric], *labels, *[("=", c) for c in targets]]
     place = {t: i for i, t in enumerate(terms)}
     value_place = [place[("#", c)] for c in numeric] + [place[("=", c)] for c in targets]

@@ -2,45 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelflow.functions.text import strip
-from panelflow.operators.sized import join_written
+from panelflow.operators.sized import written
 from panelflow.presets import PAGE_PLACEHOLDER, PAGE_TITLE
 
-PAGES_PER_PART = 1000
+
+
+def with_position(pages: DataFrame, doc: str, page: str) -> DataFrame:
+    """``position`` of each page in its document, from 1, and the document's ``pages``.
+
+    Pages are dealt by ranges of (document, page).  Each range numbers its own pages and starts
+    from the pages of the same document in the ranges before, so a document of any length is split over tasks.  Pages of
+    one number go in the order of their range.
+    """
+    dealt = written(pages.repartitionByRange(doc, page).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(doc, "_range").agg(F.count(F.lit(1)).alias("_here"))
+    earlier = Window.partitionBy(doc).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        doc,
+        "_range",
+        F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_here").over(Window.partitionBy(doc)).alias("pages"),
+    )
+    own = F.row_number().over(Window.partitionBy(doc, "_range").orderBy(page))
+    numbered = dealt.withColumn("_own", own)
+    side = written(starts).withColumnsRenamed({doc: "_doc", "_range": "_at"})
+    joined = numbered.join(side, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_range") == F.col("_at")))
+    return joined.withColumn("position", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before", "_doc", "_at")
 
 
 def page_blocks(pages: DataFrame, doc: str, page: str, text: str, placeholder: str = PAGE_PLACEHOLDER) -> DataFrame:
-    """One block per page: a numbered header, then the trimmed text or a placeholder."""
-    totals = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"))
+    """One block per page: a header with the page's position, then the trimmed text or a placeholder."""
+    placed = with_position(pages.select(doc, page, text), doc, page)
     body = F.coalesce(F.nullif(strip(text), F.lit("")), F.lit(placeholder))
-    header = F.concat(F.lit("## --- SLIDE "), F.col(page).cast("string"), F.lit(" / "), F.col("pages").cast("string"), F.lit(" ---"))
-    return join_written(pages, totals, [doc]).select(
-        doc, F.col(page).alias("page_no"), "pages", F.concat(header, F.lit("\n\n"), body, F.lit("\n")).alias("block")
+    header = F.concat(F.lit("## --- SLIDE "), F.col("position").cast("string"), F.lit(" / "), F.col("pages").cast("string"), F.lit(" ---"))
+    return placed.select(
+        doc, F.col("position").alias("page_no"), "pages", F.concat(header, F.lit("\n\n"), body, F.lit("\n")).alias("block")
     )
 
 
 def assemble_pages(
-    pages: DataFrame,
-    doc: str,
-    page: str,
-    text: str,
-    placeholder: str = PAGE_PLACEHOLDER,
-    title: str = PAGE_TITLE,
-    pages_per_part: int = PAGES_PER_PART,
+    pages: DataFrame, doc: str, page: str, text: str, placeholder: str = PAGE_PLACEHOLDER, title: str = PAGE_TITLE
 ) -> DataFrame:
-    """The listing of each document under a title, in parts of a bounded number of pages.
+    """The listing of each document as ordered rows (doc, page_no, pages, block).
 
-    The parts in order, one per line break, are the whole listing.  An ordinary document is one part; a document
-    with millions of pages is spread over many rows and tasks.
+    Pages are numbered by position, whatever their own numbers are.  The title stands before the
+    first page.  A document's blocks in order, one per line break, are its listing; the sink joins them.
     """
     blocks = page_blocks(pages, doc, page, text, placeholder)
-    part = F.floor((F.col("page_no") - 1) / pages_per_part).alias("part")
-    in_order = F.array_sort(F.collect_list(F.struct("page_no", "block")))
-    text_of_part = F.array_join(F.transform(in_order, lambda b: b["block"]), "\n")
-    return (
-        blocks.groupBy(doc, part)
-        .agg(F.max("pages").alias("pages"), text_of_part.alias("listing"))
-        .withColumn("listing", F.when(F.col("part") == 0, F.concat(F.lit(title + "\n\n"), "listing")).otherwise(F.col("listing")))
-    )
+    first = F.concat(F.lit(title + "\n\n"), "block")
+    return blocks.withColumn("block", F.when(F.col("page_no") == 1, first).otherwise(F.col("block")))

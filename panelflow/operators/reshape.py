@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from panelflow.functions.text import as_col, lower_strip, map_code, to_number, whole_number
 
@@ -100,8 +101,10 @@ def keep_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> Da
     return df.withColumn("_place", F.row_number().over(last_first)).where(F.col("_place") == 1).drop("_place")
 
 
-def stack_tables(frames: Sequence[DataFrame]) -> DataFrame:
-    """Bag union by name; columns a frame lacks are null."""
+def stack_tables(frames: Sequence[DataFrame], spark: SparkSession | None = None, schema: StructType | None = None) -> DataFrame:
+    """Bag union by name; columns a frame lacks are null.  Of no frames it is the empty table of ``schema``."""
+    if not frames and spark is not None and schema is not None:
+        return spark.createDataFrame([], schema)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -109,16 +112,19 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "copies") ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
 
 
-class DuplicateKeys(ValueError):
-    pass
+REPEATED = "more than one row for "
 
 
-def require_unique(frames: Sequence[DataFrame], keys: Sequence[str]) -> None:
-    """Fail if a key occurs twice in any of the frames; one job for all of them."""
-    tagged = [df.select(F.lit(side).alias("_side"), *keys) for side, df in enumerate(frames)]
-    example = duplicate_keys(reduce(DataFrame.unionAll, tagged), ["_side", *keys]).first()
-    if example is not None:
-        raise DuplicateKeys(f"more than one row for {example.asDict()}")
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; the job that reads them fails on the second row of a key.
+
+    Rows are numbered within their key in the partitioning and order that a join on the keys
+    needs anyway, so the audit costs no shuffle of its own and holds no group in memory.
+    """
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    key = F.to_json(F.struct(*keys))
+    once = F.when(F.col("_copy") > 1, F.raise_error(F.concat(F.lit(REPEATED), key)).cast("boolean")).otherwise(F.lit(True))
+    return df.withColumn("_copy", number).where(once).drop("_copy")
 
 
 def panel_join(
@@ -126,16 +132,18 @@ def panel_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    check: bool = True,
+    check: Sequence[str] = ("left", "right"),
 ) -> DataFrame:
     """Join two keyed panels one to one.
 
     Other columns that both sides have come from the left side, and from the right where the
-    left has null.  With ``check`` both sides are audited first: a repeated key would multiply
-    rows.
+    left has null.  A repeated key would multiply rows, so the sides named in ``check`` are audited on the way; leave
+    out a side that is grouped by the keys.
     """
-    if check:
-        require_unique([left, right], keys)
+    if "left" in check:
+        left = require_unique(left, keys)
+    if "right" in check:
+        right = require_unique(right, keys)
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in shared})
     joined = left.join(renamed, list(keys), how)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -18,17 +22,49 @@ def shared_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="panelflow-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables written inside, at the end or on failure.
+
+    Results are lazy and read those tables, so build and save a result within one scope::
+
+        with scratch(spark):
+            write_panel(clean_panel(join_panel(scores, indicators), targets), path)
+
+    Without a scope the tables stay until someone deletes them from the shared folder.
+    """
+    mine: list[str] = []
+    outer = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(outer)
+        for path in mine:
+            _delete(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
     They are computed once, survive lost executors, have no lineage, and their size is known to
-    the planner from their files.
+    the planner from their files.  ``scratch`` bounds the table's life.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if (tables := _scope.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

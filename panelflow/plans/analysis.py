@@ -57,8 +57,11 @@ def read_analysis_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clean_panel(df: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Labels for codes, complete rows only, outlying targets out."""
-    return drop_outliers(recode_columns(df, LABELS).dropna(), targets)
+    """Labels for codes, complete rows only, outlying targets out.
+
+    The complete rows are written once: every fence reads them there, and so does what follows.
+    """
+    return drop_outliers(written(recode_columns(df, LABELS).dropna()), targets)
 
 
 @dataclass

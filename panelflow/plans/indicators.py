@@ -73,7 +73,7 @@ def consolidate_indicators(spark: SparkSession, folder: str, encoding: str | Non
     paths = paths_where(files, is_main_file("name"))
     reading = read_delimited(spark, paths, by_alias(INDICATOR_ALIASES), encoding)
     if not reading.frames:
-        empty = spark.createDataFrame([], INDICATOR_SCHEMA)
+        empty = stack_tables([], spark, INDICATOR_SCHEMA)
         audit = cleaning_audit(empty, [("one row per key", F.lit(True))])
         return Consolidated(empty, audit, reading.quarantine if paths else spark.createDataFrame([], QUARANTINE))
     stacked = stack_tables([_wide(f) for f in reading.frames])

@@ -46,7 +46,7 @@ def consolidate_scores(
     paths = paths_where(list_files(spark, folder), is_entity_file("name"))
     reading = read_delimited(spark, paths, by_regex(SCORE_RENAMES))
     if not reading.frames:
-        empty = spark.createDataFrame([], SCORE_SCHEMA)
+        empty = stack_tables([], spark, SCORE_SCHEMA)
         audit = cleaning_audit(empty, [("targets present", F.lit(True))])
         return Consolidated(empty, audit, reading.quarantine if paths else spark.createDataFrame([], QUARANTINE))
     stacked = stacked_scores(reading.frames, prefix)

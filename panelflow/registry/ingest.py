@@ -8,6 +8,7 @@ from panelflow.functions.filenames import is_main_file
 from panelflow.functions import text as tx
 from panelflow.operators.columns import conform
 from panelflow.operators.paging import assemble_pages as assemble
+from panelflow.operators.reshape import stack_tables
 from panelflow.operators.sheets import melt_cells
 from panelflow.registry.base import SQL_BLANKS, SQL_FILE_NAMES, Tables, file_names, query
 
@@ -49,6 +50,21 @@ def cell_table_scan(t: Tables) -> DataFrame:
     return conversation_cells(t)
 
 
+@query("""
+SELECT n_nationkey, n_name, letter FROM nation JOIN region ON r_regionkey = n_regionkey
+JOIN (VALUES ('A'), ('Z')) v(letter) ON starts_with(r_name, letter)
+""")
+def stack_of_found(t: Tables) -> DataFrame:
+    """One table per region of a letter, stacked; for a letter without regions that is the empty table."""
+    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
+    stacks = []
+    for letter in ("A", "Z"):
+        keys = [r["r_regionkey"] for r in t.region.where(F.col("r_name").startswith(letter)).collect()]
+        frames = [conform(t.nation.where(F.col("n_regionkey") == k), schema) for k in keys]
+        stacks.append(stack_tables(frames, t.spark, schema).withColumn("letter", F.lit(letter)))
+    return stack_tables(stacks)
+
+
 @query("SELECT CAST(r_regionkey AS BIGINT) AS region_id, r_name AS region_name FROM region WHERE false")
 def empty_scan(t: Tables) -> DataFrame:
     schema = T.StructType([T.StructField("region_id", T.LongType()), T.StructField("region_name", T.StringType())])
@@ -78,19 +94,19 @@ def null_tokens(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH pages_in AS (
-  SELECT conv_id, turn + 1 AS page_no, CASE WHEN turn % 3 = 2 THEN '  ' ELSE text END AS text FROM conversations),
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_no, CASE WHEN turn % 3 = 2 THEN '  ' ELSE text END AS text FROM conversations),
 totals AS (SELECT conv_id, count(*) AS pages FROM pages_in GROUP BY conv_id),
 blocks AS (
   SELECT p.conv_id, page_no, pages,
          concat('## --- SLIDE ', page_no, ' / ', pages, ' ---', chr(10), chr(10),
                 coalesce(nullif(trim(text, {SQL_BLANKS}), ''), '_(sin texto extraíble — slide visual)_'), chr(10)) AS block
   FROM pages_in p JOIN totals t ON p.conv_id = t.conv_id)
-SELECT conv_id, CAST(floor((page_no - 1) / 1000) AS BIGINT) AS part, max(pages) AS pages,
-       concat(CASE WHEN min(page_no) <= 1000 THEN concat('# Extracción de Presentación PDF', chr(10), chr(10)) ELSE '' END,
-              string_agg(block, chr(10) ORDER BY page_no)) AS listing
-FROM blocks GROUP BY ALL
+SELECT conv_id, page_no, pages,
+       concat(CASE WHEN page_no = 1 THEN concat('# Extracción de Presentación PDF', chr(10), chr(10)) ELSE '' END, block) AS block
+FROM blocks
 """)
 def assemble_pages(t: Tables) -> DataFrame:
+    """Pages whose own numbers begin at 0 and leave gaps are numbered by position."""
     text = F.when(F.col("turn") % 3 == 2, "  ").otherwise(F.col("text"))
-    pages = t.conversations.select("conv_id", (F.col("turn") + 1).alias("page_no"), text.alias("text"))
-    return assemble(pages, "conv_id", "page_no", "text")
+    pages = t.conversations.select("conv_id", (F.col("turn") * 3).alias("page"), text.alias("text"))
+    return assemble(pages, "conv_id", "page", "text")

@@ -240,7 +240,7 @@ def order_panel(t: Tables) -> DataFrame:
         F.sum("l_extendedprice").alias("price"),
     )
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    panel = panel_join(orders, per_order, ["o_orderkey"], check=False)
+    panel = panel_join(orders, per_order, ["o_orderkey"], check=())
     segments = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return panel.join(segments, "o_custkey")
 

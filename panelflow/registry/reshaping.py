@@ -144,7 +144,7 @@ def panel_inner_join(t: Tables) -> DataFrame:
     orders = t.orders.select(
         F.col("o_orderkey").alias("orderkey"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"), "o_totalprice"
     )
-    return op.panel_join(orders, per_order, ["orderkey"])
+    return op.panel_join(orders, per_order, ["orderkey"], check=["left"])
 
 
 @query(f"""

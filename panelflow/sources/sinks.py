@@ -22,11 +22,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = Fal
 
 
 def write_panel(df: DataFrame, path: str, by: Sequence[str] = ("agno", "curso"), mode: str = "overwrite") -> None:
-    """Parquet in one folder per year and level, so later reads prune by both."""
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    """Parquet in one folder per year and level, so later reads prune by both.
+
+    Rows are brought together by folder first, so a folder gets a few files and not one per task;
+    a folder with much of the table is split again.
+    """
+    df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def write_listings(parts: DataFrame, path: str, doc: str, mode: str = "overwrite") -> None:
-    """Text, one folder per document; its files in name order are the listing."""
-    in_order = parts.repartitionByRange(doc, "part").sortWithinPartitions(doc, "part")
-    in_order.select(doc, "listing").write.mode(mode).partitionBy(doc).text(path)
+def write_listings(blocks: DataFrame, path: str, doc: str, mode: str = "overwrite") -> None:
+    """Text: the files in name order hold the listings, document after document, page after page.
+
+    A document may go on in the next file; there is no folder per document, of which there may be millions.
+    """
+    in_order = blocks.repartitionByRange(doc, "page_no").sortWithinPartitions(doc, "page_no")
+    in_order.select("block").write.mode(mode).text(path)

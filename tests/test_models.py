@@ -152,3 +152,16 @@ def test_large_offsets_keep_their_digits(spark):
     [model] = op.fit(spark.createDataFrame(rows, SCHEMA), ["a"], [], ["y"])
     mean, scale, coef = model.numeric["a"]
     assert coef / scale == pytest.approx(3.0, abs=1e-5)
+
+
+def test_too_many_labels_are_refused_by_name(spark):
+    from panelflow.operators.modelling import TooManyLabels, collect_moments, one_hot
+
+    df = spark.range(400).select((F.col("id") % 40).cast("string").alias("many"), F.lit("a").alias("few"), F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    with pytest.raises(TooManyLabels, match="column many has more than 39 labels"):
+        one_hot(df, "many", max_labels=39)
+    assert len(one_hot(df, "many", max_labels=40).columns) == 44
+    for most in (5, 39):
+        with pytest.raises(TooManyLabels, match="column many"):
+            collect_moments(df, ["x"], ["few", "many"], ["y"], max_labels=most)
+    assert len(collect_moments(df, ["x"], ["few", "many"], ["y"], max_labels=40).blocks) == 1

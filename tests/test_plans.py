@@ -9,9 +9,26 @@ from panelflow.registry import QUERIES
 NAMES = sorted(QUERIES)
 
 
+@pytest.fixture
+def tables(monkeypatch, plan):
+    """Plans of the frames that a query writes while it is built."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def watched(self, path, *args, **options):
+        if "/table-" in path:
+            plans.append(plan(DataFrame(self._df._jdf, self._df.sparkSession)))
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    return plans
+
+
 @pytest.mark.parametrize("name", NAMES)
-def test_no_python_and_no_cross_join(spark, small, plan, name):
-    text = plan(QUERIES[name](spark, small))
+def test_no_python_and_no_cross_join(spark, small, plan, name, tables):
+    text = "\n".join([plan(QUERIES[name](spark, small)), *tables])
     for node in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in text
 
@@ -39,3 +56,8 @@ def test_grouped_lines_keep_their_partitioning_for_the_join(spark, small, plan):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange (") == 2
+
+
+def test_hidden_plans_are_seen_and_pruned(spark, small, tables):
+    QUERIES["kfold_text_order"](spark, small)
+    assert any("ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in text for text in tables)

@@ -68,8 +68,22 @@ def test_panel_join_takes_the_left_value_then_the_right(spark):
     out = reshape.panel_join(left, right, ["k"])
     assert out.columns == ["k", "ctx", "x", "y"]
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", None, 7), (2, "c", 5, 8)]
-    with pytest.raises(reshape.DuplicateKeys):
-        reshape.panel_join(left, right.unionAll(right), ["k"])
+    for twice, check in (([left, right.unionAll(right)], "right"), ([left.unionAll(left), right], "left")):
+        with pytest.raises(Exception, match="more than one row for"):
+            reshape.panel_join(*twice, ["k"]).collect()
+        other = "left" if check == "right" else "right"
+        assert reshape.panel_join(*twice, ["k"], check=[other]).count() == 4
+
+
+def test_the_audit_of_keys_shares_the_shuffle_of_the_join(spark, small, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_totalprice")
+        other = spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_custkey")
+        text = plan(reshape.panel_join(orders, other, ["o_orderkey"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (text.count("Exchange ("), text.count("Scan parquet")) in ((2, 2), (2, 4), (4, 4)) and text.count("\n+- Exchange") <= 2
 
 
 def test_detail_columns(spark):

@@ -92,29 +92,25 @@ def test_cut_and_header_are_positions_not_filters(spark):
     assert sorted(tuple(r) for r in body.collect()) == [rows[2], rows[3], rows[4]]
 
 
-def test_pages_are_all_numbered(spark, tmp_path):
+def test_pages_are_numbered_by_position(spark, tmp_path):
     import glob
 
     from panelflow.sources.sinks import write_listings
 
-    rows = [("d", 2, None), ("d", 1, "  one\n"), ("d", 3, " \t "), ("e", 1, "x")]
+    rows = [("d", 7, None), ("d", 0, "  one\n"), ("d", 9, " \t "), ("e", 1, "x"), (None, 4, "y")]
     pages = spark.createDataFrame(rows, "doc string, page int, text string").repartition(3)
-    parts = assemble_pages(pages, "doc", "page", "text", "(none)", "# T")
-    [d, e] = parts.orderBy("doc").collect()
+    blocks = assemble_pages(pages, "doc", "page", "text", "(none)", "# T")
+    got = [tuple(r) for r in blocks.orderBy("doc", "page_no").collect()]
+    assert [r[:3] for r in got] == [(None, 1, 1), ("d", 1, 3), ("d", 2, 3), ("d", 3, 3), ("e", 1, 1)]
     want = "# T\n\n## --- SLIDE 1 / 3 ---\n\none\n\n## --- SLIDE 2 / 3 ---\n\n(none)\n\n## --- SLIDE 3 / 3 ---\n\n(none)\n"
-    assert d["listing"] == want
-    assert e["pages"] == 1
-    one_page = assemble_pages(pages, "doc", "page", "text", "(none)", "# T", pages_per_part=1)
-    for i, frame in enumerate((parts, one_page)):
-        write_listings(frame, f"{tmp_path}/{i}", "doc")
-        files = sorted(glob.glob(f"{tmp_path}/{i}/doc=d/*.txt"))
-        assert "".join(open(f).read() for f in files) == want + "\n"
-
-
-def test_parts_of_a_long_document_add_up(spark):
-    pages = spark.range(1, 251).select(F.lit("d").alias("doc"), F.col("id").alias("page"), F.concat(F.lit("t"), "id").alias("text"))
-    whole = assemble_pages(pages, "doc", "page", "text").collect()
-    parts = assemble_pages(pages, "doc", "page", "text", pages_per_part=100).orderBy("part").collect()
-    assert [p["part"] for p in parts] == [0, 1, 2]
-    assert "\n".join(p["listing"] for p in parts) == whole[0]["listing"]
-    assert page_blocks(pages, "doc", "page", "text").count() == 250
+    assert "\n".join(r[3] for r in got if r[0] == "d") == want
+    write_listings(blocks.where("doc = 'd'"), f"{tmp_path}/out", "doc")
+    files = sorted(glob.glob(f"{tmp_path}/out/*.txt"))
+    assert "".join(open(f).read() for f in files) == want + "\n"
+
+
+def test_a_long_document_is_numbered_over_many_ranges(spark):
+    pages = spark.range(0, 1000).select(F.lit("d").alias("doc"), (F.col("id") * 5 - 3).alias("page"), F.concat(F.lit("t"), "id").alias("text"))
+    got = page_blocks(pages.repartition(6), "doc", "page", "text").orderBy("page_no").collect()
+    assert [r["page_no"] for r in got] == list(range(1, 1001)) and all(r["pages"] == 1000 for r in got)
+    assert all(r["block"].endswith(f"\n\nt{i}\n") for i, r in enumerate(got))
