@@ -6,8 +6,10 @@
    Golomb-coded hashes between runs of rows and owners of hash ranges; a run sends a hash once,
    however many of its rows have it.  First on the smallest hashes of all sets, then on all
    hashes of the sets that are left.
-3. Two linked sets share one of their smallest n - least_shared + 1 hashes.  Connected components
-   over these keys ("clusters") therefore cut no link, and each cluster is joined by itself.
+3. In any order of all hashes, two linked sets share one of their first n - least_shared + 1
+   hashes.  Rare ones come first (by counts of the left sets in a fixed number of slots), so that a common
+   passage is no key.  Connected components over these keys ("clusters") cut no link, and each cluster
+   is joined by itself.
 4. A cluster's block of sets is one task's signature tree: nodes hold the OR of their members' token
    bitmaps, their range of sizes and their largest surplus of tokens over bits; a dual traversal
    drops pairs of nodes whose largest possible overlap is too small, and those that are already
@@ -35,7 +37,10 @@ PERCENT = 80
 RUN_BITS = 12  # a run has at most 2**12 rows
 BLOCK_TOKENS = 1_500_000  # hashes in one tree, about
 ARITY = 8
+SLICE = 4096  # pairs of nodes looked at together
+BITMAP_BYTES = 8 << 20
 PIVOTS = 8
+SLOT_BITS = 20  # of the table of counts by which hashes are ordered
 SHORT = np.uint64(24)  # bits dropped from hashes in the first, coarse exchange
 
 
@@ -151,7 +156,8 @@ def shared_counts(sets: DataFrame, owners: int, packed: bool) -> DataFrame:
 class Tree:
     """Signature tree over sets (sorted hashes), in the order of their smallest hashes."""
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, guests: np.ndarray | None = None):
+        """``labels``: sets of one component so far; ``guests``: only pairs of a guest and another set matter."""
         order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
         self.order = np.array(order, np.int64)
         self.sets = [sets[i] for i in order]
@@ -167,10 +173,14 @@ class Tree:
         for k, label in enumerate(labels[self.order]):
             self.parent[k] = first.setdefault(label, k)
         self.levels = [(bits, self.sizes, self.sizes, surplus)]
+        side = None if guests is None else guests[self.order]
+        self.sides = None if side is None else [(side, ~side)]
         while len(self.levels[-1][0]) > ARITY:
             b, low, high, extra = self.levels[-1]
             heads = np.arange(0, len(b), ARITY)
             self.levels.append((np.bitwise_or.reduceat(b, heads), np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads), np.maximum.reduceat(extra, heads)))
+            if self.sides:
+                self.sides.append(tuple(np.logical_or.reduceat(x, heads) for x in self.sides[-1]))
 
     def root(self, k: int) -> int:
         while self.parent[k] != k:
@@ -196,55 +206,69 @@ class Tree:
             keys = [int((s if not salt else mix(s ^ np.uint64(salt))).min()) for s in self.sets]
             line = sorted(range(len(keys)), key=lambda k: (keys[k], self.sizes[k]))
             for a, b in zip(line, line[1:]):
-                if keys[a] == keys[b]:
+                if keys[a] == keys[b] and (not self.sides or self.sides[0][0][a] != self.sides[0][0][b]):
                     self.test(a, b, percent)
 
-    def whole(self, level: int) -> np.ndarray:
-        """By node of a level: the component of all its sets, or -1."""
-        roots = np.array([self.root(k) for k in range(len(self.sets))])
-        for _ in range(level):
+    def whole(self) -> list[np.ndarray]:
+        """By level and node: the component of all its sets, or -1."""
+        roots = self.parent
+        while not np.array_equal(roots, roots[roots]):
+            roots = roots[roots]
+        self.parent, out = roots.copy(), [roots]
+        for _ in self.levels[1:]:
             heads = np.arange(0, len(roots), ARITY)
             low, high = np.minimum.reduceat(roots, heads), np.maximum.reduceat(roots, heads)
-            roots = np.where(low == high, low, -1)
-        return roots
+            roots = np.where((low == high) & (low >= 0), low, -1)
+            out.append(roots)
+        return out
+
+    def possible(self, level: int, x: np.ndarray, y: np.ndarray, whole: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of nodes may hold a pair of linked sets of different components."""
+        bits, low, high, extra = self.levels[level]
+        fits = (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
+        fits &= (whole[x] != whole[y]) | (whole[x] < 0)
+        if level == 0:
+            fits &= x != y
+        if self.sides:
+            guest, host = self.sides[level]
+            fits &= (guest[x] & host[y]) | (host[x] & guest[y])
+        step = max(1, BITMAP_BYTES // (8 * bits.shape[1]))
+        found = np.flatnonzero(fits)
+        for s in range(0, len(found), step):
+            at = found[s : s + step]
+            most = np.bitwise_count(bits[x[at]] & bits[y[at]]).sum(axis=1).astype(np.int64) + np.minimum(extra[x[at]], extra[y[at]])
+            fits[at] = (100 + percent) * most >= percent * (low[x[at]] + low[y[at]])
+        return fits
 
     def join(self, percent: int) -> None:
-        """Dual traversal from the root: pairs of nodes, level by level."""
+        """Dual traversal from the root, depth first in slices of node pairs, so that few pairs are held at once."""
         self.near(percent)
         top = len(self.levels) - 1
-        n = len(self.levels[top][0])
-        a, b = np.triu_indices(n)
-        for level in range(top, -1, -1):
-            bits, low, high, extra = self.levels[level]
-            whole = self.whole(level)
-            keep_a, keep_b = [], []
-            for s in range(0, len(a), 1 << 15):
-                x, y = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
-                fits = (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
-                fits &= (whole[x] != whole[y]) | (whole[x] < 0)
-                fits &= (x != y) | (level > 0)
-                x, y = x[fits], y[fits]
-                most = np.bitwise_count(bits[x] & bits[y]).sum(axis=1).astype(np.int64) + np.minimum(extra[x], extra[y])
-                enough = (100 + percent) * most >= percent * (low[x] + low[y])
-                keep_a.append(x[enough])
-                keep_b.append(y[enough])
-            a, b = np.concatenate([*keep_a, a[:0]]), np.concatenate([*keep_b, b[:0]])
-            if level:
+        stack = [(top, *np.triu_indices(len(self.levels[top][0])))]
+        one, two = (g.ravel() for g in np.meshgrid(np.arange(ARITY), np.arange(ARITY), indexing="ij"))
+        while stack:
+            level, x, y = stack.pop()
+            if len(x) > SLICE:
+                stack.append((level, x[SLICE:], y[SLICE:]))
+                x, y = x[:SLICE], y[:SLICE]
+            fits = self.possible(level, x, y, self.whole()[level], percent)
+            x, y = x[fits], y[fits]
+            if not level:
+                for a, b in zip(x.tolist(), y.tolist()):
+                    self.test(a, b, percent)
+            elif len(x):
                 n = len(self.levels[level - 1][0])
-                grid = np.arange(ARITY)
-                x = (a[:, None, None] * ARITY + grid[None, :, None] + 0 * grid[None, None, :]).ravel()
-                y = (b[:, None, None] * ARITY + grid[None, None, :] + 0 * grid[None, :, None]).ravel()
+                x, y = (x[:, None] * ARITY + one).ravel(), (y[:, None] * ARITY + two).ravel()
                 good = (x < n) & (y < n) & (x <= y)
-                a, b = x[good], y[good]
-        for x, y in zip(a.tolist(), b.tolist()):
-            self.test(x, y, percent)
+                stack.append((level - 1, x[good], y[good]))
 
 
 def _join_block(percent: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
         nodes = rows["node"].tolist()
-        tree = Tree(sets, np.array([bytes(x) for x in rows["label"]], object))
+        guests = rows["guest"].to_numpy(bool) if "guest" in rows else None
+        tree = Tree(sets, np.array([bytes(x) for x in rows["label"]], object), guests)
         tree.join(percent)
         out = [(nodes[tree.order[k]], nodes[tree.order[tree.root(k)]]) for k in range(len(sets))]
         return pd.DataFrame([x for x in out if x[0] != x[1]], columns=["a", "b"])
@@ -273,7 +297,6 @@ def jaccard_components(
         .withColumn("run", F.shiftright("row", RUN_BITS))
     )
     filled = every.filter("n > 0")
-    need = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
     need = -F.floor(-F.col("n") * percent / 100).cast("int")
     taken = F.length("tokens") / 5
     shared = shared_counts(filled, partitions, True)
@@ -283,7 +306,8 @@ def jaccard_components(
     sets = written(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.shiftright("row", RUN_BITS - 2)))
     shared = shared_counts(sets, partitions, False)
     sets = written(sets.join(shared, "row").filter(F.col("n") - F.col("shared") <= F.col("n") - need).select("node", "n", "tokens"))
-    keys = sets.select("node", "tokens").mapInArrow(_keys(percent), "token long, node binary")
+    rarity = spark.sparkContext.broadcast(slot_counts(sets))  # 2**SLOT_BITS numbers
+    keys = sets.select("node", "tokens").mapInArrow(_keys(percent, rarity), "token long, node binary")
     pivots = keys.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1").select("token", "b")
     stars = written(keys.select("token", F.col("node").alias("a")).join(pivots, "token").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("c")))
     clusters = written(components(stars.select("a", "b")))
@@ -298,15 +322,43 @@ def jaccard_components(
     )
 
 
-def _keys(percent: int) -> Callable:
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many hashes of all sets fall into each slot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for blob in batch.column("tokens").to_pylist():
+                np.add.at(counts, _slots(np.frombuffer(blob, np.uint64)), 1)
+        grid = counts.reshape(1024, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1024)), pa.array([r.tobytes() for r in grid], pa.binary())], names=["part", "counts"])
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "counts": [sum(np.frombuffer(b, np.int64) for b in rows["counts"]).tobytes()]})
+
+    found = sets.select("tokens").mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary")
+    total = np.zeros((1024, (1 << SLOT_BITS) // 1024), np.int64)
+    for row in found.collect():
+        total[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    return total.ravel()
+
+
+def _keys(percent: int, rarity) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = rarity.value
         for batch in batches:
-            sets = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
-            kept = [s[: len(s) - least_shared(len(s), percent) + 1] for s in sets]
-            nodes = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
+            kept = [np.zeros(0, np.uint64)]
+            for blob in batch.column("tokens").to_pylist():
+                s = np.frombuffer(blob, np.uint64)
+                kept.append(s[np.lexsort((s, counts[_slots(s)]))[: len(s) - least_shared(len(s), percent) + 1]])
+            nodes = np.repeat(np.arange(len(kept) - 1), [len(k) for k in kept[1:]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(kept).view(np.int64)), batch.column("node").take(pa.array(nodes))], names=["token", "node"]
-            ) if kept else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["token", "node"])
+                [pa.array(np.concatenate(kept).view(np.int64)), batch.column("node").take(pa.array(nodes, pa.int64()))], names=["token", "node"]
+            )
 
     return run
 
@@ -317,7 +369,6 @@ def _joined(sets: DataFrame, stars: DataFrame, clusters: DataFrame, percent: int
     counts = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / block_tokens).alias("parts"))
     dealt = written(sized.join(counts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), "parts")))
     block = ["cluster", "part"]
-    # small clusters travel together: a group is a range of clusters, and the task splits it again
     plain = dealt.withColumn("label", F.col("node"))
     degree = stars.groupBy(F.col("b").alias("node")).agg(F.sum("c").alias("degree"))
     large = dealt.filter("parts > 1")
@@ -338,6 +389,7 @@ def _joined(sets: DataFrame, stars: DataFrame, clusters: DataFrame, percent: int
     biggest = labelled.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
     marked = labelled.join(biggest, "cluster")
     visits = marked.filter("label <> main").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("at <> part").withColumn("part", F.col("at"))
-    second = marked.select(columns).union(visits.select(columns))
+    of = lambda frame, guest: frame.select(*columns, F.lit(guest).alias("guest"))
+    second = of(marked, False).union(of(visits, True))
     met = second.groupBy(*block).applyInPandas(_join_block(percent), shape)
     return written(links.union(met).union(labelled.filter("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b"))))
