@@ -16,7 +16,7 @@ from panelflow.llm.jaccard import jaccard_components
 from panelflow.llm.packing import pack
 from panelflow.llm.suffix_dedup import remove_repeats
 from panelflow.llm.toxicity import score_toxicity
-from panelflow.operators.sized import shared_folder, written
+from panelflow.operators.sized import scratch, shared_folder, written
 
 
 def only(docs: DataFrame, verdicts: DataFrame, stays: Column) -> DataFrame:
@@ -74,6 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):  # a stage's own tables go when its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -157,12 +157,45 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE ws[k : k + 4] END, ' ') AS shingle
+      FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(k) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+hops AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, hops.y FROM reach JOIN hops ON reach.y = hops.x)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y) AS component_id
+FROM documents JOIN reach ON x = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+)
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
-@query()
+@query(
+    """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, k, substr(x, 2 * k + 1, 100) AS w FROM h, unnest(range(0, greatest(n - 49, 0))) t(k)),
+firsts AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w),
+gone AS (SELECT doc_id, k FROM windows JOIN firsts USING (w) WHERE low < doc_id),
+marked AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM gone),
+grouped AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM marked),
+spans AS (SELECT doc_id, g, min(k) AS a, max(k) + 50 AS b FROM grouped GROUP BY doc_id, g),
+left_over AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM spans
+  UNION ALL SELECT h.doc_id, coalesce(max(b), 0), any_value(n) FROM h LEFT JOIN spans ON spans.doc_id = h.doc_id GROUP BY h.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS k FROM left_over JOIN h USING (doc_id) GROUP BY doc_id),
+counted AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM h JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+)
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = remove_repeats(table(spark, folder, "documents"))
     return cleaned.select(
