@@ -17,7 +17,7 @@ from panelflow.operators.sized import written
 SLOT_BITS = 20
 BAND = (0.12, 0.85)  # of ln(N / df) / ln(N): 0 is a term of all documents, 1 a term of one
 DRAWS = 16  # lexicon subsets of each rate
-RATES = tuple(2.0 ** -(1 + 1.5 * k) for k in range(8))
+RATES = tuple(2.0 ** -(1 + 2 * k) for k in range(6))
 _SALTS = mix(np.arange(101, 101 + DRAWS, dtype=np.uint64))
 _LIMITS = np.array([int(r * 2.0**64) for r in RATES], np.uint64)
 _ROW = 1024  # slots in a row of the count table
@@ -126,7 +126,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = plain.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     shape = (
-        f"part int, role string, doc_id {kind}, text string, n_chars long, edited_sha256 string, "
+        f"part int, role string, doc_id {kind}, text string, n_chars long, edited_sha256 binary, "
         "fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     )
 
@@ -134,7 +134,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
         changed = edited(text, following)
         other = own if changed == text else _prints(inside, [changed])[0]
         return {
-            "doc_id": doc, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(),
+            "doc_id": doc, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed.encode()).digest(),
             "fingerprint": own.tobytes(), "edited_fingerprint": other.tobytes(),
             "near_edited": likeness(own, other), "near_next": likeness(own, next_print),
         }
@@ -185,7 +185,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
     return rows.filter("role = 'done'").unionByName(linked).select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
         F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         "near_edited",
