@@ -164,14 +164,23 @@ def _offer(shards: int, width: int) -> Callable:
             i = slice(cuts[s], cuts[s + 1])
             body = text[_spread(offsets[i], windows[i] + width - 1)]
             out.append(
-                {"shard": s, "run": number, "key": key[i].tobytes(), "windows": windows[i].tobytes(), "content": content[i].tobytes(),
-                 "low": low[i].tobytes(), "high": high[i].tobytes(), "text": body.tobytes()}
+                {"shard": s, "run": number, "key": key[i].tobytes(), "windows": _shrunk(windows[i]), "content": content[i].tobytes(),
+                 "low": _shrunk(low[i]), "high": _shrunk(high[i]), "text": _shrunk(body)}
             )
         return pa.Table.from_pylist(out, schema=_SEGMENTS)
 
     return run
 
 
+def _shrunk(values: np.ndarray) -> bytes:
+    """Neighbouring segments share most of their bytes, so they are packed before the shuffle."""
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _grown(blob: bytes, size: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), kind)
+
+
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each of the lengths, one after the other."""
     total = np.cumsum(lengths)
@@ -246,8 +255,11 @@ def _judge(width: int, part_bytes: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-        keys, windows, content = read("key", np.uint64), read("windows", np.int64), read("content", np.uint64)
-        low, high, text = read("low", np.int64), read("high", np.int64), read("text", np.uint8)
+        keys, content = read("key", np.uint64), read("content", np.uint64)
+        windows, low, high = (np.concatenate([_grown(r[c], len(r["key"]), np.int64) for r in rows]) for c in ("windows", "low", "high"))
+        counts = [len(r["key"]) // 8 for r in rows]
+        sizes = np.add.reduceat(windows + width - 1, np.cumsum([0, *counts[:-1]]))
+        text = np.concatenate([_grown(r["text"], int(n), np.uint8) for r, n in zip(rows, sizes)])
         source = np.repeat(np.arange(len(rows)), [len(r["key"]) // 8 for r in rows])
         offsets = np.cumsum(windows + width - 1) - (windows + width - 1)
         by = np.lexsort((content, keys))
