@@ -7,67 +7,63 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelflow.llm.texts import blocks, mix, word_hashes
 from panelflow.operators.sized import written
 
-SLOT_BITS = 20
+RUN_TERMS = 2_000_000  # terms of blocks counted together
 BAND = (0.12, 0.85)  # of ln(N / df) / ln(N): 0 is a term of all documents, 1 a term of one
 DRAWS = 16  # lexicon subsets of each rate
 RATES = tuple(2.0 ** -(1 + 2 * k) for k in range(6))
 _SALTS = mix(np.arange(101, 101 + DRAWS, dtype=np.uint64))
 _LIMITS = np.array([int(r * 2.0**64) for r in RATES], np.uint64)
-_ROW = 1024  # slots in a row of the count table
 
 
 def _terms(words: np.ndarray) -> np.ndarray:
     return np.unique(words)
 
 
-def _slots(terms: np.ndarray) -> np.ndarray:
-    return (terms >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def band_of_lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> tuple[np.ndarray, int]:
-    """Which slots of the lexicon lie within the band, and the number of documents.
+    """The terms within the band, sorted, and the number of documents.
 
-    Terms share 2**SLOT_BITS slots by hash, and a slot's document frequency is that of its terms
-    together: the lexicon has a fixed size however many terms there are.  All documents count.
+    Every distinct 64-bit term is counted over all documents, first within runs of blocks.  Only
+    terms of the band come to the driver: at the rare end each occurs in documents ** (1 - band[1]) of them at least.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << SLOT_BITS, np.int32), 0
+        found, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            terms, at = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+            df = np.bincount(at, np.concatenate([c for _, c in found]), minlength=len(terms))
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df.astype(np.int64))], names=["term", "df"])
+
         for batch in batches:
             for _, _, data, bounds in blocks(batch.column("text")):
                 words, rows = word_hashes(data, bounds)
-                slots = _slots(words)
-                pairs = np.unique(np.repeat(np.arange(len(rows) - 1), np.diff(rows)) << SLOT_BITS | slots)
-                df += np.bincount(pairs & ((1 << SLOT_BITS) - 1), minlength=1 << SLOT_BITS).astype(np.int32)
-                n += len(rows) - 1
-        grid = df.reshape(-1, _ROW)
-        at = np.flatnonzero(grid.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *at.tolist()], pa.int32()), pa.array([np.array([n], np.int64).tobytes(), *[grid[k].astype(np.int64).tobytes() for k in at]], pa.binary())],
-            names=["part", "counts"],
-        )
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(blob, np.int64) for blob in rows["counts"])
-        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
-
-    found = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary")
-    counts, documents = np.zeros(1 << SLOT_BITS, np.int64), 0
-    for row in found.collect():  # 2**SLOT_BITS numbers at most
-        values = np.frombuffer(row["counts"], np.int64)
-        if row["part"] < 0:
-            documents = int(values[0])
-        else:
-            counts[row["part"] * _ROW : (row["part"] + 1) * _ROW] = values
+                own = [np.zeros(0, np.uint64), *[_terms(words[a:b]) for a, b in zip(rows[:-1], rows[1:])]]
+                found.append(np.unique(np.concatenate(own), return_counts=True))
+                held += len(found[-1][0])
+                if held > RUN_TERMS:
+                    yield flush()
+                    found, held = [], 0
+        if held:
+            yield flush()
+
+    documents = docs.count()
     least, most = documents ** (1 - band[1]), documents ** (1 - band[0])
-    return (counts >= least) & (counts <= most), documents
+    counted = docs.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    inside = counted.filter((F.col("df") >= least) & (F.col("df") <= most)).select("term").toArrow()
+    return np.sort(inside.column("term").to_numpy().view(np.uint64)), documents
+
+
+def _within(terms: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``terms`` are among the sorted ``inside``."""
+    at = np.searchsorted(inside, terms)
+    at[at == len(inside)] = 0
+    return inside[at] == terms if len(inside) else np.zeros(len(terms), bool)
 
 
 def fingerprint(words: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -77,7 +73,7 @@ def fingerprint(words: np.ndarray, inside: np.ndarray) -> np.ndarray:
     subset if its salted hash is below the rate, and a subset's number is a hash of the sorted members.
     """
     terms = _terms(words)
-    kept = terms[inside[_slots(terms)]]
+    kept = terms[_within(terms, inside)]
     kept = kept if len(kept) else terms
     if not len(kept):
         return np.zeros((DRAWS, len(RATES)), np.uint16)
@@ -120,7 +116,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
     the others only the first document of the next range, and those are looked up by range.
     """
     inside, _ = band_of_lexicon(docs, band)
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(inside))  # 2**SLOT_BITS bits
+    packed = docs.sparkSession.sparkContext.broadcast(inside)  # 8 bytes a term of the band
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -143,7 +139,7 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        bits = np.unpackbits(packed.value).astype(bool)
+        lexicon = packed.value
         last, out = None, []
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -151,11 +147,11 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
                 words, rows = word_hashes(data, bounds)
                 texts = batch.column("text").slice(first, end - first).to_pylist()
                 for k, text in enumerate(texts):
-                    own = fingerprint(words[rows[k] : rows[k + 1]], bits)
+                    own = fingerprint(words[rows[k] : rows[k + 1]], lexicon)
                     if last is None:
                         out.append({"role": "first", "text": text, "fingerprint": own.tobytes()})
                     else:
-                        out.append(closed(bits, *last, text, own) | {"role": "done"})
+                        out.append(closed(lexicon, *last, text, own) | {"role": "done"})
                     last = (ids[first + k], text, own)
                 yield _rows(out, part, shape_of)
                 out = []
@@ -163,12 +159,12 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
             yield _rows([{"role": "last", "doc_id": last[0], "text": last[1], "fingerprint": last[2].tobytes()}], part, shape_of)
 
     def link(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.value).astype(bool)
+        lexicon = packed.value
         for batch in pairs:
             out = []
             for r in batch.to_pylist():
                 own, following = (np.frombuffer(r[c], np.uint16).reshape(DRAWS, -1) for c in ("fingerprint", "next_fingerprint"))
-                out.append(closed(bits, r["doc_id"], r["text"], own, r["next_text"], following) | {"role": "done"})
+                out.append(closed(lexicon, r["doc_id"], r["text"], own, r["next_text"], following) | {"role": "done"})
             yield _rows(out, 0, shape_of)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from brute import sha
 
-from panelflow.llm.fingerprints import edited, fingerprint_documents, likeness
+from panelflow.llm.fingerprints import band_of_lexicon, edited, fingerprint, fingerprint_documents, likeness
 from panelflow.llm.queries import QUERIES
+from panelflow.llm.texts import word_hashes
 
 
 def check(rows, got):
@@ -39,3 +42,24 @@ def test_awkward_rows(awkward, nothing, spark):
     assert fingerprint_documents(nothing).collect() == []
     one = fingerprint_documents(spark.createDataFrame([(5, "just one text of some words")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == sha(edited("just one text of some words", "just one text of some words"))
+
+
+def test_band_and_fingerprints_with_many_more_terms_than_slots(spark):
+    """1.6 million terms of one document each are out of the band, however many there are; 2**20 slots would let them in."""
+    n, own = 400, 4_000
+    texts = [" ".join([f"mid{i % 20}a", f"mid{i % 25}b", "every", *(f"rare{i}x{k}" for k in range(own))]) for i in range(n)]
+    texts[7] = texts[7].replace("rare7x0 ", "typo7 ")
+    rows = list(enumerate(texts)) + [(n, "mid7a mid7b every unlike words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = lambda text: [*word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))][0]
+    df = Counter(w for _, text in rows for w in set(text.split()))
+    low, high = len(rows) ** 0.15, len(rows) ** 0.88
+    want = sorted({w for w, c in df.items() if low <= c <= high})
+    inside, documents = band_of_lexicon(docs)
+    assert documents == len(rows) and inside.tolist() == sorted(int(hashes(w)[0]) for w in want)
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint_documents(docs).collect()}
+    for i, text in [rows[7], rows[8], rows[107], rows[n]]:
+        kept = " ".join(sorted(set(text.split()) & set(want)))
+        alone = fingerprint(hashes(kept), np.sort(hashes(kept)))
+        assert got[i] == alone.tobytes().hex()
+    assert got[7] == got[107] == got[n] and got[7] != got[8]
