@@ -15,11 +15,13 @@
    drops pairs of nodes whose largest possible overlap is too small, and those that are already
    of one component.  What is left is decided on the sets themselves.
    A cluster above the bound of a block is dealt over several; then the sets outside its largest
-   component visit every block, so that any two sets not yet in one component meet.
+   component visit every block, so that any two sets not yet in one component meet.  They come in
+   chunks of like sizes, bounded as blocks are: a task holds one block's sets of such sizes and one chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -388,8 +390,19 @@ def _joined(sets: DataFrame, stars: DataFrame, clusters: DataFrame, percent: int
     labelled = written(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     biggest = labelled.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
     marked = labelled.join(biggest, "cluster")
-    visits = marked.filter("label <> main").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("at <> part").withColumn("part", F.col("at"))
-    of = lambda frame, guest: frame.select(*columns, F.lit(guest).alias("guest"))
-    second = of(marked, False).union(of(visits, True))
-    met = second.groupBy(*block).applyInPandas(_join_block(percent), shape)
+    rank = F.floor(F.log("n") / math.log(100.000001 / percent)).cast("long")  # linked sets are at most one rank apart
+    guests = marked.filter("label <> main").withColumn("rank", rank)
+    chunks = written(guests.groupBy("cluster", "rank").agg(F.ceil(F.sum("n") / block_tokens).alias("chunks")))
+    group = [*block, "rank", "chunk"]
+    elsewhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    visits = (
+        guests.join(chunks, ["cluster", "rank"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), "chunks"))
+        .withColumn("at", elsewhere).filter("at <> part").withColumn("part", F.col("at"))
+    )
+    hosts = (
+        marked.withColumn("rank", F.explode(F.array(rank - 1, rank, rank + 1))).join(chunks, ["cluster", "rank"])
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    )
+    of = lambda frame, guest: frame.select(*group, "node", "label", "tokens", F.lit(guest).alias("guest"))
+    met = of(hosts, False).union(of(visits, True)).groupBy(*group).applyInPandas(_join_block(percent), shape)
     return written(links.union(met).union(labelled.filter("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b"))))

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import os
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
 from brute import components as plain_components, shingles
 from pyspark.sql import functions as F
 
+from panelflow.llm import jaccard
 from panelflow.llm.components import components
 from panelflow.llm.jaccard import Tree, jaccard_components
 from panelflow.llm.queries import QUERIES
@@ -90,3 +93,27 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_counts_as_spark_sees_them(documents):
     got = jaccard_components(documents.select("doc_id", "text", F.lit(1).alias("component_id"), F.lit(2).alias("n")))
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_many_unlinked_sets_come_in_chunks(spark, monkeypatch, tmp_path):
+    """A cluster of templated texts without links: all visit all blocks, but no task holds more than a block and a chunk."""
+    rng, original, folder = random.Random(6), jaccard._join_block, str(tmp_path)
+
+    def measured(percent):
+        join = original(percent)
+
+        def run(rows):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(sum(len(t) // 8 for t in rows["tokens"])))
+            return join(rows)
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_join_block", measured)
+    template = [" ".join(f"p{p}w{k}" for k in range(40)) for p in range(14)]
+    rows = [(i, " ".join(template[p] for p in rng.sample(range(14), 5))) for i in range(70)]
+    rows += [(1_000 + i, f"{text} tail") for i, text in rows[:5]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, jaccard_components(frame, block_tokens=1_000).collect())
+    sizes = [int(open(f"{folder}/{name}").read()) for name in os.listdir(folder)]
+    assert len(sizes) > 20 and max(sizes) <= 6_000
