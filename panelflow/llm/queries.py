@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelflow.llm.bpe import encode_decode
 from panelflow.llm.exact_dedup import exact_dedup
+from panelflow.llm.filter_audit import failure_masks, interaction_audit
 from panelflow.llm.fingerprints import fingerprint_documents
 from panelflow.llm.jaccard import jaccard_components
 from panelflow.llm.packing import pack
 from panelflow.llm.preferences import END, OPEN, final_turn_pairs, format_preferences
+from panelflow.llm.repair import conversation_audit, damage, repair_turns
 from panelflow.llm.sharding import SHARDS, SLOTS, place
 from panelflow.llm.suffix_dedup import remove_repeats
 from panelflow.llm.toxicity import score_toxicity
@@ -201,3 +203,93 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query(
+    r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b,
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+      FROM f LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT p.x || q.x || r.x || s.x || u.x AS o FROM letters p, letters q, letters r, letters s, letters u
+           WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+hits AS (SELECT *, list_position(list_transform(string_split(o, ''), lambda l: fails[ascii(l) - 64]), true) AS hit FROM m, orders),
+cells AS (SELECT *, ascii(substr(o, step::INT, 1)) - 64 AS k FROM hits, range(1, 6) s(step)),
+sums AS (SELECT part, o, step::INT AS step, any_value(k) AS k,
+                sum(CASE WHEN hit IS NULL OR hit > step THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN hit = step THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN fails[k] AND hit < step THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN fails[k] AND len(list_filter(fails, lambda v: v)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN hit = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN hit = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+         FROM cells GROUP BY part, o, step)
+SELECT part, o AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM sums
+"""
+)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return interaction_audit(failure_masks(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
+_LEGAL = {"v0": (("u", "v2"), ("s", "v1")), "v1": (("u", "v2"),), "v2": (("a", "v3"),), "v3": (("u", "v2"),)}
+
+
+def _sql_edit(cost: str, letter: str, line: str, then: str) -> str:
+    return f"{{'c': {cost} + {then}.c, 'a': '{letter}' || {then}.a, 'r': {line} || {then}.r}}"
+
+
+def _sql_turn(state: str) -> str:
+    """The cheapest, then ASCII-least, way from a state on, without insertions before the turn."""
+    role, forced = ("assistant", "v3") if state == "v2" else ("user", "v2")
+    ways = [_sql_edit("3", "D", "''", state), _sql_edit("CASE WHEN must THEN 1000000000 ELSE 2 + cut END", "R", f"'{role}:' || text || chr(10)", forced)]
+    for initial, to in _LEGAL[state]:
+        ways.append(_sql_edit(f"CASE WHEN NOT must AND initial = '{initial}' THEN cut ELSE 1000000000 END", "K", "role || ':' || text || chr(10)", to))
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _sql_inserted(role: str, then: str) -> str:
+    return _sql_edit("2", "I", f"'{role}:' || chr(10)", then)
+
+
+@query(
+    rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+fated AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295] || list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT),
+                 lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM named, crc),
+copies AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                  CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                  unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM copies),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS k FROM seen),
+judged AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, substr(role, 1, 1) AS initial,
+                  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS unended FROM placed),
+t AS (SELECT *, blank OR again AS must, (unended AND NOT blank AND NOT again)::INT AS cut,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM judged),
+n AS (SELECT conv_id, max(k) AS n FROM t GROUP BY conv_id),
+back AS (
+  SELECT conv_id, n + 1 AS k, {{'c': 0, 'a': '', 'r': ''}} AS v0, {{'c': 4, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS v1,
+         {{'c': 2, 'a': 'I', 'r': 'assistant:' || chr(10)}} AS v2, {{'c': 0, 'a': '', 'r': ''}} AS v3 FROM n
+  UNION ALL
+  SELECT conv_id, k, list_sort([b0, {_sql_inserted('user', 'w2')}])[1], list_sort([b1, {_sql_inserted('user', 'w2')}])[1], w2, w3
+  FROM (SELECT *, list_sort([b2, {_sql_inserted('assistant', 'b3')}])[1] AS w2, list_sort([b3, {_sql_inserted('user', 'b2')}])[1] AS w3
+        FROM (SELECT t.conv_id, t.k, {_sql_turn('v0')} AS b0, {_sql_turn('v1')} AS b1, {_sql_turn('v2')} AS b2, {_sql_turn('v3')} AS b3
+              FROM back JOIN t ON t.conv_id IS NOT DISTINCT FROM back.conv_id AND t.k = back.k - 1) p) q),
+plans AS (SELECT conv_id, v0 FROM back WHERE k = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+                  count(*) FILTER (cut = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit,
+       sha256(CASE WHEN coalesce(v0.r, '') = '' THEN '' ELSE substr(v0.r, 1, length(v0.r) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+)
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_audit(repair_turns(damage(table(spark, folder, "conversations")), gone_col="gone"))
