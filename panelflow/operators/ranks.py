@@ -10,8 +10,9 @@ the table is no burden.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
@@ -300,43 +301,108 @@ def _numeric_cut(
     if rank == before:
         return (value,)
     rest, later = rank - before, list(order_by[1:])
-    tied = df.where(F.col(order_by[0]) == F.lit(value)).select(*later)
     if not later:
         raise ValueError(NOT_TOTAL.format(list(order_by), rank))
+    tied = df.where(F.col(order_by[0]) == F.lit(value)).select(*later)
     if ties <= one_task_rows:
-        return (value, *_sorted_cut(tied, later, rest))
+        names = [f"o{i}" for i in range(len(later))]
+        here = tied.select(F.lit(0).alias("range"), *[F.col(c).alias(n) for c, n in zip(later, names)])
+        return (value, *_numbered(here, names, later, {rest: (0, rest)})[rest])
     return (value, *_cuts(tied, later, [rest], None, one_task_rows)[0])
 
 
-def _sorted_cut(df: DataFrame, order_by: Sequence[str], rank: int) -> tuple[Any, ...]:
-    """Order key of the row at a rank among rows that fit one task."""
-    here = df.select(*order_by).orderBy(*order_by).offset(max(rank - 1, 0)).limit(2 if rank else 1).collect()
-    if rank and here[0] == here[1]:
-        raise ValueError(NOT_TOTAL.format(list(order_by), rank))
-    return tuple(here[-1])
+def _numbered(dealt: DataFrame, names: list[str], order_by: Sequence[str], wanted: Mapping[int, tuple[int, int]]) -> dict[int, tuple[Any, ...]]:
+    """Order keys by wanted rank; ``wanted`` says in which range of ``dealt`` and at which place there.
+
+    Only ranges that hold a wanted row are numbered, each by one task; a row per rank reaches the driver.
+    """
+    ranges = sorted({r for r, _ in wanted.values()})
+    places = Window.partitionBy("range").orderBy(*names)
+    key = F.struct(*names)
+    here = dealt.where(F.col("range").isin(ranges)).select(
+        "range", *names, (F.row_number().over(places) - 1).alias("place"), (F.lag(key).over(places) == key).alias("tied")
+    )
+    hit = reduce(lambda a, b: a | b, [(F.col("range") == r) & (F.col("place") == p) for r, p in sorted(set(wanted.values()))])
+    rows = {(row["range"], row["place"]): row for row in here.where(hit).collect()}
+    for rank, spot in wanted.items():
+        if rows[spot]["tied"]:
+            raise ValueError(NOT_TOTAL.format(list(order_by), rank))
+    return {rank: tuple(rows[spot][n] for n in names) for rank, spot in wanted.items()}
 
 
-def _range_cuts(df: DataFrame, order_by: Sequence[str], ranks: Sequence[int]) -> list[tuple[Any, ...]]:
+def _range_cuts(df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], one_task_rows: int) -> list[tuple[Any, ...]]:
     """Order keys of the rows at some ranks, for columns of any type.
 
     The keys are dealt by ranges of the whole order, so a value that fills a third of the table is
-    split by the columns after it.  Rows per range are counted, and only ranges that hold a wanted
-    row are sorted.
+    split by the columns after it, and rows per range are counted.  A range that holds a wanted row and
+    more rows than one task should number is dealt again, on its own, until it is small enough; what
+    reaches the driver are one count per range and one key per rank.
     """
     names = [f"o{i}" for i in range(len(order_by))]
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(*[F.col(c).alias(n) for c, n in zip(order_by, names)]).repartitionByRange(ranges, *names)
-    dealt = written(keys.withColumn("range", F.spark_partition_id()))
-    sizes = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
-    cuts = []
-    for rank in ranks:
-        before = 0
-        for part in sorted(sizes):
-            if rank < before + sizes[part]:
-                break
-            before += sizes[part]
-        cuts.append(_sorted_cut(dealt.where(F.col("range") == part), names, rank - before))
-    return cuts
+    keys = df.select(*[F.col(c).alias(n) for c, n in zip(order_by, names)])
+    found: dict[int, tuple[Any, ...]] = {}
+    # (rows to deal, wanted ranks and their places among these rows)
+    todo: list[tuple[DataFrame, dict[int, int]]] = [(keys, {rank: rank for rank in ranks})]
+    while todo:
+        rows, wanted = todo.pop()
+        dealt, sizes = _dealt(rows, names)
+        near: dict[int, tuple[int, int]] = {}
+        deeper: dict[int, dict[int, int]] = {}
+        for rank, place in wanted.items():
+            part, offset = _range_of(sizes, place)
+            if sizes[part] <= one_task_rows:
+                near[rank] = part, offset
+            else:
+                deeper.setdefault(part, {})[rank] = offset
+        if near:
+            found |= _numbered(dealt, names, order_by, near)
+        for part, inside in deeper.items():
+            rest = dealt.where(F.col("range") == part).select(*names)
+            if sizes[part] == sum(sizes.values()):  # few different keys, maybe one: take the ends off
+                more, inside = _peeled(rest, names, order_by, sizes[part], inside)
+                found |= more
+                if not inside[1]:
+                    continue
+                rest, inside = inside
+            todo.append((rest, inside))
+    return [found[rank] for rank in ranks]
+
+
+def _peeled(
+    rows: DataFrame, names: list[str], order_by: Sequence[str], count: int, wanted: Mapping[int, int]
+) -> tuple[dict[int, tuple[Any, ...]], tuple[DataFrame, dict[int, int]]]:
+    """Keys of the wanted ranks that lie on the smallest or largest key; the rows between and the places wanted there."""
+    key = F.struct(*names)
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    at = lambda row: reduce(lambda a, b: a & b, [F.col(n) == F.lit(row[n]).cast(rows.schema[n].dataType) for n in names])
+    low, high = at(ends["low"]), at(ends["high"])
+    seen = rows.agg(F.count_if(low).alias("low"), F.count_if(high).alias("high")).first()
+    first_high = max(count - seen["high"], 0)
+    found, between = {}, {}
+    for rank, place in wanted.items():
+        if place < seen["low"] or place >= first_high:
+            if place not in (0, first_high):
+                raise ValueError(NOT_TOTAL.format(list(order_by), rank))
+            found[rank] = tuple(ends["low" if place < seen["low"] else "high"])
+        else:
+            between[rank] = place - seen["low"]
+    return found, (rows.where(~low & ~high), between)
+
+
+def _dealt(rows: DataFrame, names: list[str]) -> tuple[DataFrame, dict[int, int]]:
+    """Rows with the number of their range of the order, and the rows of each range."""
+    ranges = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(rows.repartitionByRange(ranges, *names).withColumn("range", F.spark_partition_id()))
+    return dealt, {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
+
+
+def _range_of(sizes: Mapping[int, int], place: int) -> tuple[int, int]:
+    """The range that holds the row at a place, and its place there."""
+    for part in sorted(sizes):
+        if place < sizes[part]:
+            return part, place
+        place -= sizes[part]
+    raise IndexError(place)
 
 
 def _is_number(df: DataFrame, column: str) -> bool:
@@ -348,7 +414,7 @@ def _cuts(
     df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], look: Look | None, one_task_rows: int
 ) -> list[tuple[Any, ...]]:
     if not _is_number(df, order_by[0]):
-        return _range_cuts(df, order_by, ranks)
+        return _range_cuts(df, order_by, ranks, one_task_rows)
     series = _ordered(df, order_by[0])
     spots = [Spot.at(rank) for rank in ranks]
     [found] = select_ranks(series, look or first_look(series, ["k"]), spots, ["k"], one_task_rows).collect()

@@ -183,3 +183,48 @@ def test_box_whiskers_stop_at_points_and_never_inside_the_box(spark, percentile_
     q1, q3 = np.quantile([1, 2, 3, 4, 5, 100, -60], [0.25, 0.75])
     assert (a["q1"], a["q3"], a["whisker_lo"], a["whisker_hi"], a["outliers"]) == (q1, q3, 1.0, 5.0, 2)
     assert (got["b"]["whisker_lo"], got["b"]["whisker_hi"], got["b"]["outliers"]) == (7.0, 7.0, 0)
+
+
+def sent_rows(spark, work):
+    """What the jobs of ``work`` collect through DataFrames, in rows."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, own = [], DataFrame.collect
+
+    def collect(self):
+        rows = own(self)
+        seen.append(len(rows))
+        return rows
+
+    DataFrame.collect = collect
+    try:
+        work()
+    finally:
+        DataFrame.collect = own
+    return seen
+
+
+def test_a_large_range_is_dealt_again(spark, plan, monkeypatch):
+    rows = spark.range(100_000).select(F.lit("hot").alias("a"), F.sha2(F.col("id").cast("string"), 256).alias("b"))
+    names = sorted(r["b"] for r in rows.collect())
+    shown = []
+    own = ranks._numbered
+
+    def numbered(dealt, *rest):
+        shown.append(dealt)
+        return own(dealt, *rest)
+
+    monkeypatch.setattr(ranks, "_numbered", numbered)
+    cuts = []
+    seen = sent_rows(spark, lambda: cuts.extend(ranks.fold_cuts(rows, ["a", "b"], 5, one_task_rows=1_000)))
+    assert cuts == [("hot", names[k]) for k in (20_000, 40_000, 60_000, 80_000)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(seen) <= parts and len(shown) >= 4
+    assert all("TakeOrderedAndProject" not in plan(d) for d in shown)
+
+
+def test_few_different_keys_are_peeled(spark):
+    rows = spark.range(4_000).select(F.when(F.col("id") < 3_990, "m").otherwise(F.concat(F.lit("z"), F.col("id").cast("string"))).alias("k"))
+    with pytest.raises(ValueError, match="not total"):
+        ranks.fold_cuts(rows, ["k"], 2, one_task_rows=10)
+    assert ranks._range_cuts(rows, ["k"], [0, 3_990, 3_991], 10) == [("m",), ("z3990",), ("z3991",)]
