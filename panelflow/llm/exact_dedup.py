@@ -2,9 +2,9 @@
 
 1. Each text gets a SHA-256 of its bytes without ASCII white space; its first 64 bits are the
    fingerprint.  Rows are cut into runs of at most ``RUN`` rows.
-2. A run sorts its fingerprints and sends each owner (a range of fingerprints) one Golomb-coded
-   piece; the owner answers with one bit per fingerprint: does it occur more than once at all?
-3. Only rows with that bit are suspects.  Their texts are shuffled and grouped by the bytes
+2. A run sorts its distinct fingerprints and sends each owner (a range of fingerprints) one Golomb-coded
+   piece; the owner answers with one bit per fingerprint: does another run have it?
+3. Only rows with that bit, or with a fingerprint that their own run repeats, are suspects.  Their texts are shuffled and grouped by the bytes
    themselves, so a hot text is folded in the map tasks and equality is decided by bytes.
 """
 
@@ -14,7 +14,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,36 +56,46 @@ def _range(owner: int, owners: int) -> tuple[int, int]:
     return first, ((-((-(owner + 1) << 32) // owners)) << 32) - first
 
 
+_PIECES = pa.schema([("run", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("unary", pa.binary()), ("rest", pa.binary())])
+_ANSWERS = pa.schema([("run", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
+
+
+def _marks(rows: pa.Table) -> np.ndarray:
+    return rows.column("mark").to_numpy().astype(np.int64).view(np.uint64)
+
+
 def duplicated(thin: DataFrame, owners: int) -> DataFrame:
     """Rows of ``thin`` (run, mark, ...) whose mark occurs more than once, by the exchange."""
 
-    def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        marks = np.sort(rows["mark"].to_numpy(np.int64).view(np.uint64))
+    def send(key: tuple, rows: pa.Table) -> pa.Table:
+        marks = np.unique(_marks(rows))
         cuts = np.searchsorted(_owner(marks, owners), np.arange(owners + 1, dtype=np.uint64))
         out = []
-        for owner in np.flatnonzero(np.diff(cuts)):
+        for owner in np.flatnonzero(np.diff(cuts)).tolist():
             piece = marks[cuts[owner] : cuts[owner + 1]]
-            out.append((key[0], int(owner), len(piece), *golomb.encode(piece, *_range(int(owner), owners))))
-        return pd.DataFrame(out, columns=["run", "owner", "n", "k", "unary", "rest"])
+            k, unary, rest = golomb.encode(piece, *_range(owner, owners))
+            out.append({"run": key[0].as_py(), "owner": owner, "n": len(piece), "k": k, "unary": unary, "rest": rest})
+        return pa.Table.from_pylist(out, schema=_PIECES)
 
-    def answer(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        start = _range(int(key[0]), owners)[0]
-        marks = [golomb.decode(p.n, start, p.k, p.unary, p.rest) for p in pieces.itertuples()]
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        start, pieces = _range(key[0].as_py(), owners)[0], table.to_pylist()
+        marks = [golomb.decode(p["n"], start, p["k"], p["unary"], p["rest"]) for p in pieces]
         values, counts = np.unique(np.concatenate(marks), return_counts=True)
         repeated = values[counts > 1]
         bits = [np.packbits(np.isin(m, repeated)).tobytes() for m in marks]
-        return pd.DataFrame({"run": pieces["run"], "owner": pieces["owner"], "n": pieces["n"], "bits": bits})
+        return pa.Table.from_pylist([{"run": p["run"], "owner": p["owner"], "n": p["n"], "bits": b} for p, b in zip(pieces, bits)], schema=_ANSWERS)
 
-    def receive(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(rows["mark"].to_numpy(np.int64).view(np.uint64), kind="stable")
-        bits = [np.unpackbits(np.frombuffer(a.bits, np.uint8), count=a.n) for a in answers.sort_values("owner").itertuples()]
-        return rows.iloc[order[np.concatenate(bits).astype(bool)]][["doc_id", "sha"]]
+    def receive(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        _, back, counts = np.unique(_marks(rows), return_inverse=True, return_counts=True)
+        bits = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in sorted(answers.to_pylist(), key=lambda a: a["owner"])]
+        elsewhere = np.concatenate([*bits, np.zeros(0, np.uint8)]).astype(bool)
+        return rows.select(["doc_id", "sha"]).filter(pa.array((elsewhere | (counts > 1))[back]))
 
     marks = thin.select("run", "mark")
-    pieces = marks.groupBy("run").applyInPandas(send, "run long, owner int, n int, k int, unary binary, rest binary")
-    answers = pieces.groupBy("owner").applyInPandas(answer, "run long, owner int, n int, bits binary")
+    pieces = marks.groupBy("run").applyInArrow(send, "run long, owner int, n int, k int, unary binary, rest binary")
+    answers = pieces.groupBy("owner").applyInArrow(answer, "run long, owner int, n int, bits binary")
     kind = thin.schema["doc_id"].dataType.simpleString()
-    return thin.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(receive, f"doc_id {kind}, sha binary")
+    return thin.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(receive, f"doc_id {kind}, sha binary")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_rows: int = OWNER_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelflow.operators.sized import written
@@ -81,21 +81,28 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: Se
     groups = max(1, -(-pieces.count() // group_pieces))
     permitted = tuple(capacities)
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        sizes = rows["n_tokens"].tolist()
-        bins, final = best_fit(sizes, permitted)
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("n_pieces", "ascending")])
+        sizes = rows.column("n_tokens").to_numpy()
+        bins, final = best_fit(sizes.tolist(), permitted)
         bins = np.asarray(bins, np.int64)
-        rows = rows.assign(
-            bin_id=[f"{key[0]}-{b}" for b in bins],
-            capacity=np.asarray(final, np.int64)[bins],
-            filled=rows["n_tokens"].groupby(bins).transform("sum"),
-            position=rows["n_tokens"].groupby(bins).cumsum() - rows["n_tokens"],
-        )
-        return rows[["bin_id", "capacity", "filled", "doc_id", "piece", "n_pieces", "position", "n_tokens"]]
+        by = np.argsort(bins, kind="stable")
+        heads = np.flatnonzero(np.diff(bins[by], prepend=-1))
+        before = np.cumsum(sizes[by]) - sizes[by]
+        position = np.empty_like(sizes)
+        position[by] = before - np.repeat(before[heads], np.diff(heads, append=len(by)))
+        columns = {
+            "bin_id": pa.array([f"{key[0].as_py()}-{b}" for b in bins]),
+            "capacity": pa.array(np.asarray(final, np.int64)[bins]),
+            "filled": pa.array(np.add.reduceat(sizes[by], heads)[bins]),
+            **{c: rows.column(c) for c in ("doc_id", "piece", "n_pieces")},
+            "position": pa.array(position),
+            "n_tokens": rows.column("n_tokens"),
+        }
+        return pa.table(columns)
 
     dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
-    return dealt.groupBy("deal").applyInPandas(
+    return dealt.groupBy("deal").applyInArrow(
         fill,
         f"bin_id string, capacity long, filled long, doc_id {kind}, piece long, n_pieces long, position long, n_tokens long",
     )

@@ -11,6 +11,7 @@ from panelflow.llm.exact_dedup import exact_dedup
 from panelflow.llm.filter_audit import failure_masks, interaction_audit
 from panelflow.llm.fingerprints import fingerprint_documents
 from panelflow.llm.jaccard import jaccard_components
+from panelflow.llm.lm_scoring import score_texts
 from panelflow.llm.packing import pack
 from panelflow.llm.preferences import END, OPEN, final_turn_pairs, format_preferences
 from panelflow.llm.repair import conversation_audit, damage, repair_turns
@@ -293,3 +294,11 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv
 )
 def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_audit(repair_turns(damage(table(spark, folder, "conversations")), gone_col="gone"))
+
+
+@query()
+def op12_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_texts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), held_out)

@@ -6,6 +6,7 @@ times its bytes, so texts are worked on in blocks of about one MiB.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -69,13 +70,48 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         first = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, letters: bool = False, prefix: int = 0) -> tuple[np.ndarray, ...]:
+_LONG = 512  # bytes; longer runs are hashed one by one
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes: blocks of eight are mixed in one after the other, the length first."""
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+    short = sizes <= _LONG
+    rows = None if short.all() else np.flatnonzero(short)
+    done = 0
+    while True:
+        left = (sizes if rows is None else sizes[rows]) - done
+        if not (go := left > 0).any():
+            break
+        if not go.all():
+            rows, left = (np.flatnonzero(go) if rows is None else rows[go]), left[go]
+        block = at[(starts if rows is None else starts[rows]) + done]
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.maximum(0, 8 - left).astype(np.uint64))
+        block = mix(block + np.uint64(0xD6E8FEB86659FD93))
+        if rows is None:
+            out = mix(out ^ block)
+        else:
+            out[rows] = mix(out[rows] ^ block)
+        done += 8
+    for k in np.flatnonzero(~short).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, letters: bool = False, prefix: int = 0, places: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of several texts, A-Z lower-cased, and each text's bounds among them.
 
     A word is a run of bytes without ASCII white space, with ``letters`` one without any other
     ASCII sign than letters and digits.  With ``prefix``, third are hashes of the words' first bytes.
+    With ``places``, third to fifth are where words begin and end, and the lower-cased bytes.
     """
     n = len(data)
+    if n == 0 and places:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), np.zeros(len(bounds), np.int64), none, none, data
     if n == 0:
         return (np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), *[np.zeros(0, np.uint64)] * bool(prefix))
     inside = ~(_IS_MARK if letters else _IS_BLANK)[data]
@@ -89,12 +125,12 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, letters: bool = False, pre
     after[:-1] = inside[1:]
     after[bounds[1:][bounds[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(_BASE, _room(n)), _powers(pow(_BASE, -1, 1 << 64), _room(n))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[_LOWER[data]] * up[:n], out=sums[1:])
-    of = lambda e: mix((sums[e] - sums[starts]) * down[starts] + (e - starts).astype(np.uint64))
+    lower = _LOWER[data]
     rows = np.searchsorted(starts, bounds)
-    return (of(ends), rows, of(np.minimum(ends, starts + prefix))) if prefix else (of(ends), rows)
+    whole = run_hashes(lower, starts, ends)
+    if places:
+        return whole, rows, starts, ends, lower
+    return (whole, rows, run_hashes(lower, starts, np.minimum(ends, starts + prefix))) if prefix else (whole, rows)
 
 
 _ODD = mix(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)

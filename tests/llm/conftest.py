@@ -31,6 +31,9 @@ TEXTS = [
     (18, "aéééééééééééééééééééééééééééééééééééééééééééééééééééa"),
     (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi omikron"),
     (None, None),
+    (2**53 + 1, "ids beyond the whole numbers that doubles tell apart"),
+    (2**53 + 3, "ids beyond the whole numbers that doubles  tell apart"),
+    (2**53 + 5, "another text of such an id"),
 ]
 
 
