@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelflow.functions.filenames import base_name, is_main_file, level_of_folder, parent_folder, year_in
@@ -9,7 +11,8 @@ from panelflow.functions.text import to_number
 from panelflow.operators.cleaning import cleaning_audit, nullify
 from panelflow.operators.columns import by_alias, coerce, conform
 from panelflow.operators.reshape import code_of, detail_to_wide, keep_last, merge_details, stack_tables, widen
-from panelflow.plans.scores import PLACE, Consolidated
+from panelflow.operators.sized import written
+from panelflow.plans.scores import PLACE, Consolidated, placed_nowhere
 from panelflow.presets import (
     DETAIL_PAIRS,
     INDICATOR_ALIASES,
@@ -65,21 +68,35 @@ def add_details(indicators: DataFrame, details: DataFrame) -> DataFrame:
     return merge_details(indicators, wide, PANEL_KEYS)
 
 
-def consolidate_indicators(spark: SparkSession, folder: str, encoding: str | None = None) -> Consolidated:
-    """Indicator table of the main files in the level folders, one row per key, last file wins."""
+def indicator_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The main files in the level folders."""
     root = "/" + bare_path(folder).strip("/")
     grandparent = F.regexp_replace("path", r"/[^/]+/[^/]+$", "")
-    files = list_files(spark, folder).where(grandparent.endswith(root))
-    paths = paths_where(files, is_main_file("name"))
+    return list_files(spark, folder).where(grandparent.endswith(root) & is_main_file("name"))
+
+
+def read_indicators(spark: SparkSession, paths: Sequence[str], encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All wide rows of some indicator files with their places, and the quarantine table."""
     reading = read_delimited(spark, paths, by_alias(INDICATOR_ALIASES), encoding)
     if not reading.frames:
-        empty = stack_tables([], spark, INDICATOR_SCHEMA)
-        audit = cleaning_audit(empty, [("one row per key", F.lit(True))])
-        return Consolidated(empty, audit, reading.quarantine if paths else spark.createDataFrame([], QUARANTINE))
-    stacked = stack_tables([_wide(f) for f in reading.frames])
-    table = keep_last(stacked, PANEL_KEYS, PLACE).select(*INDICATOR_SCHEMA.names)
+        return placed_nowhere(spark, INDICATOR_SCHEMA), reading.quarantine if paths else spark.createDataFrame([], QUARANTINE)
+    return stack_tables([_wide(f) for f in reading.frames]), reading.quarantine
+
+
+def finish_indicators(stacked: DataFrame) -> DataFrame:
+    """One row per key, the last file wins."""
+    return keep_last(stacked, PANEL_KEYS, PLACE).select(*INDICATOR_SCHEMA.names)
+
+
+def consolidate_indicators(spark: SparkSession, folder: str, encoding: str | None = None) -> Consolidated:
+    """Indicator table of the main files in the level folders, one row per key, last file wins.
+
+    The table is written once; its audit reads it there.
+    """
+    stacked, quarantine = read_indicators(spark, paths_where(indicator_files(spark, folder), F.lit(True)), encoding)
+    table = written(finish_indicators(stacked))
     filled = F.lit(True)
     for measure in INDICATORS:
         filled = filled & F.col(measure).isNotNull()
     audit = cleaning_audit(table, [("all indicators present", filled)])
-    return Consolidated(table, audit, reading.quarantine)
+    return Consolidated(table, audit, quarantine)

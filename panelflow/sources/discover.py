@@ -22,6 +22,17 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return paths.select("path", base_name("path").alias("name"), parent_folder("path").alias("folder"))
 
 
+def file_states(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, modified) of every file below a folder, by tasks; no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select(F.col("path"), F.col("length"), F.col("modificationTime").alias("modified"))
+
+
+def bare(path: Column | str) -> Column:
+    """``bare_path`` of a column."""
+    return F.regexp_replace(path, r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "")
+
+
 def bare_path(path: str) -> str:
     """A path without scheme and host: listings and metadata spell those differently."""
     return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path)

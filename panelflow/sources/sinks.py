@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from panelflow.presets import PANEL_KEYS
+
 
 BOM = "\ufeff"
 
@@ -30,6 +32,16 @@ def write_panel(df: DataFrame, path: str, by: Sequence[str] = ("agno", "curso"),
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str] = PANEL_KEYS, buckets: int = 64, mode: str = "overwrite") -> None:
+    """A table of the session's catalog, dealt and sorted by the panel key once and for all.
+
+    Tables with the same keys and number of buckets are joined, audited and brought to one row per key without a
+    shuffle.  Rows are brought together by bucket before they are written, so a bucket is one file.
+    """
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
 def write_listings(blocks: DataFrame, path: str, doc: str, mode: str = "overwrite") -> None:
     """Text: the files in name order hold the listings, document after document, page after page.
 
