@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelflow.llm.texts import blocks, mix, word_hashes
+from panelflow.llm.texts import blocks, mix, squeezed, stretched, word_hashes
 from panelflow.operators.sized import written
 
 RUN_TERMS = 2_000_000  # terms of blocks counted together
@@ -111,14 +111,15 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next larger id; after the last comes the first, and a
-    single document follows itself.  Repeated ids are ordered by a hash of their text and then the
-    text, null ids come first; null texts count as empty.  Documents are dealt by ranges of id, so a task needs of
+    single document follows itself.  Repeated ids are ordered by a hash of their text and then its
+    packed bytes, null ids come first; null texts count as empty.  Documents are dealt by ranges of id, so a task needs of
     the others only the first document of the next range, and those are looked up by range.
     """
     inside, _ = band_of_lexicon(docs, band)
     packed = docs.sparkSession.sparkContext.broadcast(inside)  # 8 bytes a term of the band
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
+    plain = plain.mapInArrow(_squeeze, f"doc_id {kind}, tie long, text binary")  # half of what the shuffle's own codec leaves
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = plain.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     shape = (
@@ -142,10 +143,10 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
         lexicon = packed.value
         last, out = None, []
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for first, end, data, bounds in blocks(batch.column("text")):
+            ids, column = batch.column("doc_id").to_pylist(), stretched(batch.column("text"))
+            for first, end, data, bounds in blocks(column):
                 words, rows = word_hashes(data, bounds)
-                texts = batch.column("text").slice(first, end - first).to_pylist()
+                texts = column.slice(first, end - first).to_pylist()
                 for k, text in enumerate(texts):
                     own = fingerprint(words[rows[k] : rows[k + 1]], lexicon)
                     if last is None:
@@ -189,6 +190,11 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
     )
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), squeezed(batch.column("text"))], names=["doc_id", "tie", "text"])
+
+
 def _prints(inside: np.ndarray, texts: list[str]) -> list[np.ndarray]:
     out = []
     for _, _, data, bounds in blocks(pa.array(texts, pa.string())):

@@ -312,6 +312,7 @@ def jaccard_components(
     keys = sets.select("node", "tokens").mapInArrow(_keys(percent, rarity), "token long, node binary")
     pivots = keys.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1").select("token", "b")
     stars = written(keys.select("token", F.col("node").alias("a")).join(pivots, "token").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("c")))
+    rarity.destroy()
     clusters = written(components(stars.select("a", "b")))
     links = _joined(sets, stars, clusters, percent, block_tokens, spark)
     labels = components(links)

@@ -74,7 +74,9 @@ def final_turn_pairs(conversations: DataFrame) -> DataFrame:
 
     Chosen is the even conversation.  Rejected is the same one with its last turn put in place by
     the last turn of the odd one.  A missing even conversation leaves an empty chosen side, a missing odd
-    one leaves the rejected side without an ending.
+    one leaves the rejected side without an ending.  Turns are ordered by (turn, role, text); repeated ones all
+    count.  Rows without a conv_id belong to no conversation that could be paired, and are in no pair.  Other columns play no
+    part; texts may be of any length, as long as a pair fits one row.  Without rows there are no pairs.
     """
     base = conversations.select(
         F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("even"), "turn", "role", "text"

@@ -147,3 +147,17 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         total += words[k : k + n] * _ODD[k]
     return np.unique(mix(total + np.uint64(size)))
+
+
+def squeezed(column: pa.Array) -> pa.Array:
+    """The texts' UTF-8 bytes, each as its size and a zstd frame; null counts as empty."""
+    codec = pa.Codec("zstd", 3)
+    raw = column.cast(pa.large_binary()).fill_null(b"").to_pylist()
+    return pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw], pa.binary())
+
+
+def stretched(column: pa.Array) -> pa.Array:
+    """The texts again."""
+    codec = pa.Codec("zstd", 3)
+    raw = [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) if int.from_bytes(x[:8], "little") else b"" for x in column.to_pylist()]
+    return pa.array(raw, pa.large_binary()).cast(pa.large_string())

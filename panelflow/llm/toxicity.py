@@ -28,6 +28,7 @@ NEIGHBOURS = 15
 BLOCK_ROWS = 128
 DENSE = 2_048  # terms of the most examples, kept as columns of matrices; all others as lists of examples
 BATCH = 256  # texts searched together
+POSTINGS = 500_000  # entries of lists read together
 THRESHOLD = 0.7
 PREFIX = 5
 G_LEAST = 10.83  # likelihood ratio of one degree of freedom at p = 0.001
@@ -110,7 +111,13 @@ class Examples:
     slope: tuple[float, float] = (0.0, 0.0)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "lists"}
+        return {k: v for k, v in self.__dict__.items() if k != "lists"} | {"terms": self.row_terms(slice(None))}
+
+    def row_terms(self, part: slice) -> np.ndarray | None:
+        """The terms of the rows' entries; a prepared index holds their ranks in place of them."""
+        if self.terms is None and hasattr(self, "lists"):
+            return self.lists.order[self.lists.ranked[part]]
+        return None if self.terms is None else self.terms[part]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """A text's terms and weights at a length of 1; ``rest`` is what terms outside the index add to its square."""
@@ -123,7 +130,10 @@ class Examples:
         if not hasattr(self, "lists"):
             n, terms = len(self.ids), len(self.idf)
             counts = np.bincount(self.terms, minlength=terms)
-            often = np.sort(np.argsort(-counts, kind="stable")[:DENSE])
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(terms, np.int32)
+            rank[order] = np.arange(terms, dtype=np.int32)  # frequent terms lie together in ``room``
+            often = np.sort(order[:DENSE])
             column = np.full(terms, -1, np.int64)
             column[often] = np.arange(len(often))
             row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.bounds))
@@ -136,8 +146,9 @@ class Examples:
             heads = np.arange(0, n, BLOCK_ROWS)
             self.lists = SimpleNamespace(
                 column=column, matrix=matrix, heads=heads, most=np.maximum.reduceat(matrix, heads, axis=0).T.copy(), rows=row[rare].astype(np.int64), weights=self.weights[rare].astype(np.float32),
-                first=np.cumsum(counts) - counts, counts=counts, by_id=np.argsort(self.ids, kind="stable"), room=np.zeros(terms),
+                first=np.cumsum(counts) - counts, counts=counts, by_id=np.argsort(self.ids, kind="stable"), room=np.zeros(terms), rank=rank, order=order.astype(np.int32), ranked=rank[self.terms],
             )
+            self.terms = None
         return self.lists
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -160,19 +171,29 @@ class Examples:
         """
         x, n = self.prepared(), len(self.ids)
         cosine, dense = np.zeros((len(queries), n), np.float32), np.zeros((len(queries), x.matrix.shape[1]), np.float32)
-        share = np.ones(len(queries))
-        for q, (at, weights) in enumerate(queries):
-            column = x.column[at]
-            often = column >= 0
-            dense[q, column[often]] = weights[often]
-            share[q] -= 1.2e-7 * (often.sum() + 8)
-            rare, counts = at[~often], x.counts[at[~often]]
-            if counts.sum():
-                lists = [slice(a, b) for a, b in zip(x.first[rare].tolist(), (x.first[rare] + counts).tolist())]
-                parts = np.concatenate([x.weights[i] for i in lists]) * np.repeat(weights[~often], counts)
-                cosine[q] = np.bincount(np.concatenate([x.rows[i] for i in lists]), parts, minlength=n)
-            if skips[q] >= 0:
-                cosine[q, skips[q]] = -4
+        of = np.repeat(np.arange(len(queries)), [len(at) for at, _ in queries])
+        terms, own = (np.concatenate([q[c] for q in queries]) for c in (0, 1))
+        column = x.column[terms]
+        often = column >= 0
+        dense[of[often], column[often]] = own[often]
+        share = 1 - 1.2e-7 * (np.bincount(of[often], minlength=len(queries)) + 8)
+        of, rare, own = of[~often], terms[~often], own[~often]
+        sizes = x.counts[rare]
+        ends = np.cumsum(sizes)
+        upto = np.concatenate([[0], ends])[np.searchsorted(of, np.arange(len(queries) + 1))]  # postings of the queries before each
+        q = 0
+        while q < len(queries):
+            last = max(q + 1, int(np.searchsorted(upto, upto[q] + POSTINGS, "right")) - 1)
+            some = slice(*np.searchsorted(of, [q, last]))
+            if (count := int(upto[last] - upto[q])):
+                lists = np.arange(count) + np.repeat(x.first[rare[some]] - (ends[some] - sizes[some] - upto[q]), sizes[some])
+                rows = x.rows[lists] + np.repeat((of[some] - q) * n, sizes[some])
+                parts = x.weights[lists] * np.repeat(own[some], sizes[some])
+                cosine[q:last] = np.bincount(rows, parts, minlength=(last - q) * n).reshape(last - q, n)
+            q = last
+        for q, row in enumerate(skips):
+            if row >= 0:
+                cosine[q, row] = -4
         bound = (dense @ x.most + np.maximum.reduceat(cosine, x.heads, axis=1)) * 1.001
         best = bound.argmax(axis=1)
         todo = np.zeros(bound.shape, bool)
@@ -198,9 +219,9 @@ class Examples:
     def _exact(self, at: np.ndarray, weights: np.ndarray, k: int, cosine: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         x = self.prepared()
         some = np.flatnonzero((cosine >= least) & (cosine > 0))
-        x.room[at] = weights
-        got = np.array([x.room[self.terms[a:b]] @ self.weights[a:b] for a, b in zip(self.bounds[some], self.bounds[some + 1])], float)
-        x.room[at] = 0
+        x.room[x.rank[at]] = weights
+        got = np.array([np.dot(x.room.take(x.ranked[a:b]), self.weights[a:b]) for a, b in zip(self.bounds[some].tolist(), self.bounds[some + 1].tolist())], float)
+        x.room[x.rank[at]] = 0
         none = x.by_id[cosine[x.by_id] == 0][:k] if least <= 0 else x.by_id[:0]
         rows, sims = np.concatenate([some, none]), np.round(np.concatenate([got, np.zeros(len(none))]), 9)
         order = np.lexsort((self.ids[rows], -sims))[:k]
@@ -244,7 +265,7 @@ def _alike(matrix: np.ndarray, groups: int = 16, rounds: int = 4) -> np.ndarray:
 
 def _votes(made: Examples, rows: np.ndarray, out: np.ndarray, k: int) -> np.ndarray:
     """The votes on examples themselves, with those marked in ``out`` left out."""
-    queries = [(made.terms[a:b], made.weights[a:b]) for a, b in zip(made.bounds[rows], made.bounds[rows + 1])]
+    queries = [(made.row_terms(slice(a, b)), made.weights[a:b]) for a, b in zip(made.bounds[rows], made.bounds[rows + 1])]
     return np.array([made.vote(*x) for x in made.nearest_all(queries, k, [int(r) if o else -1 for r, o in zip(rows, out)])])
 
 
@@ -372,7 +393,8 @@ def score_toxicity(
     plain = docs.select("doc_id", "text")
     labelled = _labelled(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")))
     chosen = _sampled(labelled, per_class)
-    sample = written(plain.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))  # at most 2 * per_class ids
+    # at most 2 * per_class ids; of an id's texts the smallest in byte order is the example
+    sample = written(plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")))
     lexicon, lift = vocabulary(sample)
     made, shared, documents = None, None, 0
     if len(lexicon):
@@ -394,6 +416,7 @@ def score_toxicity(
         made = index(ids, classes, vectors, df, documents, k, share, lift, votes)
         del vectors
         made.terms = made.weights = None  # the workers have them
+        vars(made).pop("lists", None)
     if shared is None:
         shared = spark.sparkContext.broadcast((lexicon, made))
     kind = plain.schema["doc_id"].dataType.simpleString()
@@ -404,6 +427,7 @@ def score_toxicity(
         lengths = found.withColumn("rest", F.lit(0.0))
     else:
         found = written(found)
+        shared.destroy()
         pairs = found.select("row", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("row", "x.terms", "x.counts")
         df = pairs.groupBy("terms").agg(F.count("*").alias("df"))
         weight = (1 + F.log("counts")) * (F.log((1 + F.lit(documents)) / (1 + F.col("df"))) + 1)

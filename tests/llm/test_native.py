@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from oracle import compare, connect
 
-from panelflow.llm.preferences import format_preferences
+from panelflow.llm.preferences import final_turn_pairs, format_preferences
 from panelflow.llm.queries import ORACLES, QUERIES
 from panelflow.llm.sharding import SHARDS, fill, place
 
@@ -60,3 +60,11 @@ def test_preferences_by_hand(spark):
     assert got[5]["chosen"] == say("assistant", "tie") + say("user", "tie") and got[5]["chosen_loss"] == "22:36"
     assert got[None]["chosen"] == say("user", "n")
     assert format_preferences(turns.limit(0)).collect() == []
+
+
+def test_turns_without_a_conversation_are_in_no_pair(spark):
+    rows = [(None, 0, "user", "lost"), (4, 0, "user", "q"), (4, 1, "assistant", "a"), (5, 0, "user", "x"), (5, 0, "user", "x"), (5, 7, None, None)]
+    turns = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, pair_id string, at int")
+    [pair] = format_preferences(final_turn_pairs(turns)).collect()
+    assert (pair["pair_id"], pair["prefix_turns"]) == (2, 1) and "lost" not in pair["prompt"] + pair["chosen"] + pair["rejected"]
+    assert format_preferences(final_turn_pairs(turns.limit(0))).collect() == []
