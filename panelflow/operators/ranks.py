@@ -10,6 +10,7 @@ the table is no burden.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F,
 from panelflow.operators.sized import join_written, written
 
 GRID = 1000
+CELLS = 4096  # of equal width, a first look at a whole column
 SKETCH_ACCURACY = 10_000
 # A bracket spans three grid cells; the sketch may be off by its accuracy at both ends.
 SHARE_KEPT = 3 / GRID + 2 / SKETCH_ACCURACY
@@ -224,10 +226,11 @@ def exact_quantiles(
     for column in by:
         df = df.where(F.col(column).isNotNull())
     if not by:
-        look = _wide_look(df, columns)
-        if look.largest <= percentile_rows:
+        spans = _spans(df, columns)
+        if max((s.n for s in spans), default=0) <= percentile_rows:
             return _by_percentile(df, columns, probs, by)
-        return _by_brackets(df, columns, probs, by, look, one_task_rows)
+        found = _by_cells(df, columns, probs, spans, one_task_rows)
+        return found if found is not None else _by_brackets(df, columns, probs, by, _wide_look(df, columns), one_task_rows)
     most = F.greatest(F.lit(0), *[F.count(missing(c)) for c in columns])
     seen = Observation()
     large = F.count_if(F.col("rows_of_largest") > percentile_rows)
@@ -245,6 +248,80 @@ def exact_quantiles(
     return parts if big is None else _by_percentile(df, columns, probs, by).unionByName(parts)
 
 
+@dataclass(frozen=True)
+class Span:
+    """Rows with a value, smallest and largest value of a column."""
+
+    n: int
+    low: float | None
+    high: float | None
+
+    def cell(self, x: Column) -> Column:
+        """One of ``CELLS`` cells of equal width; never falls as x rises, as none of its steps does."""
+        if self.low == self.high:
+            return F.when(x.isNotNull(), 0)
+        part = (x - F.lit(self.low)) / F.lit(self.high - self.low) * CELLS
+        return F.when(x.isNotNull(), F.least(F.floor(part), F.lit(CELLS - 1)).cast("int"))
+
+    @property
+    def finite(self) -> bool:
+        return not self.n or math.isfinite(self.high - self.low)
+
+
+def _spans(df: DataFrame, columns: Sequence[str]) -> list[Span]:
+    x = [missing(c) for c in columns]
+    row = df.agg(*[F.struct(F.count(c), F.min(c), F.max(c)).alias(f"s{i}") for i, c in enumerate(x)]).first()
+    return [Span(*row[f"s{i}"]) for i in range(len(columns))]
+
+
+def _by_cells(df: DataFrame, columns: Sequence[str], probs: Sequence[float], spans: Sequence[Span], one_task_rows: int) -> DataFrame | None:
+    """Quantiles of whole columns: rows per cell are counted, and only cells that hold a wanted rank are looked into.
+
+    Two plain scans, no sketch; what reaches the driver are at most ``CELLS`` counts a column and two values a
+    quantile.  None if a wanted cell holds more rows than one task should sort, as in very skewed columns.
+    """
+    if not all(span.finite for span in spans):
+        return None
+    cells = [span.cell(missing(c)) if span.n else F.lit(None).cast("int") for c, span in zip(columns, spans)]
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("sid"), c.alias("cell")) for i, c in enumerate(cells)]))
+    counted = df.select(pairs.alias("p")).where("p.cell IS NOT NULL").groupBy("p.sid", "p.cell").agg(F.count(F.lit(1)).alias("n"))
+    sizes: dict[int, dict[int, int]] = {}
+    for row in counted.collect():
+        sizes.setdefault(row["sid"], {})[row["cell"]] = row["n"]
+    places = {(i, k): p * (span.n - 1) for i, span in enumerate(spans) if span.n for k, p in enumerate(probs)}
+    wanted: dict[tuple[int, int], set[int]] = {}
+    for (i, _), place in places.items():
+        for rank in {math.floor(place), math.ceil(place)}:
+            cell, offset = _range_of(sizes[i], rank)
+            if sizes[i][cell] > one_task_rows:
+                return None
+            wanted.setdefault((i, cell), set()).add(offset)
+    inside = [
+        F.when(c.isin([cell for j, cell in wanted if j == i]), F.struct(F.lit(i).alias("sid"), c.alias("cell"), missing(name).alias("x")))
+        for i, (name, c) in enumerate(zip(columns, cells)) if spans[i].n
+    ]
+    if not inside:
+        return df.sparkSession.createDataFrame([(c, 0, None) for c in columns], "variable string, n long, q array<double>")
+    values = df.select(F.explode(F.array(*inside)).alias("p")).where("p IS NOT NULL").groupBy("p.sid", "p.cell", "p.x").agg(F.count(F.lit(1)).alias("copies"))
+    upto = F.sum("copies").over(Window.partitionBy("sid", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = df.sparkSession.createDataFrame([(i, cell, r) for (i, cell), all_ranks in wanted.items() for r in sorted(all_ranks)], "sid int, cell int, rank long")
+    hits = values.withColumn("upto", upto).join(F.broadcast(ranks), ["sid", "cell"]).where("rank < upto AND rank >= upto - copies")
+    found = {(r["sid"], r["cell"], r["rank"]): r["x"] for r in hits.select("sid", "cell", "rank", "x").collect()}
+
+    def at(i: int, rank: int) -> float:
+        return found[(i, *_range_of(sizes[i], rank))]
+
+    rows = []
+    for i, (name, span) in enumerate(zip(columns, spans)):
+        q = []
+        for k in range(len(probs)) if span.n else ():
+            place = places[i, k]
+            low, high = at(i, math.floor(place)), at(i, math.ceil(place))
+            q.append(low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high)
+        rows.append((name, span.n, q if span.n else None))
+    return df.sparkSession.createDataFrame(rows, "variable string, n long, q array<double>")
+
+
 def _wide_look(df: DataFrame, columns: Sequence[str]) -> Look:
     """First look at whole columns in one row of aggregates, without a row per value."""
     cells = [F.struct(F.lit(i).alias("sid"), F.count(missing(c)).alias("n"), _sketch(missing(c)).alias("grid")) for i, c in enumerate(columns)]

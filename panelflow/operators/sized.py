@@ -56,15 +56,26 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder for a table or for files of one's own; ``scratch`` bounds its life too."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if (tables := _scope.get()) is not None:
+        tables.append(path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete such a folder before its scope ends."""
+    _delete(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
     They are computed once, survive lost executors, have no lineage, and their size is known to
     the planner from their files.  ``scratch`` bounds the table's life.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    if (tables := _scope.get()) is not None:
-        tables.append(path)
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

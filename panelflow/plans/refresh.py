@@ -14,7 +14,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelflow.operators.sized import _delete, written
+from panelflow.operators.sized import drop_folder, written
 from panelflow.plans.indicators import finish_indicators, indicator_files, read_indicators
 from panelflow.plans.scores import finish_scores, read_scores, score_files
 from panelflow.sources.discover import bare, file_states
@@ -97,7 +97,7 @@ def refresh(spark: SparkSession, folder: str, target: str, job: Job) -> Refreshe
     result.hint("rebalance", *PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(table)
     filled = result.select(*PARTS).distinct()
     for part in touched.join(filled, _same(PARTS, touched, filled), "left_anti").collect():  # years and levels that lost all rows
-        _delete(spark, f"{table}/" + "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if part[c] is None else part[c]}" for c in PARTS))
+        drop_folder(spark, f"{table}/" + "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if part[c] is None else part[c]}" for c in PARTS))
 
     origin = fresh.select(bare("_path").alias("bare"), *PARTS).distinct().withColumn("empty", F.lit(False))
     noted = changed.withColumn("bare", bare("path")).join(origin, "bare", "left").withColumn("empty", F.coalesce("empty", F.lit(True)))

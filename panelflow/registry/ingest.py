@@ -65,13 +65,6 @@ def stack_of_found(t: Tables) -> DataFrame:
     return stack_tables(stacks)
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS region_id, r_name AS region_name FROM region WHERE false")
-def empty_scan(t: Tables) -> DataFrame:
-    schema = T.StructType([T.StructField("region_id", T.LongType()), T.StructField("region_name", T.StringType())])
-    named = t.region.select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region_name"))
-    return conform(named.where(F.lit(False)), schema)
-
-
 @query(f"""
 SELECT c_custkey,
        CASE WHEN trim(raw, {SQL_BLANKS}) IN ('', 'NA', 'N/A', 'NULL', 'null', 'NaN', 'nan', 'None', 'n/a', '<NA>')

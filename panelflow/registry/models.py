@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelflow.operators import modelling as op
+from panelflow.operators.absorbed import fit_absorbed
 from panelflow.operators.profiling import histogram, joint_range, scatter, scatter_cells
 from panelflow.operators.ranks import contiguous_folds
 from panelflow.operators.reshape import panel_join
@@ -402,3 +403,20 @@ def compare_targets_full(t: Tables) -> DataFrame:
     """The whole analysis on the joined panel: all features, both targets, hold-out and folds."""
     done = fit_and_compare(order_panel(t), NUMERIC, CATEGORICAL, TARGETS, "o_orderkey", ["o_orderkey"], salt=SALT)
     return _gridded_comparison(done.comparison)
+
+
+@query(f"""
+WITH g AS (SELECT l_partkey, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem GROUP BY l_partkey),
+b AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) / sum((l_quantity - mx) * (l_quantity - mx)) AS slope FROM lineitem JOIN g USING (l_partkey)),
+e AS (SELECT l_partkey, slope, my - slope * mx AS raw FROM g, b)
+SELECT l_partkey, {sql_grid("raw - avg(raw) OVER ()", 3)} AS effect, {sql_grid("slope", 3)} AS slope, {sql_grid("avg(raw) OVER ()", 3)} AS intercept FROM e
+""")
+def fit_many_labels(t: Tables) -> DataFrame:
+    """Price by quantity and part, one effect per part: labels beyond what a one-hot design holds."""
+    model = fit_absorbed(t.lineitem, ["l_quantity"], ["l_partkey"], "l_extendedprice")
+    return model.effects.select(
+        F.substring("label", 2, 30).cast("bigint").alias("l_partkey"),
+        grid("effect", 3).alias("effect"),
+        grid(F.lit(model.numeric["l_quantity"]), 3).alias("slope"),
+        grid(F.lit(model.intercept), 3).alias("intercept"),
+    )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelflow.operators.absorbed import fit_absorbed
 from panelflow.operators import modelling as op
 from panelflow.plans.analysis import fit_and_compare
 
@@ -165,3 +166,52 @@ def test_too_many_labels_are_refused_by_name(spark):
         with pytest.raises(TooManyLabels, match="column many"):
             collect_moments(df, ["x"], ["few", "many"], ["y"], max_labels=most)
     assert len(collect_moments(df, ["x"], ["few", "many"], ["y"], max_labels=40).blocks) == 1
+
+
+def dense(rows, numeric, factors, target):
+    """Least-norm solution on centred columns: numeric coefficients, intercept, effects by factor and label."""
+    columns = [[float(r[c]) for r in rows] for c in numeric]
+    names = [(f, label) for f in factors for label in sorted({str(r[f]) for r in rows})]
+    columns += [[float(str(r[f]) == label) for r in rows] for f, label in names]
+    x, y = np.array(columns).T, np.array([float(r[target]) for r in rows])
+    found = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=None)[0]
+    return found[: len(numeric)], y.mean() - x.mean(0) @ found, dict(zip(names, found[len(numeric) :])), x @ found + y.mean() - x.mean(0) @ found
+
+
+@pytest.mark.parametrize("factors", [["a"], ["a", "b"], ["a", "b", "c"]])
+def test_absorbed_labels_equal_the_dense_solution(spark, factors):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(rng.integers(12)) ** 2 // 9, "pqr"[rng.integers(3)], int(rng.integers(5)), float(rng.normal()), float(rng.normal(3, 2)), float(rng.normal(50, 9))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a int, b string, c int, x double, z double, y double").repartition(5)
+    model = fit_absorbed(df, ["x", "z"], factors, "y")
+    beta, intercept, effects, fitted = dense(df.collect(), ["x", "z"], factors, "y")
+    np.testing.assert_allclose([model.numeric["x"], model.numeric["z"]], beta, atol=1e-8)
+    assert abs(model.intercept - intercept) < 1e-8
+    got = {(r["factor"], r["label"][1:]): r["effect"] for r in model.effects.collect()}
+    assert got.keys() == effects.keys() and max(abs(got[k] - effects[k]) for k in got) < 1e-8
+    predicted = np.array([r["predicted"] for r in model.predict(df).orderBy("id").collect()])
+    order = {r["id"]: i for i, r in enumerate(df.collect())}
+    np.testing.assert_allclose(predicted, fitted[[order[i] for i in range(400)]], atol=1e-8)
+
+
+def test_absorbed_nulls_unseen_labels_and_determined_numbers(spark):
+    rows = [("a", 1.0, 1.0, 3.0), ("a", 1.0, 2.0, 5.0), (None, 7.0, 1.0, 4.0), (None, 7.0, 4.0, 10.0), ("b", 2.0, None, 1.0), ("b", 2.0, 3.0, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, same double, x double, y double")
+    model = fit_absorbed(df, ["same", "x"], ["g"], "y")
+    assert abs(model.numeric["same"]) < 1e-9 and abs(model.numeric["x"] - 2) < 1e-9
+    assert {r["label"] for r in model.effects.collect()} == {"=a", ""}
+    new = spark.createDataFrame([("a", 1.0, 0.0), ("new", 1.0, 1.0), ("a", 1.0, None)], "g string, same double, x double")
+    got = [r["predicted"] for r in model.predict(new).orderBy("x").collect()]
+    assert got[0] is None and abs(got[1] - 1) < 1e-9 and abs(got[2] - (model.intercept + 2)) < 1e-9
+    with pytest.raises(ValueError):
+        fit_absorbed(df.limit(0), ["x"], ["g"], "y")
+
+
+def test_a_hundred_thousand_labels(spark, plan):
+    rows = spark.range(300_000).select(
+        (F.col("id") % 100_000).alias("many"), (F.col("id") % 7).alias("few"), F.rand(3).alias("x"),
+    ).withColumn("y", 2 * F.col("x") + F.col("many") % 13 + 5 * F.col("few"))
+    model = fit_absorbed(rows, ["x"], ["many", "few"], "y", tolerance=1e-9)
+    assert abs(model.numeric["x"] - 2) < 1e-6 and model.effects.count() == 100_007
+    off = model.predict(rows).agg(F.max(F.abs(F.col("predicted") - F.col("y")))).first()[0]
+    assert off < 1e-5 and "=100000" not in plan(model.predict(rows))
