@@ -7,8 +7,6 @@ Null texts count as empty; empty tables pass through every stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelflow.llm.exact_dedup import exact_dedup
@@ -16,7 +14,7 @@ from panelflow.llm.jaccard import jaccard_components
 from panelflow.llm.packing import pack
 from panelflow.llm.suffix_dedup import remove_repeats
 from panelflow.llm.toxicity import score_toxicity
-from panelflow.operators.sized import scratch, shared_folder, written
+from panelflow.operators.sized import drop_folder, new_folder, scratch, written
 
 
 def only(docs: DataFrame, verdicts: DataFrame, stays: Column) -> DataFrame:
@@ -72,9 +70,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, before = new_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         with scratch(spark):  # a stage's own tables go when its result is written
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_folder(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
