@@ -22,7 +22,7 @@ from urllib.parse import parse_qsl, quote, urlencode, urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from panelflow.operators.sized import shared_folder, written
+from panelflow.operators.sized import new_folder, written
 
 ARCHIVE_BYTES = 16 << 20
 RANGE_ROWS = 200_000
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     plain = plain.withColumn("sha", F.unhex(F.sha1("payload")))
     repeated = plain.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("keep")).filter("n > 1").select("sha", "keep")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))
-    rows = plain.join(written(repeated), "sha", "left").select("page_id", "url", "payload", "sha", refers.alias("refers_to"))
+    rows = plain.join(written(repeated), "sha", "left").select(F.col("page_id").cast("string"), "url", "payload", "sha", refers.cast("string").alias("refers_to"))  # as text, or nulls would make them doubles
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileSystem
@@ -231,7 +231,7 @@ def capture_history(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Dat
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
-    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     from pyarrow.fs import FileSystem
 
     store, root = FileSystem.from_uri(folder)
