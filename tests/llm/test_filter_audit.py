@@ -42,7 +42,7 @@ def masks(rows, labels):
             len(words) < 50, 100 * len(set(words)) < 65 * len(words), 100 * sum("A" <= c <= "Z" for c in text) > 5 * len(text),
             any(c in "#$%&*|" for c in text), i is not None and any(j < i for j in ids[text]),
         ]
-        yield part or "", sum(f << k for k, f in enumerate(fails)), any(q == 1 for j, q, _ in labels if j == i), any(t == 1 for j, _, t in labels if j == i)
+        yield part or "", sum(f << k for k, f in enumerate(fails)), any(q == 1 for j, q, _ in labels if j == i is not None), any(t == 1 for j, _, t in labels if j == i is not None)
 
 
 def brute(rows, labels):
