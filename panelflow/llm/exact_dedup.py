@@ -95,7 +95,7 @@ def duplicated(thin: DataFrame, owners: int) -> DataFrame:
     pieces = marks.groupBy("run").applyInArrow(send, "run long, owner int, n int, k int, unary binary, rest binary")
     answers = pieces.groupBy("owner").applyInArrow(answer, "run long, owner int, n int, bits binary")
     kind = thin.schema["doc_id"].dataType.simpleString()
-    return thin.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(receive, f"doc_id {kind}, sha binary")
+    return thin.select("run", "doc_id", "sha", "mark").groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(receive, f"doc_id {kind}, sha binary")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_rows: int = OWNER_ROWS) -> DataFrame:

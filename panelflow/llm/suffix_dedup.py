@@ -27,7 +27,7 @@ from panelflow.llm.texts import _BASE, _CODE, _powers, _room, blocks, mix
 
 WIDTH = 50
 GRAM = 16
-RUN_BYTES = 4 << 20
+RUN_BYTES = 3 << 20
 PART_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 
