@@ -8,6 +8,7 @@ earlier positions, or all there are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import numpy as np
 WINDOW, OVERLAP = 32, 8
 WIDTH, HIDDEN = 16, 32
 LIMIT = 60.0  # exp of it, and sums of that, stay far from overflow
-BATCH = 128  # windows
+BATCH = 64  # windows
 
 Params = dict[str, np.ndarray]
 
@@ -48,6 +49,20 @@ def starts_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones((WINDOW, 1), np.float32)
+_SCALE = np.float32(WIDTH**-0.5)
+
+
+class Room:
+    """Arrays that batch after batch is worked out in: fresh memory costs more than the work does."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
 
 
 def _safe_exp(x: np.ndarray) -> np.ndarray:
@@ -57,84 +72,113 @@ def _safe_exp(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
-def forward(p: Params, given: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Hidden layer and a last column of ones, one row per position, of windows of embedding rows ``given`` (n, WINDOW)."""
+def _mixed(p: Params) -> np.ndarray:
+    """The matrix of queries, keys, values and own parts, queries scaled."""
+    mix = p["mix"].copy()
+    mix[:, :WIDTH] *= _SCALE
+    return mix
+
+
+def forward(p: Params, given: np.ndarray, room: Room) -> tuple[np.ndarray, ...]:
+    """Hidden layer and a last column of ones, one row per position, of windows of embedding rows ``given`` (n, WINDOW).
+
+    Then what the gradients need: inputs, mixed inputs, unscaled attention, its sums, and what was attended to.
+    """
     n = len(given)
-    x = p["embed"].take(given, axis=0)
+    x = np.take(p["embed"], given, axis=0, out=room("x", n, WINDOW, WIDTH), mode="clip")
     x += p["place"]
-    mixed = (x.reshape(-1, WIDTH) @ p["mix"]).reshape(n, WINDOW, -1)
+    mixed = np.matmul(x.reshape(-1, WIDTH), _mixed(p), out=room("mixed", n * WINDOW, 3 * WIDTH + HIDDEN)).reshape(n, WINDOW, -1)
     query, key, value = (mixed[:, :, k * WIDTH : (k + 1) * WIDTH] for k in range(3))
-    attend = np.matmul(query * np.float32(WIDTH**-0.5), np.ascontiguousarray(key.transpose(0, 2, 1)))
+    turned = room("turned", n, WIDTH, WINDOW)
+    turned[...] = key.transpose(0, 2, 1)
+    attend = np.matmul(query, turned, out=room("attend", n, WINDOW, WINDOW))
     _safe_exp(attend)
     attend *= _SEEN
-    total = np.matmul(attend, _ONES)
+    total = np.matmul(attend, _ONES, out=room("total", n, WINDOW, 1))
     total += np.float32(1e-30)
-    seen = np.matmul(attend, value)
+    seen = np.matmul(attend, value, out=room("seen", n, WINDOW, WIDTH))
     seen /= total
-    hidden = np.empty((n * WINDOW, HIDDEN + 1), np.float32)
+    hidden = room("hidden", n * WINDOW, HIDDEN + 1)
     np.matmul(seen.reshape(-1, WIDTH), p["back"], out=hidden[:, :HIDDEN])
     hidden[:, :HIDDEN] += mixed[:, :, 3 * WIDTH :].reshape(-1, HIDDEN)
     hidden[:, :HIDDEN] += p["lift"]
     hidden[:, HIDDEN] = 1
     np.maximum(hidden, 0, out=hidden)
-    if keep is not None:
-        attend /= total
-        keep.update(x=x, query=query, key=key, value=value, attend=attend, seen=seen)
-    return hidden
+    return hidden, x, mixed, attend, total, seen
 
 
-def _class_shares(p: Params, hidden: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _class_shares(p: Params, hidden: np.ndarray, wanted: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unscaled shares of all classes, their sums, and the wanted ones."""
-    shares = _safe_exp(hidden @ p["out"])
-    return shares, (shares @ np.ones(shares.shape[1], np.float32)), shares[np.arange(len(shares)), wanted]
+    classes = p["out"].shape[1]
+    shares = _safe_exp(np.matmul(hidden, p["out"], out=room("shares", len(hidden), classes)))
+    return shares, (shares @ np.ones(classes, np.float32)), shares[np.arange(len(shares)), wanted]
 
 
 _LEAST = np.float32(1e-30)
 
 
-def log_shares(p: Params, given: np.ndarray, wanted: np.ndarray, scored: np.ndarray) -> np.ndarray:
+def log_shares(p: Params, given: np.ndarray, wanted: np.ndarray, scored: np.ndarray, room: Room | None = None) -> np.ndarray:
     """log10 of the class shares ``wanted`` at the ``scored`` positions of some windows, row by row."""
-    hidden = forward(p, given).take(np.flatnonzero(scored.ravel()), axis=0)
-    _, total, share = _class_shares(p, hidden, wanted[scored])
+    room = room or Room()
+    rows = np.flatnonzero(scored.ravel())
+    hidden = np.take(forward(p, given, room)[0], rows, axis=0, out=room("taken", len(rows), HIDDEN + 1), mode="clip")
+    _, total, share = _class_shares(p, hidden, wanted.ravel()[rows], room)
     return np.log10(np.maximum(share, _LEAST) / total)
 
 
-def gradients(p: Params, given: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> tuple[float, Params, np.ndarray]:
+def gradients(p: Params, given: np.ndarray, wanted: np.ndarray, real: np.ndarray, room: Room | None = None) -> tuple[float, Params, np.ndarray]:
     """Mean loss over the ``real`` positions, its gradient for every parameter, and the rows of the embedding it is for."""
-    keep: dict = {}
-    hidden = forward(p, given, keep)
+    room, n = room or Room(), len(given)
+    hidden, x, mixed, attend, total, seen = forward(p, given, room)
     rows = np.flatnonzero(real.ravel())
+    whole = len(rows) == n * WINDOW
+    top = hidden if whole else np.take(hidden, rows, axis=0, out=room("taken", len(rows), HIDDEN + 1), mode="clip")
     at = wanted.ravel()[rows]
-    shares, total, share = _class_shares(p, hidden[rows], at)
-    loss = float(-np.log(np.maximum(share, _LEAST) / total).mean()) if len(rows) else 0.0
-    shares /= total[:, None]
-    shares[np.arange(len(rows)), at] -= 1
-    shares /= max(1, len(rows))
-    d_logits = shares
-    d_hidden = np.zeros((len(hidden), HIDDEN), np.float32)
-    d_hidden[rows] = d_logits @ p["out"][:HIDDEN].T
-    d_hidden *= hidden[:, :HIDDEN] > 0
-    n = len(given)
-    seen = keep["seen"].reshape(-1, WIDTH)
-    d_seen = (d_hidden @ p["back"].T).reshape(n, WINDOW, WIDTH)
-    attend, query, key, value = (keep[k] for k in ("attend", "query", "key", "value"))
-    d_attend = np.matmul(d_seen, value.transpose(0, 2, 1))
-    d_score = attend * (d_attend - (attend * d_attend).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    d_mixed = np.concatenate(
-        [np.matmul(d_score, key), np.matmul(d_score.transpose(0, 2, 1), query), np.matmul(attend.transpose(0, 2, 1), d_seen), d_hidden.reshape(n, WINDOW, HIDDEN)], axis=2
-    ).reshape(-1, 3 * WIDTH + HIDDEN)
-    d_x = (d_mixed @ p["mix"].T).reshape(n, WINDOW, WIDTH)
-    touched, back = np.unique(given.ravel(), return_inverse=True)
-    order = np.argsort(back, kind="stable")
-    embed = np.add.reduceat(d_x.reshape(-1, WIDTH)[order], np.searchsorted(back[order], np.arange(len(touched)))) if n else np.zeros((0, WIDTH), np.float32)
+    shares, sums, share = _class_shares(p, top, at, room)
+    loss = float(-np.log(np.maximum(share, _LEAST) / sums).mean()) if len(rows) else 0.0
+    shares[np.arange(len(rows)), at] -= sums  # gradients of the logits, but for each row's factor
+    factor = (np.float32(1 / max(1, len(rows))) / sums)[:, None]
+    d_top = np.matmul(shares, p["out"][:HIDDEN].T, out=room("d_top", len(rows), HIDDEN))
+    d_top *= factor
+    d_top *= top[:, :HIDDEN] > 0
+    d_out = np.multiply(top, factor, out=room("scaled", len(rows), HIDDEN + 1)).T @ shares
+    d_mixed = room("d_mixed", n, WINDOW, 3 * WIDTH + HIDDEN)
+    d_hidden = d_mixed.reshape(n * WINDOW, -1)[:, 3 * WIDTH :]
+    if whole:
+        d_hidden[...] = d_top
+    else:
+        d_hidden[...] = 0
+        d_hidden[rows] = d_top
+        d_top = d_hidden
+    query, key, value = (mixed[:, :, k * WIDTH : (k + 1) * WIDTH] for k in range(3))
+    d_seen = np.matmul(d_top, p["back"].T, out=room("d_seen", n * WINDOW, WIDTH)).reshape(n, WINDOW, WIDTH)
+    attend /= total
+    turned = room("turned", n, WIDTH, WINDOW)
+    turned[...] = value.transpose(0, 2, 1)
+    d_score = np.matmul(d_seen, turned, out=room("d_score", n, WINDOW, WINDOW))
+    # what attention gives to a position, by the whole, is the product of what was seen and its gradient
+    d_score -= np.multiply(d_seen, seen, out=room("along", n, WINDOW, WIDTH)).sum(2, keepdims=True)
+    d_score *= attend
+    np.matmul(d_score, key, out=d_mixed[:, :, :WIDTH])
+    np.matmul(d_score.transpose(0, 2, 1), query, out=d_mixed[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(attend.transpose(0, 2, 1), d_seen, out=d_mixed[:, :, 2 * WIDTH : 3 * WIDTH])
+    flat = d_mixed.reshape(n * WINDOW, -1)
+    d_mix = x.reshape(-1, WIDTH).T @ flat
+    d_mix[:, :WIDTH] *= _SCALE
+    d_x = np.matmul(flat, _mixed(p).T, out=room("d_x", n * WINDOW, WIDTH))
+    names = given.ravel()
+    order = np.argsort(names, kind="stable")
+    ordered = names[order]
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if n else order
+    moved = np.take(d_x, order, axis=0, out=room("moved", n * WINDOW, WIDTH), mode="clip")
     return loss, {
-        "embed": embed,
-        "place": d_x.sum(0),
-        "mix": keep["x"].reshape(-1, WIDTH).T @ d_mixed,
-        "back": seen.T @ d_hidden,
-        "lift": d_hidden.sum(0),
-        "out": hidden[rows].T @ d_logits,
-    }, touched
+        "embed": np.add.reduceat(moved, heads) if n else moved,
+        "place": d_x.reshape(n, WINDOW, WIDTH).sum(0),
+        "mix": d_mix,
+        "back": seen.reshape(-1, WIDTH).T @ d_top,
+        "lift": d_top.sum(0),
+        "out": d_out,
+    }, ordered[heads]
 
 
 def batches(count: int, size: int = BATCH) -> Iterator[slice]:
@@ -154,16 +198,27 @@ class Learner:
         self.mean = {k: np.zeros_like(v) for k, v in self.params.items()}
         self.square = {k: np.zeros_like(v) for k, v in self.params.items()}
         self.steps = self.windows = 0
+        self.room = Room()
 
     def learn(self, given: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> None:
         for part in batches(len(given), self.size):
             self.steps += 1
             self.windows += part.stop - part.start
-            _, grads, touched = gradients(self.params, given[part], wanted[part], real[part])
+            _, grads, touched = gradients(self.params, given[part], wanted[part], real[part], self.room)
             scale = np.float32(self.rate * (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps))
             for k, g in grads.items():
                 rows = touched if k == "embed" else slice(None)
-                mean, square = self.mean[k], self.square[k]
-                mean[rows] += np.float32(0.1) * (g - mean[rows])
-                square[rows] += np.float32(0.01) * (g * g - square[rows])
-                self.params[k][rows] -= scale * mean[rows] / (np.sqrt(square[rows]) + np.float32(1e-8))
+                mean, square = self.mean[k][rows], self.square[k][rows]
+                mean *= np.float32(0.9)
+                mean += np.float32(0.1) * g
+                g *= g
+                g *= np.float32(0.01)
+                square *= np.float32(0.99)
+                square += g
+                if k == "embed":
+                    self.mean[k][rows], self.square[k][rows] = mean, square
+                np.sqrt(square, out=g)
+                g += np.float32(1e-8)
+                np.divide(mean, g, out=g)
+                g *= scale
+                self.params[k][rows] -= g

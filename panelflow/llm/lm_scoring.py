@@ -8,7 +8,7 @@ a causal self-attention model (``attention``) times the id's share of its class
    their subword ids, the order of the words, and windows of ids to learn from.
 2. Runs send owners (ranges of word hashes) their words' counts; owners add them up and answer.
 3. Training goes in rounds: tasks learn from their windows, each from the same parameters, and the
-   parameters are averaged by windows.  One window in ``learn_one_in`` of all training documents is a lesson.
+   parameters are averaged by windows.  Every id of every training document is learned once.
 4. Runs meet their words' totals and are scored in overlapping windows; the mixing weight is the one that suits all
    training documents best, a token's own occurrence left out of its count.
 
@@ -38,7 +38,7 @@ RUN_BYTES = 6 << 20
 OWNER_WORDS = 2 << 20  # words that one owner counts, about
 WORDS_KEPT = 96 << 20  # bytes of words and ids that a worker remembers
 CLASSES = 128
-LEARN_ONE_IN = 12
+LEARN_ONE_IN = 1  # all of them
 ROUNDS = 3
 MIXTURES = (0.05, 0.15, 0.3, 0.5)
 BEGIN, END = 1, 2  # ids of the tokenizer
@@ -114,6 +114,12 @@ class Run:
         text, first, scored = attention.starts_of(self.lengths[texts])
         return self.begins[texts][text] + first, np.minimum(self.lengths[texts][text] - first, attention.WINDOW), scored - first
 
+    def lessons(self, texts: np.ndarray) -> np.ndarray:
+        """Windows one after the other that have each id of some texts once."""
+        counts = -(-self.lengths[texts] // attention.WINDOW)
+        at = ragged(np.zeros(len(texts), np.int64), counts) * attention.WINDOW
+        return self.cut(np.repeat(self.begins[texts], counts) + at, np.minimum(np.repeat(self.lengths[texts], counts) - at, attention.WINDOW))
+
     def cut(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of windows, the one before their first position included; ``PAD`` after a text's end."""
         k = np.arange(attention.WINDOW + 1)
@@ -149,13 +155,11 @@ def _tokenise(path: str, learn_one_in: int, schema: pa.Schema) -> Callable:
                 ids, sizes = np.concatenate([ids[:before], np.array([END], np.uint16), ids[before:]]), np.insert(sizes, at_end, 1)
                 trains = np.repeat(~held, np.diff(token_ends, prepend=0))
                 laid = lay_out(stream, token_ends, sizes, ids)
-                at, size, _ = laid.windows(np.flatnonzero(~held))
-                lesson = slice(number % learn_one_in, None, learn_one_in)
                 row = {
                     "run": number, "words": len(hashes), "doc_ids": batch.column("doc_id").slice(first, end - first).to_pylist(), "held_out": pack(held),
                     "ends": pack(token_ends), "stream": pack(stream.astype(np.uint32)), "hashes": pack(hashes),
                     "trained": pack(np.bincount(stream[trains], minlength=len(hashes)).astype(np.uint32)), "sizes": pack(sizes.astype(np.uint32)), "ids": pack(ids),
-                    "lessons": pack(laid.cut(at[lesson], size[lesson])),
+                    "lessons": pack(laid.lessons(np.flatnonzero(~held))[number % learn_one_in :: learn_one_in]),
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
                 number += 1
@@ -286,12 +290,12 @@ def _averaged(model: Model, parts: DataFrame) -> None:
 def log10_attention(model: Model, run: Run) -> np.ndarray:
     """log10 of the share of every id of a run's texts, in order."""
     at, size, scored = run.windows(np.arange(len(run.lengths)))
-    out = []
+    out, room = [], attention.Room()
     k = np.arange(attention.WINDOW)
     for part in attention.batches(len(at)):
         ids = run.cut(at[part], size[part])
         mask = (k >= scored[part, None]) & (k < size[part, None])
-        shares = attention.log_shares(model.params, model.row_of[ids[:, :-1]], model.class_of[ids[:, 1:]], mask)
+        shares = attention.log_shares(model.params, model.row_of[ids[:, :-1]], model.class_of[ids[:, 1:]], mask, room)
         out.append(shares + model.within[ids[:, 1:][mask]])
     return np.concatenate(out)
 
@@ -340,7 +344,7 @@ def score_texts(
     last digits.  Whole texts are read, of any length; a text is held by one task.  Without training rows
     every token has the base share 1.  ``tokenizer_file`` is a sentencepiece file that every executor can open.
 
-    ``learn_one_in`` says which share of the windows of training rows is learned from: all rows take part.
+    The model learns from every id of every training row; ``learn_one_in`` above 1 leaves windows out, for quick trials.
     Words are known by 64-bit hashes.
     """
     spark = docs.sparkSession

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,20 @@ def test_held_out_texts_are_likelier_than_by_the_base(documents, path):
     assert got[2] > 10 and got[0] > got[1]
 
 
+def test_every_id_of_every_training_text_is_learned_once(documents, awkward, path):
+    packed = ("held_out", "ends", "stream", "hashes", "trained", "sizes", "ids", "lessons")
+    schema = pa.schema([("run", pa.int64()), ("words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in packed]])
+    kinds = f"run long, words long, doc_ids array<long>, {', '.join(f'{c} binary' for c in packed)}"
+    for table in (documents, awkward):
+        plain = table.select("doc_id", "text", F.coalesce(apart(), F.lit(False)).alias("held_out"))
+        learned, there = np.zeros(lm.PAD, np.int64), np.zeros(lm.PAD, np.int64)
+        for r in plain.mapInArrow(lm._tokenise(path, lm.LEARN_ONE_IN, schema), kinds).collect():
+            targets = lm.unpack(r["lessons"], "u2").reshape(-1, attention.WINDOW + 1)[:, 1:]
+            learned += np.bincount(targets[targets != lm.PAD], minlength=lm.PAD)
+            there += np.bincount(lm.unpack(r["ids"], "u2"), weights=np.repeat(lm.unpack(r["trained"], "u4"), lm.unpack(r["sizes"], "u4")), minlength=lm.PAD).astype(np.int64)
+        assert there.sum() > 1_000 and (learned == there).all()
+
+
 def plain_shares(p, ids):
     """Class shares after each prefix of one window, in double precision, position by position."""
     q = {k: v.astype(np.float64) for k, v in p.items()}
