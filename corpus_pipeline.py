@@ -14,7 +14,7 @@ from panelflow.llm.jaccard import jaccard_components
 from panelflow.llm.packing import pack
 from panelflow.llm.suffix_dedup import remove_repeats
 from panelflow.llm.toxicity import score_toxicity
-from panelflow.operators.sized import drop_folder, new_folder, scratch, written
+from panelflow.operators.sized import drop_folder, new_folder, scratch, small_batches, written
 
 
 def only(docs: DataFrame, verdicts: DataFrame, stays: Column) -> DataFrame:
@@ -25,18 +25,21 @@ def only(docs: DataFrame, verdicts: DataFrame, stays: Column) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the labelled examples call toxic."""
-    scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return only(docs, scores, F.col("predicted") == 0)
+    with small_batches(spark):
+        scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return only(docs, scores, F.col("predicted") == 0)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are the same but for white space, the longest stays."""
-    return only(docs, exact_dedup(docs), F.col("kept"))
+    with small_batches(spark):
+        return only(docs, exact_dedup(docs), F.col("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8) the smallest id stays."""
-    return only(docs, jaccard_components(docs), F.col("doc_id") == F.col("component_id"))
+    with small_batches(spark):
+        return only(docs, jaccard_components(docs), F.col("doc_id") == F.col("component_id"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

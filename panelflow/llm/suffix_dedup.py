@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelflow.llm import golomb
 from panelflow.llm.suffixes import common_prefixes, suffix_array
-from panelflow.llm.texts import _BASE, _CODE, _powers, _room, blocks, mix
+from panelflow.llm.texts import _BASE, _CODE, _powers, blocks, mix
 
 WIDTH = 50
 GRAM = 16
 RUN_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 18  # of a run's texts worked on together
 PART_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 
@@ -38,7 +39,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int
     if n < width:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none, none, none.view(np.uint64), none
-    up, down = _powers(_BASE, _room(n)), _powers(pow(_BASE, -1, 1 << 64), _room(n))
+    up, down = _powers(_BASE, room := 1 << max(19, n.bit_length())), _powers(pow(_BASE, -1, 1 << 64), room)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODE[data] * up[:n], out=sums[1:])
     low = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -74,7 +75,7 @@ def _text(table: pa.Table) -> pa.Array:
 def _own_keys(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of a run, sorted, and whether more than one id of the run has each."""
     ids, keys, docs = _ids(table), [], []
-    for first, end, data, bounds in blocks(_text(table)):
+    for first, end, data, bounds in blocks(_text(table), BLOCK_BYTES):
         key, _, _, _, row = segments(data, bounds, width)
         keys.append(key)
         docs.append(ids[first:end][row])
@@ -136,7 +137,7 @@ def _offer(shards: int, width: int) -> Callable:
         bits = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in sorted(answers.to_pylist(), key=lambda r: r["owner"])]
         shared = keys[several | np.concatenate([*bits, np.zeros(0, np.uint8)]).astype(bool)[back]] if len(coarse) else keys
         ids, found, texts, base = _ids(table), [], [], 0
-        for first, end, data, bounds in blocks(_text(table)):
+        for first, end, data, bounds in blocks(_text(table), BLOCK_BYTES):
             key, start, windows, content, row = segments(data, bounds, width)
             at = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
             use = np.flatnonzero(shared[at] == key) if len(shared) else np.zeros(0, np.int64)
@@ -317,7 +318,7 @@ def _finish(width: int, as_text: bool, id_type: pa.DataType, rest: pa.DataType |
         by = np.argsort(content, kind="stable")
         content, a, b, low = content[by], a[by], b[by], low[by]
         ids, sizes, removed, spans, kept = _ids(table), [], [], [], []
-        for first, end, data, bounds in blocks(_text(table)):
+        for first, end, data, bounds in blocks(_text(table), BLOCK_BYTES):
             _, start, _, mark, row = segments(data, bounds, width)
             left = np.searchsorted(content, mark)
             counts = np.searchsorted(content, mark, "right") - left

@@ -47,10 +47,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _room(n: int) -> int:
-    return 1 << max(21, int(n).bit_length())
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the bounds of its rows; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -80,6 +80,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 2 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs run inside pass rows to Python in Arrow batches of about ``size`` bytes.
+
+    Spark's own bound of 10,000 rows is 25 MB of middling texts, which a task holds several times over: as vectors and
+    as a stream in the executor, and as arrays and their copies in Python.  The batch of a long text is that text.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_written(df: DataFrame, side: DataFrame, on: Sequence[str] | Column, how: str = "inner") -> DataFrame:
     """Join a large frame with an aggregate ``side`` of unknown size.
 
