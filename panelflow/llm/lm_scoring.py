@@ -64,6 +64,16 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and the number of each place's value; no stable sort, which takes longer."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(values)]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 class Pieces:
     """Subword ids of words; a worker encodes a word it remembers only once."""
 
@@ -82,8 +92,10 @@ class Pieces:
         found = list(map(self.known.get, names))
         new = [k for k, ids in enumerate(found) if ids is None]
         if new:
-            raw = lower.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+            first, sizes = starts[new], (ends - starts)[new] + 1
+            raw = np.append(lower, np.uint8(10))[ragged(first, sizes)]
+            raw[np.cumsum(sizes) - 1] = 10  # no word has a line break
+            words = raw[:-1].tobytes().decode().split("\n")
             coded = [ids or [0] for ids in self.encoder.encode(words, num_threads=1)]
             places = (2 * np.cumsum([0, *map(len, coded)])).tolist()
             packed = np.fromiter(chain.from_iterable(coded), np.uint16, places[-1] >> 1).tobytes()
@@ -146,7 +158,7 @@ def _tokenise(path: str, learn_one_in: int, schema: pa.Schema) -> Callable:
                 words, rows, starts, ends, lower = word_hashes(data, bounds, places=True)
                 held = batch.column("held_out").slice(first, end - first).to_numpy(zero_copy_only=False).astype(bool)
                 token_ends = rows[1:] + np.arange(1, end - first + 1)
-                hashes, one, stream = np.unique(np.insert(words, rows[1:], np.uint64(END_HASH)), return_index=True, return_inverse=True)
+                hashes, one, stream = distinct(np.insert(words, rows[1:], np.uint64(END_HASH)))
                 at_end = int(np.searchsorted(hashes, np.uint64(END_HASH)))
                 own = np.delete(one, at_end)  # a place of each word, ends counted
                 own -= np.searchsorted(token_ends, own, "right")  # and not counted
@@ -290,14 +302,20 @@ def _averaged(model: Model, parts: DataFrame) -> None:
 def log10_attention(model: Model, run: Run) -> np.ndarray:
     """log10 of the share of every id of a run's texts, in order."""
     at, size, scored = run.windows(np.arange(len(run.lengths)))
-    out, room = [], attention.Room()
+    ends = np.cumsum(size - scored)
+    out, room = np.empty(int(ends[-1])), attention.Room()
     k = np.arange(attention.WINDOW)
-    for part in attention.batches(len(at)):
-        ids = run.cut(at[part], size[part])
-        mask = (k >= scored[part, None]) & (k < size[part, None])
-        shares = attention.log_shares(model.params, model.row_of[ids[:, :-1]], model.class_of[ids[:, 1:]], mask, room)
-        out.append(shares + model.within[ids[:, 1:][mask]])
-    return np.concatenate(out)
+    # all windows but a text's first have their first positions as context alone
+    for skip, these in ((0, np.flatnonzero(scored == 0)), (attention.OVERLAP, np.flatnonzero(scored))):
+        for batch in attention.batches(len(these)):
+            part = these[batch]
+            ids = run.cut(at[part], size[part])
+            mask = (k >= scored[part, None]) & (k < size[part, None])
+            wanted = ids[:, 1:]
+            shares = attention.log_shares(model.params, model.row_of[ids[:, :-1]], model.class_of[wanted], mask, room, skip)
+            sizes = size[part] - scored[part]
+            out[ragged(ends[part] - sizes, sizes)] = shares + model.within[wanted[mask]]
+    return out
 
 
 def _score(shared: Broadcast, tokens: int, known: int, mixtures: Sequence[float], schema: pa.Schema) -> Callable:

@@ -151,6 +151,59 @@ def test_learning_lowers_the_loss():
     assert attention.gradients(learner.params, ids[:50, :-1], ids[:50, 1:], real[:50])[0] < before - 0.8
 
 
+def test_positions_of_context_alone_are_not_worked_out(monkeypatch):
+    model, draw, rows = some_model(), np.random.default_rng(4), []
+    whole = attention.forward
+    monkeypatch.setattr(attention, "forward", lambda *a: rows.append(len((done := whole(*a)).hidden)) or done)
+    ids = draw.integers(2, 40, 320).astype(np.uint16)
+    run = lm.lay_out(np.arange(320), np.array([320]), np.ones(320, np.int64), ids)
+    windows = len(attention.starts_of(run.lengths)[0])
+    got = lm.log10_attention(model, run)
+    assert len(got) == 320 and sum(rows) == 32 + (windows - 1) * (attention.WINDOW - attention.OVERLAP)
+    given, wanted = draw.integers(0, 9, (5, 32)), draw.integers(0, 9, (5, 32))
+    scored = draw.random((5, 32)) < 0.8
+    scored[:, :8] = False
+    assert np.allclose(attention.log_shares(model.params, given, wanted, scored), attention.log_shares(model.params, given, wanted, scored, skip=8), atol=1e-5)
+
+
+def test_values_beyond_the_range_of_exp_are_moved_down():
+    model, draw = some_model(), np.random.default_rng(6)
+    for name, by in (("out", 16), ("mix", 6)):
+        p = {k: v * np.float32(by if k == name else 1) for k, v in model.params.items()}
+        given, wanted = draw.integers(0, 6, (7, 32)), draw.integers(0, 9, (7, 32))
+        got = attention.log_shares(p, given, wanted, np.ones((7, 32), bool)).reshape(7, 32)
+        want = np.stack([plain_shares(p, g)[np.arange(32), w] for g, w in zip(given, wanted)])
+        near = want > -25  # shares below 1e-30 count as that
+        assert near.sum() > 50 and np.isfinite(got).all() and np.allclose(got[near], want[near], rtol=1e-2, atol=1e-2)
+
+
+def test_learning_takes_the_steps_of_adam():
+    draw = np.random.default_rng(8)
+    given, wanted, real = draw.integers(0, 30, (70, 32)), draw.integers(0, 8, (70, 32)), draw.random((70, 32)) < 0.9
+    p = attention.fresh(30, 8)
+    learner = attention.Learner(p)
+    learner.learn(given, wanted, real)
+    mean, square = ({k: np.zeros(v.shape) for k, v in p.items()} for _ in range(2))
+    for step, k in enumerate(range(0, 70, learner.size), 1):
+        _, grads, rows = attention.gradients(p, *(x[k : k + learner.size] for x in (given, wanted, real)))
+        for name, g in grads.items():
+            at = rows if name == "embed" else slice(None)
+            mean[name][at] = 0.9 * mean[name][at] + 0.1 * g
+            square[name][at] = 0.99 * square[name][at] + 0.01 * g * g
+            scale = learner.rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+            p[name][at] -= (scale * mean[name][at] / (np.sqrt(square[name][at]) + 1e-8)).astype(np.float32)
+    assert learner.windows == 70 and set(learner.params) == set(p)
+    for name, values in learner.params.items():
+        assert (np.abs(values - p[name]) < 2e-3).mean() > 0.99  # a gradient that is all rounding may point either way
+
+
+@pytest.mark.parametrize("values", [[], [5], [7, 7, 7], [3, 1, 3, 2, 1, 2**64 - 1, 0]])
+def test_distinct_values_and_their_places(values):
+    values = np.array(values, np.uint64)
+    found, places, back = lm.distinct(values)
+    assert (found == np.unique(values)).all() and (values[places] == found).all() and (found[back] == values).all()
+
+
 def test_words_that_sums_of_powers_confuse_have_different_hashes():
     word = "a"
     while len(word) < 1024:
