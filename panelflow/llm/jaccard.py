@@ -7,9 +7,10 @@
    however many of its rows have it.  First on the smallest hashes of all sets, then on all
    hashes of the sets that are left.
 3. In any order of all hashes, two linked sets share one of their first n - least_shared + 1
-   hashes.  Rare ones come first (by counts of the left sets in a fixed number of slots), so that a common
-   passage is no key.  Connected components over these keys ("clusters") cut no link, and each cluster
-   is joined by itself.
+   hashes.  Rare ones come first (by the number of runs that sent a hash, which the second exchange
+   answers for every hash), so that neither a common passage nor a shingle that a few unlinked texts share by chance
+   is a key before those of the true partners.  Hashes no other set has are no keys.  Connected components
+   over these keys ("clusters") cut no link, and each cluster is joined by itself.
 4. A cluster's block of sets is one task's signature tree: nodes hold the OR of their members' token
    bitmaps, their range of sizes and their largest surplus of tokens over bits; a dual traversal
    drops pairs of nodes whose largest possible overlap is too small, and those that are already
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelflow.llm import golomb
 from panelflow.llm.components import components
 from panelflow.llm.texts import blocks, mix, shingle_hashes, word_hashes
-from panelflow.operators.sized import written
+from panelflow.operators.sized import drop_folder, written, written_at
 
 WORDS = 5
 PERCENT = 80
@@ -42,7 +43,8 @@ ARITY = 8
 SLICE = 4096  # pairs of nodes looked at together
 BITMAP_BYTES = 8 << 20
 PIVOTS = 8
-SLOT_BITS = 20  # of the table of counts by which hashes are ordered
+MOST_RUNS = 255  # hashes of more runs count as equally common
+SPOT_BITS = 24  # of the table that says which ids may be suspects
 SHORT = np.uint64(24)  # bits dropped from hashes in the first, coarse exchange
 
 
@@ -100,10 +102,12 @@ def _unpack(blob: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64) << SHORT
 
 
-def shared_counts(sets: DataFrame, owners: int, packed: bool) -> DataFrame:
-    """row, shared: how many of a row's tokens occur in another row.  ``sets``: run, row, tokens.
+def _exchanged(sets: DataFrame, owners: int, packed: bool, finish: Callable, shape: str) -> DataFrame:
+    """What ``finish`` says of each run's rows.  ``sets``: run, tokens and what else ``finish`` needs.
 
-    Runs and owners exchange distinct sorted hashes, Golomb-coded, and bitmaps.
+    Runs and owners exchange distinct sorted hashes, Golomb-coded, and in how many runs each of them is.
+    ``finish`` gets the rows, how many tokens each has and, for all tokens one after the other, the
+    token, the number of runs and the number of the run's own rows that have it.
     """
     read = _unpack if packed else lambda blob: np.frombuffer(blob, np.uint64)
     step = -(-(1 << 64) // owners)
@@ -132,27 +136,66 @@ def shared_counts(sets: DataFrame, owners: int, packed: bool) -> DataFrame:
     def answer(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         marks = [golomb.decode(p.n, 0, p.k, p.unary, p.rest) if packed else golomb.decode(p.n, int(key[0]) * step, p.k, p.unary, p.rest) for p in pieces.itertuples()]
         ordered = np.sort(np.concatenate(marks))
-        repeated = ordered[1:][ordered[1:] == ordered[:-1]]
-        bits = []
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        runs = np.diff(np.append(heads, len(ordered)))
+        several = runs > 1
+        repeated, often = ordered[heads[several]], np.minimum(runs[several], MOST_RUNS).astype(np.uint8)
+        answers = []
         for m in marks:
-            at = np.minimum(np.searchsorted(repeated, m), max(0, len(repeated) - 1))
-            bits.append(np.packbits(repeated[at] == m if len(repeated) else np.zeros(len(m), bool)).tobytes())
-        return pd.DataFrame({"run": pieces["run"], "owner": pieces["owner"], "n": pieces["n"], "bits": bits})
+            found = np.ones(len(m), np.uint8)
+            if len(repeated):
+                at = np.minimum(np.searchsorted(repeated, m), len(repeated) - 1)
+                same = repeated[at] == m
+                found[same] = often[at[same]]
+            answers.append(pa.compress(found.tobytes(), codec="zstd", asbytes=True))
+        return pd.DataFrame({"run": pieces["run"], "owner": pieces["owner"], "n": pieces["n"], "runs": answers})
 
     def receive(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        names = [field.split()[0] for field in shape.split(", ")]
         if not len(rows):
-            return pd.DataFrame({"row": [], "shared": []}).astype("int64")
-        _, places, counts, sizes = tokens_of(rows)
-        bits = [np.unpackbits(np.frombuffer(a.bits, np.uint8), count=a.n) for a in answers.sort_values("owner").itertuples()]
-        shared = (np.concatenate(bits).astype(bool) | (counts > 1))[places]
-        ends = np.concatenate([[0], np.cumsum(shared)])
-        stops = np.cumsum(sizes)
-        return pd.DataFrame({"row": rows["row"].to_numpy(), "shared": ends[stops] - ends[stops - sizes]})
+            return pd.DataFrame({name: [] for name in names})
+        values, places, counts, sizes = tokens_of(rows)
+        runs = [np.frombuffer(pa.decompress(a.runs, decompressed_size=a.n, codec="zstd", asbytes=True), np.uint8) for a in answers.sort_values("owner").itertuples()]
+        return finish(rows, sizes, values[places], np.concatenate(runs)[places], counts[places])
 
-    some = sets.select("run", "row", "tokens")
-    pieces = some.groupBy("run").applyInPandas(send, "run long, owner int, n int, k int, unary binary, rest binary")
-    answers = pieces.groupBy("owner").applyInPandas(answer, "run long, owner int, n int, bits binary")
-    return some.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(receive, "row long, shared long")
+    pieces = sets.groupBy("run").applyInPandas(send, "run long, owner int, n int, k int, unary binary, rest binary")
+    answers = pieces.groupBy("owner").applyInPandas(answer, "run long, owner int, n int, runs binary")
+    return sets.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(receive, shape)
+
+
+def _shared(sizes: np.ndarray, runs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many of each row's tokens another row has."""
+    ends, stops = np.concatenate([[0], np.cumsum((runs > 1) | (own > 1))]), np.cumsum(sizes)
+    return ends[stops] - ends[stops - sizes]
+
+
+def shared_counts(sets: DataFrame, owners: int) -> DataFrame:
+    """row, shared: how many of a row's packed tokens occur in another row.  ``sets``: run, row, tokens."""
+
+    def finish(rows: pd.DataFrame, sizes: np.ndarray, tokens: np.ndarray, runs: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"row": rows["row"].to_numpy(), "shared": _shared(sizes, runs, own)})
+
+    return _exchanged(sets.select("run", "row", "tokens"), owners, True, finish, "row long, shared long")
+
+
+def keyed(sets: DataFrame, owners: int, percent: int) -> DataFrame:
+    """node, n, tokens, keys of the sets that may be linked with another one.  ``sets``: run, node, tokens.
+
+    Keys are those of the first n - least_shared + 1 tokens, the rarest first, that another set has.
+    """
+
+    def finish(rows: pd.DataFrame, sizes: np.ndarray, tokens: np.ndarray, runs: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        out, stops = [], np.cumsum(sizes)
+        left = sizes - _shared(sizes, runs, own) <= sizes - least_shared(sizes, percent)
+        for k in np.flatnonzero(left).tolist():
+            of = slice(stops[k] - sizes[k], stops[k])
+            n = int(sizes[k])
+            first = np.lexsort((tokens[of], runs[of]))[: n - least_shared(n, percent) + 1]
+            first = first[(runs[of][first] > 1) | (own[of][first] > 1)]
+            out.append((rows["node"].iat[k], n, rows["tokens"].iat[k], tokens[of][first].tobytes()))
+        return pd.DataFrame(out, columns=["node", "n", "tokens", "keys"])
+
+    return _exchanged(sets.select("run", "node", "tokens"), owners, False, finish, "node binary, n int, tokens binary, keys binary")
 
 
 class Tree:
@@ -293,26 +336,25 @@ def jaccard_components(
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
-    every = written(
+    coarse, coarse_at = written_at(
         plain.withColumn("row", F.monotonically_increasing_id())
         .mapInArrow(_sets(words, percent, False), f"doc_id {kind}, row long, n int, node binary, tokens binary")
         .withColumn("run", F.shiftright("row", RUN_BITS))
     )
+    every = written(coarse.select("doc_id", "row", "n", "node", (F.length("tokens") / 5).alias("taken")))
     filled = every.filter("n > 0")
     need = -F.floor(-F.col("n") * percent / 100).cast("int")
-    taken = F.length("tokens") / 5
-    shared = shared_counts(filled, partitions, True)
-    maybe = written(filled.join(shared, "row").filter(taken - F.col("shared") <= F.col("n") - need).select("doc_id", "node"))
-    again = plain.join(maybe.select(F.col("doc_id").alias("m")), F.col("doc_id").eqNullSafe(F.col("m")), "left_semi")
-    sets = again.select("text").mapInArrow(_sets(words, percent, True), "n int, node binary, tokens binary").filter("n > 0")
-    sets = written(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.shiftright("row", RUN_BITS - 2)))
-    shared = shared_counts(sets, partitions, False)
-    sets = written(sets.join(shared, "row").filter(F.col("n") - F.col("shared") <= F.col("n") - need).select("node", "n", "tokens"))
-    rarity = spark.sparkContext.broadcast(slot_counts(sets))  # 2**SLOT_BITS numbers
-    keys = sets.select("node", "tokens").mapInArrow(_keys(percent, rarity), "token long, node binary")
+    shared = shared_counts(coarse.filter("n > 0"), partitions)
+    maybe = written(filled.join(shared, "row").filter(F.col("taken") - F.col("shared") <= F.col("n") - need).select("doc_id"))
+    drop_folder(spark, coarse_at)
+    sets = _suspects(plain, maybe).select("text").mapInArrow(_sets(words, percent, True), "n int, node binary, tokens binary").filter("n > 0")
+    sets, sets_at = written_at(sets.groupBy("node").agg(F.first("tokens").alias("tokens")).withColumn("run", F.shiftright(F.monotonically_increasing_id(), RUN_BITS - 2)))
+    left = written(keyed(sets, partitions, percent))
+    drop_folder(spark, sets_at)
+    keys = left.select("keys", "node").mapInArrow(_unfolded, "token long, node binary")
+    sets = left.drop("keys")
     pivots = keys.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter("c > 1").select("token", "b")
     stars = written(keys.select("token", F.col("node").alias("a")).join(pivots, "token").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("c")))
-    rarity.destroy()
     clusters = written(components(stars.select("a", "b")))
     links = _joined(sets, stars, clusters, percent, block_tokens, spark)
     labels = components(links)
@@ -325,45 +367,25 @@ def jaccard_components(
     )
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _suspects(plain: DataFrame, maybe: DataFrame) -> DataFrame:
+    """Rows whose doc_id ``maybe`` has, null ones included.
 
-
-def slot_counts(sets: DataFrame) -> np.ndarray:
-    """How many hashes of all sets fall into each slot."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            for blob in batch.column("tokens").to_pylist():
-                np.add.at(counts, _slots(np.frombuffer(blob, np.uint64)), 1)
-        grid = counts.reshape(1024, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1024)), pa.array([r.tobytes() for r in grid], pa.binary())], names=["part", "counts"])
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [key[0]], "counts": [sum(np.frombuffer(b, np.int64) for b in rows["counts"]).tobytes()]})
-
-    found = sets.select("tokens").mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(add, "part long, counts binary")
-    total = np.zeros((1024, (1 << SLOT_BITS) // 1024), np.int64)
-    for row in found.collect():
-        total[row["part"]] = np.frombuffer(row["counts"], np.int64)
-    return total.ravel()
-
-
-def _keys(percent: int, rarity) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rarity.value
-        for batch in batches:
-            kept = [np.zeros(0, np.uint64)]
-            for blob in batch.column("tokens").to_pylist():
-                s = np.frombuffer(blob, np.uint64)
-                kept.append(s[np.lexsort((s, counts[_slots(s)]))[: len(s) - least_shared(len(s), percent) + 1]])
-            nodes = np.repeat(np.arange(len(kept) - 1), [len(k) for k in kept[1:]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(kept).view(np.int64)), batch.column("node").take(pa.array(nodes, pa.int64()))], names=["token", "node"]
-            )
-
-    return run
+    A table of bits by the ids' hashes, of a size that does not grow, keeps most other texts out of the exchange by id.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SPOT_BITS))
+    bit = "shiftleft(1L, cast(spot & 63 AS int))"
+    spots = maybe.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("cell")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    seen = plain.withColumn("spot", spot).join(F.broadcast(spots), F.shiftright("spot", 6) == F.col("cell")).filter(F.expr(f"bits & {bit} <> 0"))
+    ids = maybe.select(F.col("doc_id").alias("m")).distinct()  # a semi-join would be planned below the join with the bits
+    return seen.join(ids, F.col("doc_id").eqNullSafe(F.col("m"))).select("doc_id", "text")
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key of a set."""
+    for batch in batches:
+        blobs = batch.column("keys").to_pylist()
+        nodes = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), batch.column("node").take(pa.array(nodes, pa.int64()))], names=["token", "node"])
 
 
 def _joined(sets: DataFrame, stars: DataFrame, clusters: DataFrame, percent: int, block_tokens: int, spark) -> DataFrame:

@@ -75,9 +75,14 @@ def written(df: DataFrame) -> DataFrame:
     They are computed once, survive lost executors, have no lineage, and their size is known to
     the planner from their files.  ``scratch`` bounds the table's life.
     """
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Such a table, and its folder for ``drop_folder`` once nothing reads it any more."""
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 BATCH_BYTES = 2 << 20

@@ -117,3 +117,18 @@ def test_many_unlinked_sets_come_in_chunks(spark, monkeypatch, tmp_path):
     check(rows, jaccard_components(frame, block_tokens=1_000).collect())
     sizes = [int(open(f"{folder}/{name}").read()) for name in os.listdir(folder)]
     assert len(sizes) > 20 and max(sizes) <= 6_000
+
+
+def test_keys_are_the_rarest_shared_hashes(spark):
+    """By exact counts, also of hashes that agree in all of their first bits; hashes of one set alone are no keys."""
+    own = lambda k, n: [10_000 * (k + 1) + i for i in range(n)]
+    common, pair = list(range(1, 31)), [500 + i for i in range(60)]
+    sets = {b"a": common + pair + own(0, 10), b"b": common + pair + own(1, 10)} | {bytes([c]): common + own(c, 5) for c in range(48, 60)}
+    rows = [(k, name, np.array(sorted(x), np.uint64).tobytes()) for k, (name, x) in enumerate(sets.items())]
+    frame = spark.createDataFrame([(k // 2 if k > 1 else 90 + k, *r) for k, *r in rows], "run long, node binary, tokens binary")
+    got = {bytes(r["node"]): r for r in jaccard.keyed(frame, 3, 80).collect()}
+    assert set(got) == set(sets)
+    for name in (b"a", b"b"):
+        keys = np.frombuffer(got[name]["keys"], np.uint64).tolist()
+        assert got[name]["n"] == 100 and len(keys) == 11 and set(keys) <= set(pair)
+    assert {len(got[bytes([c])]["keys"]) // 8 for c in range(48, 60)} == {3}
