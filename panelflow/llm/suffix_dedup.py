@@ -7,8 +7,9 @@ windows have equal keys wherever they stand; windows in a row with one key are a
    and learn which occur in more than one document.
 2. A run sends each distinct segment with such a key once, with the smallest and largest id it
    has there, to the shard of the key: hot passages are folded before the shuffle.
-3. A shard folds equal segments.  Where a key has different segments, it builds suffix
-   arrays over parts of bounded size; common prefixes of ``WIDTH`` or more make groups of equal windows, each with its
+3. A shard folds equal segments.  Where a key has different segments, windows whose hash no other window
+   of the shard has are their own; over the stretches of all others it builds suffix
+   arrays in parts of bounded size; common prefixes of ``WIDTH`` or more make groups of equal windows, each with its
    smallest id.  A key spread over several parts is merged by binary search between their sorted windows.
 4. Runs get back, per segment, which windows a smaller id has, and remove the bytes these cover.
 """
@@ -30,6 +31,7 @@ GRAM = 16
 RUN_BYTES = 3 << 20
 BLOCK_BYTES = 1 << 18  # of a run's texts worked on together
 PART_BYTES = 2 << 20
+HASHED_BYTES = 1 << 18  # of a shard's texts hashed together
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -238,6 +240,49 @@ def least_ids(text: np.ndarray, key: np.ndarray, windows: np.ndarray, low: np.nd
     return out
 
 
+def window_hashes(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows that begin at ``starts``, which are sorted; equal windows have equal ones."""
+    out = np.empty(len(starts), np.uint64)
+    room = 1 << max(19, (HASHED_BYTES + width).bit_length())
+    up, down = _powers(_BASE, room), _powers(pow(_BASE, -1, 1 << 64), room)
+    for first in range(0, len(text), HASHED_BYTES):
+        these = slice(*np.searchsorted(starts, [first, first + HASHED_BYTES]))
+        data, at = text[first : first + HASHED_BYTES + width], starts[these] - first
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_CODE[data] * up[: len(data)], out=sums[1:])
+        out[these] = mix((sums[at + width] - sums[at]) * down[at])
+    return out
+
+
+def repeated_ids(text: np.ndarray, key: np.ndarray, windows: np.ndarray, low: np.ndarray, width: int, part_bytes: int = PART_BYTES) -> np.ndarray:
+    """``least_ids``, which looks only at stretches of windows whose hash occurs twice: no other can equal another window.
+
+    Whole keys are looked at together, up to about ``HASHED_BYTES``, or one key if it has more.
+    """
+    lengths = windows + width - 1
+    ends, stops = np.cumsum(lengths), np.cumsum(windows)
+    out = np.empty(int(stops[-1]), np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    number = (ends - lengths)[heads] // HASHED_BYTES
+    heads = heads[np.concatenate([[True], number[1:] != number[:-1]])]
+    for a, b in zip(heads, np.append(heads[1:], len(key))):
+        own = text[ends[a] - lengths[a] : ends[b - 1]]
+        segment = np.repeat(np.arange(a, b), windows[a:b])
+        places = _spread(np.cumsum(lengths[a:b]) - lengths[a:b], windows[a:b])
+        found = low[segment]
+        hashes = window_hashes(own, places, width)
+        ordered = np.sort(hashes)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twice):
+            again = twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
+            first = again & np.concatenate([[True], ~again[:-1] | (segment[1:] != segment[:-1])])
+            counts = np.diff(np.append(np.flatnonzero(first[again]), np.count_nonzero(again)))
+            of, begin = segment[first], places[first]
+            found[again] = least_ids(own[_spread(begin, counts + width - 1)], key[of], counts, low[of], width, part_bytes)
+        out[stops[a] - windows[a] : stops[b - 1]] = found
+    return out
+
+
 def _settle(out: np.ndarray, known: list, waiting: list) -> list:
     """Binary search of each part's windows in those of all parts it shares a key with."""
     for at, numbers, strings, least in waiting:
@@ -275,7 +320,7 @@ def _judge(width: int, part_bytes: int) -> Callable:
         c = np.flatnonzero(contested)
         if len(c):
             body = text[_spread(doffsets[c], dwindows[c] + width - 1)]
-            owners = least_ids(body, dkey[c], dwindows[c], least[c], width, part_bytes)
+            owners = repeated_ids(body, dkey[c], dwindows[c], least[c], width, part_bytes)
             segment = np.repeat(c, dwindows[c])
             change = np.flatnonzero(np.concatenate([[True], (owners[1:] != owners[:-1]) | (segment[1:] != segment[:-1])]))
             inside = np.arange(len(owners)) - np.repeat(np.cumsum(dwindows[c]) - dwindows[c], dwindows[c])

@@ -8,6 +8,7 @@ from brute import repeats, runs, sha
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from panelflow.llm import suffix_dedup
 from panelflow.llm.queries import QUERIES
 from panelflow.llm.suffix_dedup import least_ids, remove_repeats
 from panelflow.llm.suffixes import common_prefixes, suffix_array
@@ -84,3 +85,21 @@ def test_parts_merge_by_binary_search(part_bytes):
         assert all(g <= w for g, w in zip(got, want))
     else:
         assert all(g <= w for g, w in zip(got, want)) and len(got) == len(want)
+
+
+def test_suffix_arrays_hold_only_windows_that_repeat(monkeypatch):
+    """Segments of one key without a common window need no suffix array; the others as much as repeats."""
+    rng, seen = np.random.default_rng(8), []
+    alone = [rng.integers(97, 123, 90).astype(np.uint8) for _ in range(300)]
+    shared = rng.integers(97, 123, 70).astype(np.uint8)
+    parts = [*alone, *(np.concatenate([alone[k][:20], shared, alone[k][:30]]) for k in range(4))]
+    windows, low = np.array([len(p) - 49 for p in parts]), rng.permutation(len(parts)).astype(np.int64)
+    key, text = np.full(len(parts), 5, np.uint64), np.concatenate(parts)
+    want = suffix_dedup.least_ids(text, key, windows, low, 50)
+    original = suffix_dedup.window_owners
+    monkeypatch.setattr(suffix_dedup, "window_owners", lambda text, *rest: seen.append(len(text)) or original(text, *rest))
+    monkeypatch.setattr(suffix_dedup, "HASHED_BYTES", 1_000)
+    assert suffix_dedup.repeated_ids(text, key, windows, low, 50).tolist() == want.tolist()
+    assert sum(seen) == 4 * 70
+    assert suffix_dedup.repeated_ids(text[: 90 * 300], key[:300], windows[:300], low[:300], 50).tolist() == np.repeat(low[:300], windows[:300]).tolist()
+    assert sum(seen) == 4 * 70
